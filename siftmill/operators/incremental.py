@@ -108,12 +108,8 @@ def promotion_outcome(
     return candidates.withColumn("outcome", outcome)
 
 
-def merge_labelled(parts: dict[str, DataFrame], root: DataFrame) -> DataFrame:
-    """Reports of the repository root and its sub-projects as one, paths under their label."""
-    out = root
-    for label, part in parts.items():
-        shown = F.when(F.col("path").startswith("["), F.concat(F.lit(f"[{label}] "), F.col("path"))).otherwise(
-            F.concat_ws("/", F.lit(label), F.col("path"))
-        )
-        out = out.unionByName(part.withColumn("path", shown))
-    return out
+def merge_labelled(root: DataFrame, sub: DataFrame, label: str = "project") -> DataFrame:
+    """Reports of the repository root and of all sub-projects as one, paths under their label."""
+    path, name = F.col("path"), F.col(label).cast("string")
+    shown = F.when(path.startswith("["), F.concat(F.lit("["), name, F.lit("] "), path)).otherwise(F.concat_ws("/", name, path))
+    return root.unionByName(sub.withColumn("path", shown))

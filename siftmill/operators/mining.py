@@ -1,0 +1,12 @@
+"""Mining recurring patterns."""
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def project_of_path(path: Column) -> Column:
+    found = F.regexp_extract(path, r"(?:themes|plugins)/([^/]+)", 1)
+    return F.when(found != "", found)
+
+
+def platform_of_path(path: Column) -> Column:
+    return F.when(path.contains(".php"), "wp").when(path.rlike(r"\.(tsx|jsx|ts|js)$"), "nextjs")
