@@ -28,6 +28,11 @@ TASK_KEYWORDS = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, also when used inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def case_class(name: Column) -> Column:
     """Naming style of an identifier."""
     under = name.contains("_")
@@ -61,11 +66,26 @@ def theme_of(path: Column) -> Column:
 
 def task_keywords(task: Column) -> Column:
     """Words of three or more characters and the pairs of neighbouring ones."""
-    words = F.filter(F.split(F.lower(F.trim(task)), r"[\s,;/\-_]+"), lambda w: F.length(w) >= 3)
-    n = F.size(words)
-    starts = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = F.transform(starts, lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
-    return F.array_distinct(F.concat(words, pairs))
+    found = F.filter(F.split(F.lower(F.trim(task)), r"[\s,;/\-_]+"), lambda w: F.length(w) >= 3)
+
+    def with_pairs(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+        pairs = F.transform(starts, lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
+        return F.array_distinct(F.concat(words, pairs))
+
+    return let(found, with_pairs)
+
+
+def word_phrases(text: Column, n: int = 3) -> Column:
+    """All runs of ``n`` words of a text, lower case."""
+    found = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+    def runs(words: Column) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return let(found, runs)
 
 
 def max_nesting(code: Column) -> Column:

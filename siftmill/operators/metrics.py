@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions.scores import demoted, ratio
+from siftmill.functions.text import word_phrases
 from siftmill.sources.sinks import top_per_key
 
 
@@ -287,13 +288,6 @@ def best_threshold(scored: DataFrame, score: str, truth: str, thresholds: list[f
 # --- feedback texts ------------------------------------------------------------------------
 
 
-def word_phrases(text: Column, n: int = 3) -> Column:
-    """All runs of ``n`` words of a text, lower case."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-
-
 def dismiss_phrases(dismissals: DataFrame, min_occurrences: int = 5, examples: int = 3) -> DataFrame:
     """Phrases that recur in a rule's dismissal reasons, with up to three example files.
 

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftmill.functions.text import let
 from siftmill.sources.corpus import with_lines
 from siftmill.sources.rules import Rule, in_scope
 
@@ -85,6 +86,18 @@ def line_hits(lines: Column, rule: Rule) -> Column:
     return F.slice(hits, 1, cap) if cap else hits
 
 
+def _evaluate(lines: Column, path: Column, rules: list[Rule], width: int) -> Column:
+    """Hits of all rules of a batch as one array, with the lines bound once per file."""
+
+    def hits_of(bound: Column) -> Column:
+        arrays = [
+            F.when(in_scope(path, r) & ~file_ignored(bound, r.rule_id), _labelled(line_hits(bound, r), r, width)) for r in rules
+        ]
+        return F.flatten(F.array_compact(F.array(*arrays)))
+
+    return let(lines, hits_of)
+
+
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(" \t\r\n"))
 
@@ -115,14 +128,7 @@ def scan_presence(files: DataFrame, rules: Iterable[Rule], width: int = 120) ->
     source = files if "lines" in files.columns else with_lines(files)
     parts = []
     for batch in _batches(rules, RULES_PER_PASS):
-        arrays = [
-            F.when(
-                in_scope(F.col("path"), r) & ~file_ignored(F.col("lines"), r.rule_id),
-                _labelled(line_hits(F.col("lines"), r), r, width),
-            )
-            for r in batch
-        ]
-        hits = F.flatten(F.array_compact(F.array(*arrays)))
+        hits = _evaluate(F.col("lines"), F.col("path"), batch, width)
         parts.append(source.select(*keep, "path", F.explode(hits).alias("h")).select(*keep, "path", "h.*"))
     out = reduce(DataFrame.unionByName, parts)
     return out.select(*keep, *HIT_COLUMNS)

@@ -56,4 +56,4 @@ WEEK = "CAST(floor(epoch_us(ts) / 1000000 / 604800) AS BIGINT)"
 
 SESSIONS = f"""s AS (SELECT event_id, user_id || '-' || {WEEK} AS session_id, user_id, {WEEK} AS week, ts,
   CASE event_type WHEN 'view' THEN 'Read' WHEN 'click' THEN 'Read' WHEN 'purchase' THEN 'Write' WHEN 'signup' THEN 'Edit' ELSE 'Bash' END AS tool,
-  'f' || ({K} % 4) || '.php' AS file_path, {sql_list(TASK_TYPES)}[CAST(user_id % {len(TASK_TYPES)} AS INT) + 1] AS task_type, {K} AS k FROM events)"""
+  'f' || ({K} % 6) || '.php' AS file_path, {sql_list(TASK_TYPES)}[CAST(user_id % {len(TASK_TYPES)} AS INT) + 1] AS task_type, {K} AS k FROM events)"""

@@ -134,6 +134,6 @@ def session_log(spark: SparkSession, d: str) -> DataFrame:
     pairs = F.create_map(*[F.lit(x) for kv in TOOL_OF_EVENT.items() for x in kv])
     return table(spark, d, "events").select(
         "event_id", F.concat_ws("-", "user_id", week.cast("string")).alias("session_id"), "user_id", week.alias("week"), "ts",
-        F.element_at(pairs, F.col("event_type")).alias("tool"), F.concat(F.lit("f"), k % 4, F.lit(".php")).alias("file_path"),
+        F.element_at(pairs, F.col("event_type")).alias("tool"), F.concat(F.lit("f"), k % 6, F.lit(".php")).alias("file_path"),
         _pick(TASK_TYPES, F.col("user_id")).alias("task_type"), k.alias("k"),
     )
