@@ -148,14 +148,14 @@ def tune_suggestion(phrase: Column, files: Column) -> Column:
 
 def strip_comments(code: Column) -> Column:
     """Code without block comments and line comments (an address after a colon is kept)."""
-    return F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", ""), r"(?m)(^|[^:])//[^\n]*", "$1")
+    return F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", ""), r"(?m)(?<!:)//[^\n]*|^\s*#[^\n]*", "")
 
 
 def clean_tokens(tokens: Column, max_length: int = 200) -> Column:
     """Trimmed tokens in order, without repeats, over-long ones and unexpected characters."""
     trimmed = F.transform(tokens, lambda t: F.trim(t))
     good = F.filter(
-        trimmed, lambda t: (F.length(t) > 0) & (F.length(t) <= max_length) & t.rlike(r"^[A-Za-z0-9_$:'\[\]()\-./ ]+$")
+        trimmed, lambda t: (F.length(t) > 0) & (F.length(t) <= max_length) & t.rlike(r"^[A-Za-z0-9_:$\[\]'\"\-./()]+$")
     )
     return F.array_distinct(good)
 
