@@ -21,6 +21,7 @@ from siftmill.operators.graph import components
 from siftmill.session import cut_lineage
 
 BLOCK = 1500
+SMALL_BLOCK, SPLITS = 16, 4
 PATTERN_WEIGHT, TITLE_WEIGHT, CATEGORY_WEIGHT = 0.5, 0.3, 0.2
 
 
@@ -38,8 +39,30 @@ def rule_similarity(a: str, b: str) -> Column:
 # --- small numpy helpers -------------------------------------------------------------------
 
 
+def _grams(text: str, q: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The q-grams of a text as sorted codes with their counts."""
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    if len(codes) < q:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    mixed = codes[: len(codes) - q + 1].copy()
+    for k in range(1, q):
+        mixed = mixed * np.uint64(1_114_112) + codes[k : len(codes) - q + 1 + k]
+    return np.unique(mixed, return_counts=True)
+
+
+def gram_bound(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], q: int = 3) -> int:
+    """A lower bound of the edit distance: one edit changes at most q grams of either text."""
+    _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    common = int(np.minimum(a[1][ia], b[1][ib]).sum())
+    return -(-(max(int(a[1].sum()), int(b[1].sum())) - common) // q)
+
+
 def edit_distance(a: str, b: str, limit: int) -> int:
-    """Edit distance, or ``limit + 1`` once it must exceed the limit."""
+    """Edit distance, or ``limit + 1`` once it must exceed the limit.
+
+    Bit-parallel over the letters of one text (Hyyro, 2003): a column of the table is a pair of
+    integers, so each letter of the other text costs a few integer operations.
+    """
     if a == b:
         return 0
     if abs(len(a) - len(b)) > limit:
@@ -54,17 +77,26 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     a, b = a[: len(a) - n], b[: len(b) - n]
     if not a or not b:
         return len(a) + len(b)
-    codes = np.frombuffer(b.encode("utf-32-le"), dtype=np.uint32)
-    steps = np.arange(len(b) + 1)
-    row = steps.copy()
-    for i, ch in enumerate(a, 1):
-        best = np.empty_like(row)
-        best[0] = i
-        best[1:] = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(ch)))
-        row = np.minimum.accumulate(best - steps) + steps
-        if row.min() > limit:
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | (1 << i)
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score, left = full, 0, len(a), len(b)
+    for ch in b:
+        eq = places.get(ch, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq
+        vertical = eq | down
+        rise, fall = down | (full & ~(diagonal | up)), up & diagonal
+        left -= 1
+        if rise & top:
+            score += 1
+        elif fall & top:
+            score -= 1
+        if score - left > limit:
             return limit + 1
-    return int(row[-1])
+        rise, fall = ((rise << 1) | 1) & full, (fall << 1) & full
+        up, down = fall | (full & ~(vertical | rise)), rise & vertical
+    return min(score, limit + 1)
 
 
 class Forest:
@@ -93,11 +125,12 @@ class Forest:
 def into_tiles(rows: DataFrame, keys: list[str], row_id: str, block: int = BLOCK) -> DataFrame:
     """Send each row of a key group to the tiles of its block with every block of the group.
 
-    ``tile_a <= tile_b`` name the tile and ``side`` the block a row belongs to; a group of up to
-    ``block`` rows is one tile. Groups of one row are dropped, they have no pair.
+    ``tile_a <= tile_b`` name the tile and ``side`` the block a row belongs to. A group is cut
+    into up to ``SPLITS`` blocks to spread its work, and further once blocks would exceed
+    ``block`` rows. Groups of one row are dropped, they have no pair.
     """
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
-    blocks = F.ceil(F.col("_n") / block).cast("int")
+    blocks = F.greatest(F.ceil(F.col("_n") / block), F.least(F.ceil(F.col("_n") / SMALL_BLOCK), F.lit(SPLITS))).cast("int")
     mine = F.pmod(F.xxhash64(row_id), blocks).cast("int")
     placed = rows.join(sizes, keys).withColumn("_b", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return placed.select(
@@ -105,6 +138,12 @@ def into_tiles(rows: DataFrame, keys: list[str], row_id: str, block: int = BLOCK
     ).drop("_n", "_b", "_o")
 
 
+def by_tile(tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """Tiles over all shuffle partitions: few bytes but much work, so small ones stay apart."""
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(n, *keys)
+
+
 def _tile_pairs(pdf: pd.DataFrame) -> Iterator[tuple[int, int]]:
     side = pdf["side"].to_numpy()
     if pdf["tile_a"].iat[0] == pdf["tile_b"].iat[0]:
@@ -147,7 +186,8 @@ def title_prefixes(rules: DataFrame, title_share: float) -> DataFrame:
     ordered = flat.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("ts"))
     n = F.size("ts")
     keep = (n - F.ceil(n * title_share - 1e-9) + 1).cast("int")
-    return ordered.select("id", F.explode(F.slice("ts", 1, keep)).alias("t")).select("id", F.col("t.token").alias("token"))
+    rare = F.transform(F.slice("ts", 1, keep), lambda t: t["token"])
+    return ordered.select("id", rare.alias("prefix")).select("id", "prefix", F.explode("prefix").alias("token"))
 
 
 def near_duplicate_edges(rules: DataFrame, threshold: float = 0.9, block: int = BLOCK) -> DataFrame:
@@ -171,9 +211,19 @@ def near_duplicate_edges(rules: DataFrame, threshold: float = 0.9, block: int =
 
     def check_tile(pdf: pd.DataFrame) -> pd.DataFrame:
         titles = [frozenset(t) for t in pdf["words"]]
-        texts = pdf["pattern"].tolist()
+        prefixes = [frozenset(t) for t in pdf["prefix"]]
+        token, texts = pdf["token"].iat[0], pdf["pattern"].tolist()
+        grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def grams_of(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in grams:
+                grams[i] = _grams(texts[i])
+            return grams[i]
 
         def check(i: int, j: int) -> float | None:
+            # A pair that shares several rare tokens is judged under the first of them only.
+            if token != min(prefixes[i] & prefixes[j]):
+                return None
             a, b = titles[i], titles[j]
             common = len(a & b)
             title = common / (len(a) + len(b) - common) if a and b else 0.0
@@ -182,15 +232,18 @@ def near_duplicate_edges(rules: DataFrame, threshold: float = 0.9, block: int =
             if need > 1.0 or longer == 0:
                 return None
             limit = math.floor((1.0 - need) * longer + 1e-9)
+            if abs(len(texts[i]) - len(texts[j])) > limit or gram_bound(grams_of(i), grams_of(j)) > limit:
+                return None
             dist = edit_distance(texts[i], texts[j], limit)
             score = (1.0 - dist / longer) * PATTERN_WEIGHT + title * TITLE_WEIGHT + CATEGORY_WEIGHT
             return score if dist <= limit and score >= threshold - 1e-12 else None
 
         return _edges(pdf, check)
 
+    keys = ["category", "token", "tile_a", "tile_b"]
     near = (
-        tiles.withColumn("words", token_set(F.col("title")))
-        .groupBy("category", "token", "tile_a", "tile_b")
+        by_tile(tiles.withColumn("words", token_set(F.col("title"))), keys)
+        .groupBy(*keys)
         .applyInPandas(check_tile, "src long, dst long, similarity double")
     )
     return copies.unionByName(near)
@@ -211,7 +264,8 @@ def similar_text_edges(texts: DataFrame, keys: list[str], threshold: float, bloc
         return _edges(pdf, check)
 
     tiles = into_tiles(texts, keys, "id", block)
-    return tiles.groupBy(*keys, "tile_a", "tile_b").applyInPandas(check_tile, "src long, dst long, similarity double")
+    keys = [*keys, "tile_a", "tile_b"]
+    return by_tile(tiles, keys).groupBy(*keys).applyInPandas(check_tile, "src long, dst long, similarity double")
 
 
 def duplicate_clusters(rules: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -338,7 +392,8 @@ def vector_edges(vectors: DataFrame, threshold: float = 0.85, pivots: int = 256,
         return pd.DataFrame(out, columns=["src", "dst", "similarity"])
 
     tiles = into_tiles(placed, ["cell"], "id", block)
-    return tiles.groupBy("cell", "tile_a", "tile_b").applyInPandas(check_tile, "src long, dst long, similarity double")
+    keys = ["cell", "tile_a", "tile_b"]
+    return by_tile(tiles, keys).groupBy(*keys).applyInPandas(check_tile, "src long, dst long, similarity double")
 
 
 def vector_clusters(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:

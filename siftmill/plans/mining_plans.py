@@ -68,7 +68,8 @@ def _doc_rules(spark, d):
 
 DUPS = f"""dr AS MATERIALIZED (SELECT doc_id AS id, text, {plain('text')} AS pattern, {toks("string_split(text, chr(10))[1]")} AS tk, lang AS category, n_chars % 100 AS confidence, n_chars FROM documents),
 tp AS MATERIALIZED (SELECT * FROM (SELECT a.id AS a, b.id AS b, {jac('a.tk', 'b.tk')} AS j, a.pattern AS pa, b.pattern AS pb FROM dr a JOIN dr b ON a.id < b.id AND a.category = b.category) WHERE j > 0.66),
-ed AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, {lev('pa', 'pb')} * 0.5::DOUBLE + j * 0.3::DOUBLE + 0.2::DOUBLE AS s FROM tp WHERE 1 - abs(length(pa) - length(pb))::DOUBLE / greatest(length(pa), length(pb), 1) >= 0.79) WHERE s >= 0.9 - 1e-12),
+tq AS MATERIALIZED (SELECT * FROM tp WHERE (1 - abs(length(pa) - length(pb))::DOUBLE / greatest(length(pa), length(pb), 1)) * 0.5 + j * 0.3 + 0.2 >= 0.9 - 1e-12),
+ed AS MATERIALIZED ({' UNION ALL '.join(f"SELECT a, b FROM (SELECT a, b, {lev('pa', 'pb')} * 0.5::DOUBLE + j * 0.3::DOUBLE + 0.2::DOUBLE AS s FROM tq WHERE (a + b) % 16 = {k}) WHERE s >= 0.9 - 1e-12" for k in range(16))}),
 ud AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach(id, r) AS (SELECT a, a FROM ud UNION SELECT ud.b, reach.r FROM reach JOIN ud ON ud.a = reach.id WHERE reach.r < ud.b),
 cl AS MATERIALIZED (SELECT id, min(r) AS cluster FROM reach GROUP BY id)"""
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.sources.tables import RULE_SCHEMA
+from siftmill.sources.tables import RULE_DDL
 
 # Fixed values.
 SEVERITIES = ["CRITICAL", "HIGH", "SUGGEST", "MEDIUM", "INFO"]
@@ -61,7 +61,7 @@ class Rule:
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """A rule table from JSON or Parquet with the explicit schema and the rule defaults."""
-    reader = spark.read.schema(RULE_SCHEMA)
+    reader = spark.read.schema(RULE_DDL)
     raw = reader.parquet(path) if path.endswith(".parquet") else reader.json(path)
     return with_defaults(raw)
 

@@ -3,11 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
-
-def _schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
 
 
 TABLE_DDL = {
@@ -46,7 +41,6 @@ RULE_DDL = (
     "context_guard struct<pattern:string,lines_before:int,lines_after:int,cross_file:string>, "
     "requires array<string>, conflicts array<string>"
 )
-RULE_SCHEMA = _schema(RULE_DDL)
 
 FILE_DDL = "project string, path string, ext string, lang string, content string"
 VIOLATION_DDL = (
