@@ -669,3 +669,44 @@ def undefined_references(spark, d):
     target = F.col("path").rlike(r"/tests/.*\.php$")
     out = scan.undefined_references(corpus.code_files(spark, d), UNDEFINED, target, r"[a-z_]+_[0-9]+")
     return out.select("project", "path", "line_no", "symbol")
+
+
+# --- extension surface ---------------------------------------------------------------------
+
+
+def _long_lines(files, rules):
+    """A user's detector: lines longer than the number the rule's pattern names."""
+    source = corpus.with_lines(files)
+    parts = []
+    for r in rules:
+        hits = F.filter(
+            F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))), lambda h: F.length(h["line"]) > int(r.pattern)
+        )
+        rows = source.select("project", "path", F.inline(hits))
+        parts.append(
+            rows.select(
+                "project", *[F.lit(v).alias(n) for n, v in (("rule_id", r.rule_id), ("severity", r.severity), ("category", r.category), ("description", r.description))],
+                "path", "line_no", F.substring("line", 1, 120).alias("match_text"),
+            )
+        )
+    return metrics.union_all(parts)
+
+
+PLUGIN_RULES = [CODE_RULES[4], CROSS, Rule("long-line", "60", "SUGGEST", "style", type="long-line")]
+
+
+@query(
+    "plugin_scan", "UDF1 UDF2",
+    f"""WITH {q.CODE_LINES_CTE}, kept AS (SELECT * FROM code_lines WHERE NOT contains(path, '/vendor/')), p AS ({presence_sql('kept', [CODE_RULES[4]])}), c0 AS ({presence_sql('kept', [CROSS])}),
+c AS (SELECT project, rule_id, path, min(line_no) AS line_no FROM c0 WHERE path IN (SELECT path FROM code WHERE NOT regexp_matches(content, '\\.catch\\(')) GROUP BY ALL)
+SELECT rule_id, project, count(*) AS hits, CAST(sum(line_no) AS BIGINT) AS line_sum FROM (SELECT rule_id, project, line_no FROM p UNION ALL SELECT rule_id, project, line_no FROM c UNION ALL SELECT 'long-line', project, line_no FROM kept WHERE length(line) > 60) GROUP BY ALL""",
+)
+def plugin_scan(spark, d):
+    from dataclasses import replace
+
+    from siftmill.operators import extend
+
+    detectors = extend.standard_detectors().register("long-line", _long_lines)
+    rules = [replace(r, type="cross-check") if r is CROSS else r for r in PLUGIN_RULES]
+    hits = extend.PlugIn(detectors, rules).scan(corpus.code_files(spark, d))
+    return hits.groupBy("rule_id", "project").agg(F.count("*").alias("hits"), F.sum(F.col("line_no").cast("long")).alias("line_sum"))

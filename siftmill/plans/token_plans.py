@@ -117,3 +117,16 @@ def config_facts(text):
     }
 
 
+
+
+@query(
+    "transformed_tokens", "UDF3",
+    f"""WITH {DOC} SELECT id, '--auto:auto;--md:' || (p_size * 2::DOUBLE / 16) || 'rem;--sm:' || (p_size::DOUBLE / 16) || 'rem' AS css FROM t0""",
+)
+def transformed_tokens(spark, d):
+    from siftmill.operators.extend import transformed
+
+    rem = lambda df: df.withColumn("spacing", T.map_values(F.col("spacing"), T.px_to_rem))
+    named = lambda df: df.withColumn("entries", T.prefixed(F.col("spacing")))
+    text = lambda df: df.select("id", F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["key"], e["value"])), ";").alias("css"))
+    return transformed(_docs(spark, d), rem, named, text)
