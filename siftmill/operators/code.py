@@ -314,22 +314,25 @@ def calls_in_loops(files: DataFrame, call: str = r"get_post_meta\s*\(", guard: s
         def numbers(pattern: str) -> Column:
             return F.array_compact(F.transform(lines, lambda x, i: F.when(x.rlike(pattern), i + 1)))
 
-        def with_loops(loops: Column) -> Column:
-            def owner(c: Column) -> Column:
-                def holds(at: Column) -> Column:
-                    start = F.struct(F.lit(0).alias("level"), F.lit(1 << 20).alias("low"))
+        def with_deltas(deltas: Column) -> Column:
+            def with_loops(loops: Column) -> Column:
+                def owner(c: Column) -> Column:
+                    def holds(at: Column) -> Column:
+                        start = F.struct(F.lit(0).alias("level"), F.lit(1 << 20).alias("low"))
 
-                    def step(acc: Column, x: Column) -> Column:
-                        level = acc["level"] + _braces(x)
-                        return F.struct(level.alias("level"), F.least(acc["low"], level).alias("low"))
+                        def step(acc: Column, delta: Column) -> Column:
+                            level = acc["level"] + delta
+                            return F.struct(level.alias("level"), F.least(acc["low"], level).alias("low"))
 
-                    return F.aggregate(F.slice(lines, at, c - at), start, step, lambda acc: acc["low"] > 0)
+                        return F.aggregate(F.slice(deltas, at, c - at), start, step, lambda acc: acc["low"] > 0)
 
-                return F.array_min(F.filter(loops, lambda at: F.when(at < c, holds(at)).otherwise(False)))
+                    return F.array_min(F.filter(loops, lambda at: F.when(at < c, holds(at)).otherwise(False)))
 
-            return F.transform(numbers(call), lambda c: F.struct(c.alias("line_no"), owner(c).alias("loop_line")))
+                return F.transform(numbers(call), lambda c: F.struct(c.alias("line_no"), owner(c).alias("loop_line")))
 
-        return let(numbers(LOOP), with_loops)
+            return let(numbers(LOOP), with_loops)
+
+        return let(F.transform(lines, lambda x: _braces(x)), with_deltas)
 
     rows = source.select("project", "path", F.explode(let(F.col("lines"), found)).alias("h")).select("project", "path", "h.*")
     return rows.filter(F.col("loop_line").isNotNull()).groupBy("project", "path", "loop_line").agg(F.min("line_no").alias("line_no"))

@@ -181,8 +181,9 @@ def components_of(pages: DataFrame, minimum_offset: int = 0) -> DataFrame:
         )
         score = F.least(score, F.lit(10))
         scored.append(F.when(score >= minimum + minimum_offset, F.struct(score.alias("score"), F.lit(-i).alias("neg"), F.lit(kind).alias("component_type"))))
+    # Exploding the best score, rather than filtering on it, evaluates the scores once.
     best = F.array_max(F.array_compact(F.array(*scored)))
-    return rows.select("project", "path", "pos", "tag", "cls", best.alias("b")).filter(F.col("b").isNotNull()).select(
+    return rows.select("project", "path", "pos", "tag", "cls", F.explode(F.array_compact(F.array(best))).alias("b")).select(
         "project", "path", "pos", "tag", "cls", "b.component_type", "b.score"
     )
 

@@ -327,7 +327,7 @@ def guardrail(report: DataFrame, clusters: DataFrame, created: DataFrame, noise:
 # --- vectors -------------------------------------------------------------------------------
 
 
-def vector_edges(vectors: DataFrame, threshold: float = 0.85, pivots: int = 256, block: int = BLOCK) -> DataFrame:
+def vector_edges(vectors: DataFrame, threshold: float = 0.85, max_pivots: int = 256, block: int = BLOCK) -> DataFrame:
     """Edges that connect vectors ``(id, embedding)`` with cosine at least ``threshold``. Exact.
 
     Unit vectors are assigned to the nearest of a fixed number of pivots. A vector can only be
@@ -335,6 +335,7 @@ def vector_edges(vectors: DataFrame, threshold: float = 0.85, pivots: int = 256,
     cell's radius plus the reach (triangle inequality), so it visits those cells as a guest.
     Pivots are a sample of bounded size; any choice gives the same result.
     """
+    pivots = min(max_pivots, max(4, math.isqrt(vectors.count()) // 4))
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold))
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).select("embedding").collect()
     centres = np.array([r["embedding"] for r in sample], dtype=np.float64)

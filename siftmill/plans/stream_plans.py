@@ -80,7 +80,7 @@ def changed_file_stream(spark, d):
 @query(
     "cached_decision_stream", "STR7",
     f"""WITH c AS (SELECT user_id, min({US}) AS decided_us FROM events WHERE event_type = 'signup' GROUP BY 1), r AS (SELECT event_id, user_id, {US} AS us, CASE user_id % 4 WHEN 0 THEN 1800 WHEN 1 THEN 900 WHEN 2 THEN 86400 ELSE 3600 END AS ttl FROM events WHERE event_type = 'view')
-SELECT event_id, user_id, us - decided_us AS age_us FROM r JOIN c USING (user_id) WHERE us >= decided_us AND us - decided_us <= ttl * 100 * 1000000""",
+SELECT event_id, user_id, us - decided_us AS age_us FROM r JOIN c USING (user_id) WHERE us >= decided_us AND us - decided_us <= CAST(ttl AS BIGINT) * 100 * 1000000""",
 )
 def cached_decision_stream(spark, d):
     signups = table(spark, d, "events").filter("event_type = 'signup'").withColumn("event_time", utc_instant(F.col("ts")))
