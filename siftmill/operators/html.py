@@ -153,37 +153,39 @@ def components_of(pages: DataFrame, minimum_offset: int = 0) -> DataFrame:
     )
     flags = page_flags(F.col("content"))
     first = F.array_position(F.transform(tags, lambda t: F.lower(F.regexp_extract(t, r"^<([A-Za-z0-9]+)", 1))), "section") - 1
-    rows = pages.select("project", "path", first.alias("_section"), *[c.alias(f"_{n}") for n, c in flags.items()], F.inline(opened))
+    known = F.create_map(*[x for n, c in flags.items() for x in (F.lit(n), c)])
+    rows = pages.select("project", "path", first.alias("_section"), known.alias("_flags"), F.inline(opened))
     tag, cls, pos = F.col("tag"), F.col("cls"), F.col("pos")
+    text = lambda xs: F.array(*[F.lit(x) for x in xs])
+    specs = F.array(
+        *[
+            F.struct(
+                text(tags_).alias("tags"), text(frags).alias("frags"), F.lit(struct_name or "none").alias("structure"), F.lit(place or "none").alias("place"),
+                F.lit(minimum + minimum_offset).alias("minimum"), F.lit(-i).alias("neg"), F.lit(kind).alias("kind"),
+            )
+            for i, (kind, (tags_, frags, struct_name, place, minimum)) in enumerate(COMPONENTS.items())
+        ]
+    )
 
-    def structure(name: str | None) -> Column:
-        if name is None:
-            return F.lit(False)
-        if name == "clickable":
-            return tag.isin("button", "a")
-        if name == "small_inline":
-            return cls.rlike("inline|flex")
-        return F.col(f"_{name}")
-
-    def position(name: str | None) -> Column:
-        if name == "top":  # among the first tags, head included
-            return pos < 10
-        if name == "first_section":
-            return pos == F.col("_section")
-        return F.lit(False)
-
-    scored = []
-    for i, (kind, (names, fragments, struct_name, place, minimum)) in enumerate(COMPONENTS.items()):
-        matched = sum((F.when(cls.contains(f), 1).otherwise(0) for f in fragments[1:]), F.when(cls.contains(fragments[0]), 1).otherwise(0))
+    # The list of types is data of the expression, not code: the evaluated code stays small.
+    def judge(spec: Column) -> Column:
+        kind = spec["structure"]
+        structure = (
+            F.when(kind == "clickable", tag.isin("button", "a")).when(kind == "small_inline", cls.rlike("inline|flex"))
+            .otherwise(F.coalesce(F.try_element_at("_flags", kind), F.lit(False)))
+        )
+        # "top": among the first tags, head included.
+        place = F.when(spec["place"] == "top", pos < 10).when(spec["place"] == "first_section", pos == F.col("_section")).otherwise(False)
         score = (
-            F.when(tag.isin(names), 3).otherwise(0) + F.least(matched, F.lit(4)) + F.when(structure(struct_name), 3).otherwise(0)
-            + F.when(position(place), 2).otherwise(0)
+            F.when(F.array_contains(spec["tags"], tag), 3).otherwise(0) + F.least(F.size(F.filter(spec["frags"], lambda f: cls.contains(f))), F.lit(4))
+            + F.when(structure, 3).otherwise(0) + F.when(place, 2).otherwise(0)
         )
-        score = F.least(score, F.lit(10))
-        scored.append(F.when(score >= minimum + minimum_offset, F.struct(score.alias("score"), F.lit(-i).alias("neg"), F.lit(kind).alias("component_type"))))
-    # Exploding the best score, rather than filtering on it, evaluates the scores once.
-    best = F.array_max(F.array_compact(F.array(*scored)))
-    return rows.select("project", "path", "pos", "tag", "cls", F.explode(F.array_compact(F.array(best))).alias("b")).select(
+        return F.struct(F.least(score, F.lit(10)).alias("score"), spec["neg"].alias("neg"), spec["kind"].alias("component_type"), spec["minimum"].alias("minimum"))
+
+    reached = F.filter(F.transform(specs, judge), lambda s: s["score"] >= s["minimum"])
+    # Exploding the best one, rather than filtering on it, evaluates the scores once.
+    best = F.slice(F.reverse(F.array_sort(reached)), 1, 1)
+    return rows.select("project", "path", "pos", "tag", "cls", F.explode(best).alias("b")).select(
         "project", "path", "pos", "tag", "cls", "b.component_type", "b.score"
     )
 

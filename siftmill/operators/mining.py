@@ -12,6 +12,7 @@ from siftmill.functions.text import category_of_match, escape_literal, let, nega
 from siftmill.operators.graph import components
 from siftmill.operators.metrics import common_fp_tokens
 from siftmill.operators.similarity import similar_text_edges
+from siftmill.session import cut_lineage
 
 PROJECT_ROOTS = "themes|plugins"
 
@@ -183,7 +184,8 @@ def text_clusters(violations: DataFrame, threshold: float = 0.8) -> DataFrame:
     is one row in the comparison.
     """
     texts = violations.groupBy("ext", "text").agg(F.count("*").alias("n"))
-    texts = texts.withColumn("id", F.xxhash64("ext", "text"))
+    # Read three times below; the scan behind it runs once.
+    texts = cut_lineage(texts.withColumn("id", F.xxhash64("ext", "text")))
     edges = similar_text_edges(texts.select("ext", "id", "text"), ["ext"], threshold)
     comp = components(edges).select(F.col("node").alias("id"), "component")
     return texts.join(comp, "id", "left").select("ext", "text", "n", F.coalesce("component", "id").alias("cluster"))
@@ -191,7 +193,7 @@ def text_clusters(violations: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def mined_patterns(violations: DataFrame, threshold: float = 0.8, min_occurrences: int = 2) -> DataFrame:
     """Suggested patterns: clusters with enough occurrences, their common text as a regex."""
-    clusters = text_clusters(violations, threshold)
+    clusters = cut_lineage(text_clusters(violations, threshold))
     info = clusters.groupBy("ext", "cluster").agg(
         F.sum("n").alias("occurrences"), F.count("*").alias("texts"), F.min("text").alias("example"),
         *[F.bool_or(F.col("text").rlike(p)).alias(f"t{i}") for i, p in enumerate(CLUSTER_TESTS)],

@@ -206,8 +206,9 @@ def near_duplicate_edges(rules: DataFrame, threshold: float = 0.9, block: int =
     copies = marked.filter("id != first").select(F.col("first").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("similarity"))
     unique = marked.filter("id = first").drop("first")
     title_min = (threshold - PATTERN_WEIGHT - CATEGORY_WEIGHT) / TITLE_WEIGHT
-    keyed = title_prefixes(unique, title_min).join(unique, "id")
-    tiles = into_tiles(keyed, ["category", "token"], "id", block)
+    # Keys first and texts last: the texts travel once, to the tiles that compare them.
+    keyed = cut_lineage(title_prefixes(unique, title_min).join(unique.select("id", "category"), "id"))
+    tiles = into_tiles(keyed, ["category", "token"], "id", block).join(unique.select("id", "pattern", "title"), "id")
 
     def check_tile(pdf: pd.DataFrame) -> pd.DataFrame:
         titles = [frozenset(t) for t in pdf["words"]]
