@@ -479,10 +479,9 @@ def upserted_suggestions(spark, d):
 def promotion_outcomes(spark, d):
     raw = _raw_suggestions(spark, d)
     all_rows = incremental.upsert_suggestions(raw, raw.limit(0))
-    # One row: the number of approved suggestions, attached to every pending one.
-    gate = all_rows.agg(F.count_if(F.col("status") == "approved").alias("approved"))
-    pending = all_rows.filter("status = 'pending'").join(F.broadcast(gate))
-    out = incremental.promotion_outcome(pending, F.col("approved"), min_approved=10, min_frequency=300)
+    # The gate is one number.
+    approved = all_rows.filter("status = 'approved'").count()
+    out = incremental.promotion_outcome(all_rows.filter("status = 'pending'"), F.lit(approved), min_approved=10, min_frequency=300)
     return out.groupBy("outcome").agg(F.count("*").alias("candidates"))
 
 
