@@ -237,3 +237,28 @@ def recommend_base(projects: DataFrame, per_industry: int = 5) -> DataFrame:
     return ranked.withColumn("score", F.lit(1.0) * 0.7 + F.col("quality") / 100.0 * 0.3).withColumn(
         "place", F.when(F.col("rn") == 1, "base").when(F.col("rn") <= 3, "alternative").otherwise("candidate")
     )
+
+
+def health_snapshot(log: DataFrame, facts: DataFrame, now: Column, failures: Column | None = None, max_failures: int = 50) -> DataFrame:
+    """State of the learning as (stat, value) rows: totals, recency and an overall status.
+
+    Each input is reduced to one row and unpivoted; the rows are united, not joined.
+    """
+    per = log.groupBy("session_id").agg(F.max("ts").alias("ended"), F.min("ts").alias("started"), F.count_if(F.col("tool").isin(WRITES)).alias("writes"))
+    week_ago = now - F.expr("INTERVAL 7 DAYS")
+    one = per.agg(
+        F.count("*").alias("total_sessions"), F.sum("writes").alias("total_writes"), F.count_if(F.col("started") > week_ago).alias("recent_sessions"),
+        F.count_if((F.col("started") < week_ago) & (F.col("writes") == 0)).alias("stale_sessions"), F.max("ended").alias("last"),
+    )
+    failed = F.lit(0) if failures is None else failures
+    status = F.when(failed > max_failures, "degraded").when((F.col("total_sessions") == 0) | (F.col("recent_sessions") == 0), "stalled").otherwise("healthy")
+    counts = ["total_sessions", "total_writes", "recent_sessions", "stale_sessions"]
+    sessions = one.select(*[F.col(c).cast("string").alias(c) for c in counts], F.date_format("last", "yyyy-MM-dd").alias("last_session"), status.alias("status"))
+    learned = facts.agg(
+        F.count("*").cast("string").alias("facts_learned"), F.count_if("blessed").cast("string").alias("blessed_conventions"), F.countDistinct("project").cast("string").alias("projects_learned")
+    )
+
+    def rows(df: DataFrame) -> DataFrame:
+        return df.unpivot([], df.columns, "stat", "value")
+
+    return rows(sessions).unionByName(rows(learned))

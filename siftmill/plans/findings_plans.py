@@ -9,7 +9,7 @@ from siftmill.operators import incremental, metrics, ordered, pairs, scan
 from siftmill.plans import concept_sql as C
 from siftmill.plans import sqltext as q
 from siftmill.plans.registry import query
-from siftmill.plans.scan_plans import CODE_HITS_CTE, CODE_RULES, HITS_CTE, PART_RULES_CTE, PROSE_RULES, code_hits, part_rules, presence_sql, prose_hits
+from siftmill.plans.scan_plans import CODE_HITS_CTE, CODE_RULES, HITS_CTE, PART_RULES_CTE, PROSE_RULES, code_hits, part_rules, presence_sql
 from siftmill.sources import concepts, corpus, rules as R
 from siftmill.sources.sinks import top_per_key
 from siftmill.sources.tables import table

@@ -351,3 +351,16 @@ def base_recommendations(spark, d):
 @query("sessions_per_week", "FUN6", f"SELECT {C.WEEK} AS week, count(*) AS events FROM events GROUP BY 1")
 def sessions_per_week(spark, d):
     return table(spark, d, "events").groupBy(epoch_week(concepts.epoch_seconds(F.col("ts"))).alias("week")).agg(F.count("*").alias("events"))
+
+
+@query(
+    "learning_health", "AGG59",
+    f"""WITH {USES}, per AS (SELECT session_id, max(ts) AS ended, min(ts) AS started, count(*) FILTER (WHERE tool IN ('Write', 'Edit')) AS writes FROM s GROUP BY 1),
+one AS (SELECT count(*) AS a, sum(writes) AS b, count(*) FILTER (WHERE started > TIMESTAMP '2024-01-24') AS c, count(*) FILTER (WHERE started < TIMESTAMP '2024-01-24' AND writes = 0) AS d, max(ended) AS l FROM per)
+SELECT 'total_sessions' AS stat, CAST(a AS VARCHAR) AS value FROM one UNION ALL SELECT 'total_writes', CAST(b AS VARCHAR) FROM one UNION ALL SELECT 'recent_sessions', CAST(c AS VARCHAR) FROM one UNION ALL SELECT 'stale_sessions', CAST(d AS VARCHAR) FROM one
+UNION ALL SELECT 'last_session', strftime(l, '%Y-%m-%d') FROM one UNION ALL SELECT 'status', CASE WHEN a = 0 OR c = 0 THEN 'stalled' ELSE 'healthy' END FROM one UNION ALL SELECT 'facts_learned', CAST(count(*) AS VARCHAR) FROM us
+UNION ALL SELECT 'blessed_conventions', CAST(count(*) FILTER (WHERE times_seen >= 10) AS VARCHAR) FROM us UNION ALL SELECT 'projects_learned', CAST(count(DISTINCT project) AS VARCHAR) FROM us""",
+)
+def learning_health(spark, d):
+    facts = _uses(spark, d).withColumn("blessed", F.col("times_seen") >= 10)
+    return S.health_snapshot(concepts.session_log(spark, d), facts, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
