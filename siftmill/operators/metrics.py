@@ -310,7 +310,7 @@ def rules_needing_tuning(phrases: DataFrame, dismissals: DataFrame, min_dismissa
     totals = dismissals.groupBy("rule_id").agg(F.count("*").alias("dismissals")).filter(F.col("dismissals") >= min_dismissals)
     top = phrases.groupBy("rule_id").agg(F.max(F.struct(F.col("count"), F.col("phrase"))).alias("top"))
     return totals.join(top, "rule_id", "left").select(
-        "rule_id", "dismissals", F.col("top.phrase").alias("phrase"), F.col("top.count").alias("count"),
+        "rule_id", "dismissals", F.col("top.phrase").alias("phrase"), F.coalesce("top.count", F.lit(0).cast("long")).alias("count"),
         F.coalesce(ratio(F.col("top.count"), F.col("dismissals")) >= 0.8, F.lit(False)).alias("dominant"),
     )
 

@@ -125,7 +125,7 @@ def dismiss_phrases(spark, d):
 @query(
     "rules_needing_tuning", "AGG18",
     f"""WITH {PHRASES}, t AS (SELECT rule_id, count(*) AS dismissals FROM dis GROUP BY rule_id HAVING count(*) >= 5), top AS (SELECT rule_id, max({{'c': "count", 'p': phrase}}) AS top FROM ph GROUP BY rule_id)
-SELECT t.rule_id, dismissals, top.p AS phrase, top.c AS "count", coalesce(top.c::DOUBLE / dismissals >= 0.8, false) AS dominant FROM t LEFT JOIN top USING (rule_id)""",
+SELECT t.rule_id, dismissals, top.p AS phrase, coalesce(top.c, 0) AS "count", coalesce(top.c::DOUBLE / dismissals >= 0.8, false) AS dominant FROM t LEFT JOIN top USING (rule_id)""",
 )
 def rules_needing_tuning(spark, d):
     dis = _dismissals(spark, d)
