@@ -96,7 +96,7 @@ def detections(spark: SparkSession, d: str) -> DataFrame:
         _pick(["header", "hero", "card", "button", "badge", "grid", "image"], F.col("l_suppkey")).alias("component_type"),
         conf.alias("confidence_pct"), (conf / 100).alias("confidence"),
         (F.col("l_linestatus") == "F").alias("auto_applied"),
-        F.when(flag == "A", True).when((flag == "R") & (F.col("l_quantity") > 30), False).when(flag == "R", F.lit(None).cast("boolean")).otherwise(F.lit(None).cast("boolean")).alias("accepted"),
+        F.when(flag == "A", True).when((flag == "R") & (F.col("l_quantity") > 30), False).alias("accepted"),
         F.concat(F.lit("<div>"), F.col("l_quantity").cast("int").cast("string"), F.lit("</div>")).alias("snippet"),
         F.col("l_orderkey").alias("gen_id"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("ts"),
     )
