@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -31,15 +31,29 @@ def build_session(app: str = "siftmill", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    A local session runs in one process, so it may use a temporary folder where none is named
+    (tests). On a cluster a missing setting is an error: a machine-local folder would lose data.
+    """
+    named = spark.conf.get(CHECKPOINT_KEY, None)
+    if named:
+        return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+    named = tempfile.mkdtemp(prefix="siftmill-ckpt-")
+    spark.conf.set(CHECKPOINT_KEY, named)
+    return named
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; set one only where none is named (tests)."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
+    """Let ``checkpoint()`` write to the shared folder."""
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
-    target = named or tempfile.mkdtemp(prefix="siftmill-ckpt-")
-    sc.setCheckpointDir(target)
+    target = shared_folder(spark)
+    spark.sparkContext.setCheckpointDir(target)
     return target
 
 
@@ -49,10 +63,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only when the side is proven to hold at most ``max_rows`` rows.
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.
 
-    The check reads at most ``max_rows + 1`` rows. Beyond it the frame is returned without a
-    hint and the join is a shuffle join, split by adaptive execution where a key is hot.
+    Unlike ``checkpoint()`` the table is compressed and columns are pruned when it is read.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/siftmill/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
