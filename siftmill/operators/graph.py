@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,46 +84,19 @@ def dependents(edges: DataFrame, path: str) -> DataFrame:
     return edges.filter("kind = 'uses'").join(nodes.withColumnRenamed("node", "src"), ["project", "src"]).select("dst").distinct().filter(F.col("dst") != path)
 
 
-SMALL_EDGES = 500_000
-
-
-def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Components of an edge list that is known to be small."""
-    parent: dict = {}
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for pdf in batches:
-        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
-            parent.setdefault(u, u)
-            parent.setdefault(v, v)
-            a, b = root(u), root(v)
-            parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    yield pd.DataFrame({"node": nodes, "component": [root(n) for n in nodes]})
-
-
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, small_edges: int = SMALL_EDGES) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Connected components as (node, component), the component being its smallest node.
 
-    Up to ``small_edges`` edges (counted first) one task joins them directly. Beyond that:
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): every round is two
-    aggregations, the number of rounds grows with the logarithm of the diameter, and the edge
-    list is cut to the checkpoint folder after each, so executors may be lost. Hot nodes are
-    only ever seen through min aggregates and equi-joins that adaptive execution may split.
+    Alternating large-star and small-star rounds (Kiveris et al., 2014) until nothing changes:
+    every round is two aggregations, the number of rounds grows with the logarithm of the
+    diameter, and the edge list is cut to the checkpoint folder after each, so executors may be
+    lost. Hot nodes are only ever seen through min aggregates and equi-joins that adaptive
+    execution may split.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u != v")
     e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    if e.limit(small_edges + 1).count() <= small_edges:
-        kind = e.schema["u"].dataType.simpleString()
-        return e.coalesce(1).mapInPandas(_union_find, f"node {kind}, component {kind}")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -138,7 +108,5 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         if before == tuple(state):
             break
         before = tuple(state)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

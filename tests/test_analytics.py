@@ -78,13 +78,17 @@ def test_last_run(spark):
     assert {(r.key, r.value, r.times_seen) for r in ordered.last_run(df, ["key"], "v", ["ts"]).collect()} == {("a", "x", 3), ("b", "z", 1)}
 
 
-def test_components_large_path_equals_small(spark):
+def test_components_equal_a_union_find(spark):
     random.seed(7)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 30)] + [(random.randint(2000, 2060), random.randint(2000, 2060)) for _ in range(40)]
     df = spark.createDataFrame(edges, "src long, dst long")
-    small = {tuple(r) for r in graph.components(df).collect()}
-    large = {tuple(r) for r in graph.components(df, small_edges=0).collect()}
-    assert small == large and (60, 0) in large and (1029, 1000) in large
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in root:
+        for u, v in edges:
+            if u != v:
+                root[u] = root[v] = min(root[u], root[v])
+    found = {tuple(r) for r in graph.components(df).collect()}
+    assert found == set(root.items()) and (60, 0) in found and (1029, 1000) in found
 
 
 def _levenshtein(a, b):
