@@ -146,7 +146,7 @@ def _decode_lanes(blobs: list[bytes], steps: int, last: int) -> np.ndarray:
         code = code - r * (start + sub * width)
         span = r * width
         full = np.flatnonzero(span <= _MASK)
-        code[full] = code[full] << _U32 | words[used[full], every[full]]
+        code[full] = code[full] << _U32 | words[np.minimum(used[full], len(words) - 1), every[full]]
         used[full] += 1
         span[full] <<= _U32
         grid[t, :m] = x

@@ -89,8 +89,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, key: str = "ve
     blocks = max(1, -(-queries.count() // block_queries))
     shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(blocks)).cast("int")
-    left = candidates.select(F.col(key).alias("id"), "v", shard.alias("shard"))
-    right = queries.select(F.col(key).alias("id"), "v", block.alias("block"))
+    left = candidates.select(F.col(key).alias("id"), F.col("v").alias("v"), shard.alias("shard"))
+    right = queries.select(F.col(key).alias("id"), F.col("v").alias("v"), block.alias("block"))
 
     def search(group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "id": [], "score": []}
@@ -120,7 +120,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, key: str = "ve
     kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
     asked = home.drop("floor").withColumnRenamed("shard", "home").join(kth, F.col("id") == F.col("query_id"), "left")
     asked = asked.withColumn("floor", F.when(F.col("n") >= k, F.col("kth").cast("double")).otherwise(F.lit(low)))
-    rest = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard != home").select("id", "v", "block", "shard", "floor")
+    rest = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard != home").select(F.col("id").alias("id"), F.col("v").alias("v"), F.col("block").alias("block"), "shard", "floor")
     both = first.unionByName(visit(rest)) if shards > 1 else first
     ranked = both.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
