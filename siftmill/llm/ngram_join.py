@@ -34,7 +34,7 @@ from siftmill.operators.graph import components
 from siftmill.session import written_table
 
 GROUPS = 64  # coordinates of the points in the R-trees
-BLOCK_GROUPS = 64  # groups of a block
+BLOCK_GROUPS = 1 << 20  # groups of a block: so many that blocks of few shingles rarely agree by chance
 PAGE = 2048  # members of a cell that meet in one task
 LEAF = 32
 _M = np.uint64(0x9E3779B97F4A7C15)
