@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 
 SLICE_ROWS = 256
@@ -30,3 +31,13 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: all lowest bytes first. High bytes are mostly alike, so files and shuffles compress them away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def from_planes(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.base import Memo, slices
+from siftmill.llm.base import Memo, from_planes, planes, slices
 from siftmill.llm.ngram_join import _mix, _small_batches
 from siftmill.session import written_table
 
@@ -40,7 +40,7 @@ def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             vocab, words = np.unique(np.concatenate(parts), return_inverse=True)
-            cols = [[block], [keys], [list(map(len, parts))], [vocab.tobytes()], [words.astype("<u4").tobytes()]]
+            cols = [[block], [keys], [list(map(len, parts))], [vocab.tobytes()], [planes(words.astype("<u4"))]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["block", "keys", "lengths", "vocab", "words"])
 
@@ -64,7 +64,7 @@ class _Block:
 
     def __init__(self, lengths: list[int], vocab: bytes, words: bytes):
         self.vocab = np.frombuffer(vocab, np.uint64)
-        self.words = np.frombuffer(words, "<u4").astype(np.int64)
+        self.words = from_planes(words, "<u4").astype(np.int64)
         self.doc = np.repeat(np.arange(len(lengths)), lengths)
         self.lengths = np.array(lengths, np.int64)
         self.inner = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1  # positions with a word before them
@@ -120,20 +120,20 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: flo
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a < b:
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])]), batch.column(0), pa.array([block.grams[a:b].tobytes()]), pa.array([block.counts[a:b].tobytes()])], ["bucket", "block", "grams", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])]), batch.column(0), pa.array([planes(np.diff(block.grams[a:b], prepend=np.uint64(0)))]), pa.array([planes(block.counts[a:b])])], ["bucket", "block", "grams", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
-        grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()])
+        grams = [np.cumsum(from_planes(x, "<u8"), dtype=np.uint64) for x in table.column("grams").to_pylist()]
+        counts = np.concatenate([from_planes(x, "<u4") for x in table.column("counts").to_pylist()])
         distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
         totals = np.bincount(place, counts, len(distinct)).astype("<u8")[place]
         answers = np.split(totals, np.cumsum([len(g) for g in grams])[:-1])
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array([a.tobytes() for a in answers], pa.binary())})
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array([planes(a) for a in answers], pa.binary())})
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             keys, lengths, vocab, words, answers = (c[0].as_py() for c in batch.columns)
-            totals = np.concatenate([np.frombuffer(a["totals"], "<u8") for a in answers or []] or [np.empty(0, "<u8")]).astype(np.int64)
+            totals = np.concatenate([from_planes(a["totals"], "<u8") for a in answers or []] or [np.empty(0, "<u8")]).astype(np.int64)
             log_prob, backed = _Block(lengths, vocab, words).score(totals, n, backoff)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lengths, pa.int64()), pa.array(backed.astype(np.int64)), pa.array(log_prob)], ["k", "n_words", "n_backed_off", "log_prob"])
 
