@@ -24,6 +24,7 @@ LEAST_WORDS = 5  # items with fewer words are never matched
 BITS = 23  # size of the membership filter: 2**23 bits whatever the input
 WORD = re.compile(r"\w+")
 _MUL = 0x9E3779B97F4A7C15
+_FACTORS = np.random.default_rng(20).integers(1 << 62, 1 << 63, (64, 16)).astype(np.uint64) | np.uint64(1)
 
 
 def word_ids() -> Memo:
@@ -42,19 +43,16 @@ def masks_for(lengths: set[int]) -> list[tuple[int, ...]]:
 
 
 def seeds(tokens: np.ndarray, masks: list[tuple[int, ...]]) -> Iterator[np.ndarray]:
-    """For each mask the hash of every window; the mask's number is part of the hash."""
-    with np.errstate(over="ignore"):
-        for number, mask in enumerate(masks):
-            n = len(tokens) - mask[-1]
-            if n <= 0:
-                yield np.empty(0, np.uint64)
-                continue
-            h = np.full(n, number + 1, np.uint64)
-            for offset in mask:
-                h *= np.uint64(_MUL)
-                h ^= tokens[offset : offset + n]
-                h ^= h >> np.uint64(29)
-            yield h
+    """For each mask the hash of every window: the kept tokens times fixed odd numbers, which differ by mask and place."""
+    for number, mask in enumerate(masks):
+        n = max(0, len(tokens) - mask[-1])
+        h = np.full(n, number + 1, np.uint64)
+        for place, offset in enumerate(mask):
+            h += tokens[offset : offset + n] * _FACTORS[number % 64, place]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(_MUL)
+        h ^= h >> np.uint64(29)
+        yield h
 
 
 def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -112,19 +110,25 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         ids, member = word_ids(), shared.value
         schema = pa.schema([("doc", pa.string()), ("base", pa.int64()), ("around", pa.binary()), ("h", pa.list_(pa.int64())), ("at", pa.list_(pa.int64()))])
         for batch in slices(batches):
+            keys, lists = batch.column(0).to_pylist(), [token_ids(t, ids) for t in batch.column(1).to_pylist()]
+            stops = np.cumsum([0, *map(len, lists)])
+            row = np.repeat(np.arange(len(keys)), np.diff(stops))
+            # all texts of the slice in one array: windows that run over the end of a text are left out below
+            found = []
+            for mask, h in zip(masks, seeds(np.concatenate(lists), masks)):
+                at = np.flatnonzero(_in_filter(member, h))
+                at = at[row[at] == row[at + mask[-1]]]
+                found.append((h[at], at))
+            h, at = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(at, kind="stable")
+            h, at = h[order], at[order]
+            cuts = np.flatnonzero((np.diff(at) > reach) | (np.diff(row[at]) > 0)) + 1
             out = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = token_ids(t, ids)
-                found = [(h[w], w) for h in seeds(words, masks) if len(w := np.flatnonzero(_in_filter(member, h)))]
-                if not found:
-                    continue
-                h, at = (np.concatenate(x) for x in zip(*found))
-                order = np.argsort(at, kind="stable")
-                h, at = h[order], at[order]
-                cuts = np.flatnonzero(np.diff(at) > reach) + 1
-                for hs, ats in zip(np.split(h, cuts), np.split(at, cuts)):
-                    base = max(0, int(ats[0]) - reach)
-                    out.append({"doc": k, "base": base, "around": words[base : int(ats[-1]) + reach].tobytes(), "h": hs.view(np.int64).tolist(), "at": ats.tolist()})
+            for hs, ats in zip(np.split(h, cuts), np.split(at, cuts)) if len(at) else ():
+                r = row[ats[0]]
+                words, ats = lists[r], ats - stops[r]
+                base = max(0, int(ats[0]) - reach)
+                out.append({"doc": keys[r], "base": base, "around": words[base : int(ats[-1]) + reach].tobytes(), "h": hs.view(np.int64).tolist(), "at": ats.tolist()})
             yield pa.RecordBatch.from_pylist(out, schema)
 
     rows = docs.select(F.col(key).cast("string").alias("doc"), F.col(text).alias("t")).filter("doc is not null and t is not null")
