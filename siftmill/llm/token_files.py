@@ -22,13 +22,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmill.llm.base import slices
-from siftmill.llm.bpe import Pieces
+from siftmill.llm.bpe import pieces
 from siftmill.llm.range_coder import decode_ids, encode_ids
 
 MAGIC = b"SMT1"
 SEGMENT_IDS = 1 << 22
 
 
+class _Encoder:
+    """Ids of texts as bytes. The library is asked for the pieces of a batch that are not known yet, together."""
+
+    def __init__(self, tokenizer, entries: int = 600_000):
+        self.tokenizer, self.entries = tokenizer, entries
+        self.known: dict[str, bytes] = {}  # by the piece behind its leading space
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        parts = [pieces(t) for t in texts]
+        heads = self._ids([p[0] for p in parts])
+        wanted = set().union(*(p[1:] for p in parts))
+        if len(self.known) + len(wanted) > self.entries:
+            self.known = {}
+        missing = [w for w in wanted if w not in self.known]
+        self.known.update(zip(missing, self._ids([f" {w}" for w in missing])))
+        get = self.known.__getitem__
+        return [head + b"".join(map(get, p[1:])) for head, p in zip(heads, parts)]
+
+
 def pack(ids: np.ndarray) -> bytes:
     blocks = encode_ids(ids)
     head = np.array([(n, len(blob), crc) for n, crc, blob in blocks], "<u4").tobytes()
@@ -61,7 +83,7 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        encoded = Pieces(lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes())
+        encoded = _Encoder(tokenizer)
         part, number = TaskContext.get().partitionId(), 0
         keys: list = []
         lengths: list[int] = []
@@ -76,8 +98,8 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc
             )
 
         for batch in slices(batches, 64):
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = b"".join([*encoded.of(t), end]) if t else end
+            for k, raw in zip(batch.column(0).to_pylist(), encoded.of([t or "" for t in batch.column(1).to_pylist()])):
+                raw += end
                 keys.append(k)
                 lengths.append(len(raw) // 4)
                 parts.append(raw)
