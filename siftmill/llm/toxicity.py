@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1)).groupBy("k").agg(F.max("toxic").alias("toxic"))
     marked = marked.filter(~held_out("k")).orderBy(F.xxhash64("k"), "k").limit(rows)
-    picked = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).filter("text is not null").join(marked, "k")
+    picked = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(marked), "k")  # at most ``rows`` rows
     counts = _counts(picked).filter(F.col("bad") + F.col("good") >= least)
     totals = picked.groupBy("toxic").count().collect()
     counted = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
