@@ -28,6 +28,13 @@ def severity_rank(severity: Column) -> Column:
 
 # Risk by (severity, category), fallback by severity, overrides by rule name.
 RISK_MATRIX = {
+    ("CRITICAL", "php-security"): 0.95,
+    ("CRITICAL", "api-security"): 0.95,
+    ("CRITICAL", "auth-security"): 0.95,
+    ("HIGH", "php-security"): 0.85,
+    ("HIGH", "api-security"): 0.85,
+    ("HIGH", "auth-security"): 0.85,
+    ("SUGGEST", "php-security"): 0.60,
     ("CRITICAL", "performance"): 0.80,
     ("CRITICAL", "db-schema"): 0.85,
     ("HIGH", "performance"): 0.60,

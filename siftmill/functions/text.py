@@ -100,9 +100,9 @@ def max_nesting(code: Column) -> Column:
     return F.aggregate(marks, start, step, lambda acc: acc["deepest"])
 
 
-def escape_literal(raw: Column, width: int = 60) -> Column:
-    """The first ``width`` characters as a pattern that matches them literally."""
-    return F.regexp_replace(F.substring(raw, 1, width), r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+def escape_literal(raw: Column, width: int | None = 60) -> Column:
+    """The first ``width`` characters (None: all) as a pattern that matches them literally."""
+    return F.regexp_replace(raw if width is None else F.substring(raw, 1, width), r"([\\.^$|?*+()\[\]{}])", r"\\$1")
 
 
 def negative_lookahead(pattern: Column, tokens: Column) -> Column:

@@ -65,7 +65,7 @@ def checks(df: DataFrame, colors: str, spacing: str, typography: str) -> DataFra
     missing = [F.when(~F.exists(names, _holds(c)), F.lit(c)) for c in SEMANTIC_COLORS]
     steps = F.filter(F.transform(F.map_values(spacing), lambda v: F.regexp_extract(v, r"^([0-9.]+)", 1)), lambda s: s != "")
     sizes = F.array_sort(F.transform(steps, lambda s: s.cast("double")))
-    ratios = F.zip_with(F.slice(sizes, 2, 1000), F.slice(sizes, 1, 1000), lambda b, a: F.when((a > 0) & b.isNotNull(), b / a))
+    ratios = F.zip_with(F.slice(sizes, F.lit(2), F.size(sizes)), sizes, lambda b, a: F.when((a > 0) & b.isNotNull(), b / a))
     known = F.filter(ratios, lambda r: r.isNotNull())
     warnings = F.array_compact(
         F.array(

@@ -499,7 +499,7 @@ def repeated_blocks(files: DataFrame, size: int = 4, min_files: int = 3, min_cha
         trimmed = F.transform(lines, lambda x: strip(x))
 
         def cut(t: Column) -> Column:
-            n = F.size(t) - size
+            n = F.size(t) - size + 1
             starts = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
             return F.transform(starts, lambda i: F.array_join(F.slice(t, i, size), "\n"))
 

@@ -125,6 +125,13 @@ COMPONENTS = {
     "container": (["div"], ["max-w-", "mx-auto", "px-", "container"], None, None, 6),
     "nav-link": (["a"], ["hover:", "transition-"], "in_nav", None, 6),
     "input": (["input", "textarea", "select"], ["border", "rounded-"], None, None, 7),
+    "modal": (["div"], ["fixed", "inset-0", "z-50", "modal"], None, None, 8),
+    "dropdown": (["div"], ["absolute", "top-full", "shadow-", "dropdown"], None, None, 7),
+    "tabs": (["div"], ["flex", "border-b", "gap-", "tabs"], "multiple_clickable", None, 7),
+    "accordion": (["div"], ["collapsible", "transition-", "accordion"], "expandable", None, 7),
+    "breadcrumb": (["nav", "div"], ["flex", "gap-", "text-sm", "breadcrumb"], "has_separators", None, 7),
+    "footer": (["footer"], ["bg-", "py-"], None, "bottom", 7),
+    "form": (["form"], [], "has_inputs", None, 8),
 }
 
 
@@ -138,6 +145,9 @@ def page_flags(html: Column) -> dict[str, Column]:
         "multiple_children": F.regexp_count(html, F.lit(r"<p")) >= 2,
         "has_heading": html.rlike(r"<h[1-3]"),
         "in_nav": html.rlike(r"<nav"),
+        "multiple_clickable": F.regexp_count(html, F.lit(r"<(a|button)[ >]")) >= 2,
+        "has_separators": F.regexp_replace(html, r"<[^>]*>", "").rlike("[/>›]"),
+        "has_inputs": html.rlike(r"<(input|textarea|select)"),
     }
 
 
@@ -154,9 +164,9 @@ def components_of(pages: DataFrame, minimum_offset: int = 0) -> DataFrame:
     flags = page_flags(F.col("content"))
     first = F.array_position(F.transform(tags, lambda t: F.lower(F.regexp_extract(t, r"^<([A-Za-z0-9]+)", 1))), "section") - 1
     known = F.create_map(*[x for n, c in flags.items() for x in (F.lit(n), c)])
-    rows = pages.select("project", "path", first.alias("_section"), known.alias("_flags"), F.inline(opened))
+    rows = pages.select("project", "path", first.alias("_section"), F.size(tags).alias("_tags"), known.alias("_flags"), F.inline(opened))
     tag, cls, pos = F.col("tag"), F.col("cls"), F.col("pos")
-    text = lambda xs: F.array(*[F.lit(x) for x in xs])
+    text = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     specs = F.array(
         *[
             F.struct(
@@ -171,11 +181,11 @@ def components_of(pages: DataFrame, minimum_offset: int = 0) -> DataFrame:
     def judge(spec: Column) -> Column:
         kind = spec["structure"]
         structure = (
-            F.when(kind == "clickable", tag.isin("button", "a")).when(kind == "small_inline", cls.rlike("inline|flex"))
+            F.when(kind == "clickable", tag.isin("button", "a")).when(kind == "small_inline", cls.rlike("inline|flex")).when(kind == "expandable", cls.contains("transition"))
             .otherwise(F.coalesce(F.try_element_at("_flags", kind), F.lit(False)))
         )
-        # "top": among the first tags, head included.
-        place = F.when(spec["place"] == "top", pos < 10).when(spec["place"] == "first_section", pos == F.col("_section")).otherwise(False)
+        # "top" and "bottom": among the first and the last ten tags, head included.
+        place = F.when(spec["place"] == "top", pos < 10).when(spec["place"] == "bottom", pos >= F.col("_tags") - 10).when(spec["place"] == "first_section", pos == F.col("_section")).otherwise(False)
         score = (
             F.when(F.array_contains(spec["tags"], tag), 3).otherwise(0) + F.least(F.size(F.filter(spec["frags"], lambda f: cls.contains(f))), F.lit(4))
             + F.when(structure, 3).otherwise(0) + F.when(place, 2).otherwise(0)

@@ -204,7 +204,7 @@ def mined_patterns(violations: DataFrame, threshold: float = 0.8, min_occurrence
     out = info.join(shared, ["ext", "cluster"]).filter((F.length("text") >= 5) | (F.col("texts") == 1))
     n = F.col("occurrences")
     word = "[a-zA-Z_][a-zA-Z0-9_]*"
-    escaped = escape_literal(F.col("text"), 10_000)
+    escaped = escape_literal(F.col("text"), None)
     pattern = F.when(F.col("texts") == 1, escaped).otherwise(F.concat(F.lit(f"{word}?"), escaped, F.lit(f"{word}?")))
     typed = out.withColumn("category", category)
     severity = F.when(F.col("category").contains("security"), "CRITICAL").when(n >= 10, "HIGH").otherwise("SUGGEST")

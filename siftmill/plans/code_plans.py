@@ -467,7 +467,7 @@ def empty_handler_languages(spark, d):
 
 @query(
     "repeated_blocks", "DET40",
-    f"""WITH {q.DOC_LINES_CTE}, w AS (SELECT path, line_no, {_win(0, 3).replace('line,', TRIMMED + ',')} AS block, lead(line_no, 4) OVER (PARTITION BY path ORDER BY line_no) AS more FROM doc_lines)
+    f"""WITH {q.DOC_LINES_CTE}, w AS (SELECT path, line_no, {_win(0, 3).replace('line,', TRIMMED + ',')} AS block, lead(line_no, 3) OVER (PARTITION BY path ORDER BY line_no) AS more FROM doc_lines)
 SELECT block, count(DISTINCT path) AS files, min(path) AS first_path FROM w WHERE more IS NOT NULL AND length(block) >= 40 AND NOT regexp_matches(block, '^(//|#|/\\*|\\*|import|from|use )') GROUP BY block HAVING count(DISTINCT path) >= 2""",
 )
 def repeated_blocks(spark, d):
@@ -477,7 +477,7 @@ def repeated_blocks(spark, d):
 
 @query(
     "top_repeated_blocks", "DET40",
-    f"""WITH {q.CODE_LINES_CTE}, w AS (SELECT path, line_no, {_win(0, 3).replace('line,', TRIMMED + ',')} AS block, lead(line_no, 4) OVER (PARTITION BY path ORDER BY line_no) AS more FROM code_lines)
+    f"""WITH {q.CODE_LINES_CTE}, w AS (SELECT path, line_no, {_win(0, 3).replace('line,', TRIMMED + ',')} AS block, lead(line_no, 3) OVER (PARTITION BY path ORDER BY line_no) AS more FROM code_lines)
 SELECT block, count(DISTINCT path) AS files, least(count(DISTINCT path)::DOUBLE / 5, 0.9::DOUBLE) AS confidence FROM w WHERE more IS NOT NULL AND length(block) >= 40 AND NOT regexp_matches(block, '^(//|#|/\\*|\\*|import|from|use )') GROUP BY block HAVING count(DISTINCT path) >= 3 ORDER BY files DESC, block LIMIT 5""",
 )
 def top_repeated_blocks(spark, d):

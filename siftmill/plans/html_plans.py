@@ -94,18 +94,19 @@ def _component_sql() -> str:
         "contains_nav_or_logo": "regexp_matches(content, '<nav|class=\"[^\"]*logo')", "has_h1_and_button": "contains(content, '<h1') AND contains(content, '<button')",
         "icon_title_text": "regexp_matches(content, 'class=\"[^\"]*(icon|material-symbols)') AND regexp_matches(content, '<h[1-4]') AND contains(content, '<p')",
         "scrollable_items": "len(regexp_extract_all(content, '<li')) >= 3", "multiple_children": "len(regexp_extract_all(content, '<p')) >= 2", "has_heading": "regexp_matches(content, '<h[1-3]')", "in_nav": "contains(content, '<nav')",
+        "multiple_clickable": "len(regexp_extract_all(content, '<(a|button)[ >]')) >= 2", "has_separators": "regexp_matches(regexp_replace(content, '<[^>]*>', '', 'g'), '[/>›]')", "has_inputs": "regexp_matches(content, '<(input|textarea|select)')",
     }
     flags = ", ".join(f"{c} AS f_{n}" for n, c in struct.items())
     parts = []
     for i, (kind, (tags, frs, st, place, minimum)) in enumerate(H.COMPONENTS.items()):
-        score = f"CASE WHEN tag IN {q.sql_in(tags)} THEN 3 ELSE 0 END + least(4, {' + '.join(f'CASE WHEN contains(cls, {q.lit(f)}) THEN 1 ELSE 0 END' for f in frs)})"
+        score = f"CASE WHEN tag IN {q.sql_in(tags)} THEN 3 ELSE 0 END + least(4, {' + '.join(f'CASE WHEN contains(cls, {q.lit(f)}) THEN 1 ELSE 0 END' for f in frs) or '0'})"
         if st:
-            cond = {"clickable": "tag IN ('button', 'a')", "small_inline": "regexp_matches(cls, 'inline|flex')"}.get(st, f"f_{st}")
+            cond = {"clickable": "tag IN ('button', 'a')", "small_inline": "regexp_matches(cls, 'inline|flex')", "expandable": "contains(cls, 'transition')"}.get(st, f"f_{st}")
             score += f" + CASE WHEN {cond} THEN 3 ELSE 0 END"
         if place:
-            score += f" + CASE WHEN {'pos < 10' if place == 'top' else 'pos = fs'} THEN 2 ELSE 0 END"
+            score += f" + CASE WHEN { {'top': 'pos < 10', 'bottom': 'pos >= nt - 10'}.get(place, 'pos = fs') } THEN 2 ELSE 0 END"
         parts.append(f"SELECT project, path, pos, tag, cls, {q.lit(kind)} AS component_type, least(10, {score}) AS score, {i} AS k, {minimum} AS m FROM e2")
-    return f"""{PAGES}, tg AS (SELECT project, path, {flags}, regexp_extract_all(content, '<([A-Za-z][A-Za-z0-9]*)([^>]*)>', 0) AS ts FROM pages1), e0 AS (SELECT * EXCLUDE (ts), unnest(ts) AS t, CAST(generate_subscripts(ts, 1) - 1 AS INT) AS pos FROM tg),
+    return f"""{PAGES}, tg AS (SELECT project, path, {flags}, regexp_extract_all(content, '<([A-Za-z][A-Za-z0-9]*)([^>]*)>', 0) AS ts FROM pages1), e0 AS (SELECT * EXCLUDE (ts), len(ts) AS nt, unnest(ts) AS t, CAST(generate_subscripts(ts, 1) - 1 AS INT) AS pos FROM tg),
 e1 AS (SELECT *, lower(regexp_extract(t, '^<([A-Za-z0-9]+)', 1)) AS tag, regexp_extract(t, 'class="([^"]*)"', 1) AS cls FROM e0), e2 AS MATERIALIZED (SELECT *, min(CASE WHEN tag = 'section' THEN pos END) OVER (PARTITION BY path) AS fs FROM e1),
 sc AS ({' UNION ALL '.join(parts)}), best AS (SELECT project, path, pos, tag, cls, component_type, score FROM (SELECT *, row_number() OVER (PARTITION BY path, pos ORDER BY score DESC, k) AS rn FROM sc WHERE score >= m) WHERE rn = 1)"""
 

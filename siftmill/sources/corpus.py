@@ -7,6 +7,8 @@ shuffle; only what crosses files (absence in any file, cross references, counts)
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,7 +97,7 @@ def excluded_path(path: Column) -> Column:
 
 
 def read_text_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Files under ``root`` read whole, for a user who has a directory and not a table."""
+    """Files under ``root`` read whole, for a user who has a directory and not a table. Malformed bytes are left out; ``valid_utf8`` says where."""
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -103,14 +105,16 @@ def read_text_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame
         .load(root)
     )
     path = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
-    rel = F.regexp_replace(path, f"^{root.rstrip('/')}/", "")
+    top = re.sub("^[a-z]+:/*", "/", root.rstrip("/")) + "/"
+    rel = F.when(path.startswith(top), F.substring(path, len(top) + 1, 1 << 30)).otherwise(path)
     ext = ext_of(rel)
     return raw.select(
         F.regexp_extract(rel, "^([^/]+)/", 1).alias("project"),
         rel.alias("path"),
         ext.alias("ext"),
         lang_of(ext).alias("lang"),
-        F.decode("content", "UTF-8").alias("content"),
+        F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("content"),
+        F.is_valid_utf8(F.col("content").cast("string")).alias("valid_utf8"),
         F.col("content").alias("raw"),
     )
 

@@ -20,14 +20,12 @@ def utc_instant(ts: Column) -> Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, ts))
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 16, glob: str = "events.parquet") -> DataFrame:
-    """The event table as a file stream with ``event_time`` for watermarks."""
-    raw = (
-        spark.readStream.schema(TABLE_DDL["events"])
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(sf_dir)
-    )
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 16, name: str = "events.parquet") -> DataFrame:
+    """The event table, a folder of part files or one file, as a stream with ``event_time`` for watermarks."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}")
+    is_folder = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(TABLE_DDL["events"]).option("maxFilesPerTrigger", files_per_trigger)
+    raw = reader.parquet(f"{sf_dir}/{name}") if is_folder else reader.option("pathGlobFilter", name).parquet(sf_dir)
     return raw.withColumn("event_time", utc_instant(F.col("ts"))).withColumn("k", F.from_json("props", "k bigint")["k"])
 
 
