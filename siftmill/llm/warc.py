@@ -145,9 +145,9 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def resolve(captures: DataFrame) -> DataFrame:
-    """Give revisits the payload length of the response that they refer to."""
+    """Give revisits the payload length of the response that they refer to. Responses refer to themselves here, so that no null key gathers them in one task."""
     sizes = captures.filter("response.record_type = 'response'").select(F.col("capture_id").alias("first_id"), F.col("response.payload_bytes").alias("first_bytes"))
-    full = captures.join(sizes, F.col("response.refers_to") == F.col("first_id"), "left")
+    full = captures.join(sizes, F.coalesce("response.refers_to", "capture_id") == F.col("first_id"), "left")
     return full.withColumn("payload_bytes", F.coalesce("response.payload_bytes", "first_bytes")).drop("first_id", "first_bytes")
 
 
