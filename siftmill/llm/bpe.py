@@ -43,63 +43,63 @@ class Pieces:
 # ---------------------------------------------------------------- segment tree (rank files)
 
 
-NO_RANK = 1 << 32
+NO_RANK = 1 << 24  # above every rank; small, so that the tree holds small numbers
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: one base64 token and its rank per line."""
     with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    if max(ranks.values(), default=0) >= NO_RANK:
+        raise ValueError(f"ranks are to be below {NO_RANK}")
+    return ranks
 
 
 def merge_by_tree(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one pre-token. Leaf i of a segment tree holds the rank of joining the token at byte i
-    with its right neighbour; the root is the leftmost smallest rank. A merge updates three leaves."""
-    whole = ranks.get(word)
+    with its right neighbour, times the length, plus i; the root is the leftmost smallest rank. A merge
+    changes three leaves (the token, the one it takes in, its left neighbour), whose paths go up together."""
+    get = ranks.get
+    whole = get(word)
     if whole is not None:
         return [whole]
     n = len(word)
-    size = 1 << max(1, (n - 1).bit_length())
-    none = NO_RANK * size  # above every rank * size + position
-    tree = [none] * (2 * size)
+    none = NO_RANK * n
+    tree = [none] * n
+    for i in range(n):
+        rank = get(word[i : i + 2]) if i + 1 < n else None
+        tree.append(none if rank is None else rank * n + i)
+    for k in range(n - 1, 0, -1):
+        x, y = tree[2 * k], tree[2 * k + 1]
+        tree[k] = x if x < y else y
     after, before = list(range(1, n + 1)), list(range(-1, n))
-    get = ranks.get
-    for i in range(n - 1):
-        rank = get(word[i : i + 2])
-        if rank is not None:
-            tree[size + i] = rank * size + i
-    for k in range(size - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            low = a if a < b else b
-            if tree[k] == low:
-                return
-            tree[k] = low
-            k >>= 1
-
-    while tree[1] < none:
-        i = tree[1] & (size - 1)
+    while n > 1 and (top := tree[1]) < none:
+        i = top % n
         gone = after[i]
-        end = after[gone]
-        after[i] = end
-        put(gone, none)
+        after[i] = end = after[gone]
+        left = before[i]
+        tree[n + gone] = tree[n + i] = none
         if end < n:
             before[end] = i
             rank = get(word[i : after[end]])
-            put(i, none if rank is None else rank * size + i)
-        else:
-            put(i, none)
-        left = before[i]
+            if rank is not None:
+                tree[n + i] = rank * n + i
         if left >= 0:
             rank = get(word[left:end])
-            put(left, none if rank is None else rank * size + left)
+            tree[n + left] = none if rank is None else rank * n + left
+        else:
+            left = i
+        a, b, c = n + left >> 1, n + i >> 1, n + gone >> 1
+        while c:  # the last leaf is the deepest, so its path ends last; node 0 is not used
+            x, y = tree[2 * c], tree[2 * c + 1]
+            tree[c] = x if x < y else y
+            if b != c:
+                x, y = tree[2 * b], tree[2 * b + 1]
+                tree[b] = x if x < y else y
+            if a != b:
+                x, y = tree[2 * a], tree[2 * a + 1]
+                tree[a] = x if x < y else y
+            a, b, c = a >> 1, b >> 1, c >> 1
     out, i = [], 0
     while i < n:
         out.append(ranks[word[i : after[i]]])

@@ -6,6 +6,7 @@ are narrow maps: a document never leaves its task and no shuffle happens.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,13 @@ from siftmill.llm.base import Memo, slices
 from siftmill.llm.bpe import Pieces, merge_by_tree, read_ranks, splitter
 
 
+def _encoder(ranks_path: str, pattern: str) -> Pieces:
+    """Ids of pieces as bytes. Made anew by every task: kept from task to task, its memo tables would take memory from later jobs."""
+    ranks, split = read_ranks(ranks_path), splitter(pattern)
+    word = Memo(lambda w: array("i", merge_by_tree(w.encode(), ranks)).tobytes())
+    return Pieces(lambda piece: b"".join([word[w] for w in split(piece)]))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) of every row, as the rank file's library would give without special tokens.
 
@@ -25,9 +33,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, split = read_ranks(ranks_path), splitter(pattern)
-        word = Memo(lambda w: np.array(merge_by_tree(w.encode(), ranks), "<i4").tobytes(), entries=500_000)
-        encoded = Pieces(lambda piece: b"".join([word[w] for w in split(piece)]))
+        encoded = _encoder(ranks_path, pattern)
         for batch in slices(batches):
             parts = [b"".join(encoded.of(t)) if t else b"" for t in batch.column(1).to_pylist()]
             offsets = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
