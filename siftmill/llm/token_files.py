@@ -27,26 +27,43 @@ from siftmill.llm.range_coder import decode_ids, encode_ids
 
 MAGIC = b"SMT1"
 SEGMENT_IDS = 1 << 22
+JOINED = 2000  # pieces that the library encodes as one text
 
 
 class _Encoder:
-    """Ids of texts as bytes. The library is asked for the pieces of a batch that are not known yet, together."""
+    """Ids of texts as bytes. The library is asked for the pieces of a batch that are not known yet, joined by the
+    tokenizer's special string: it always cuts there, so the ids between two of its ids are those of one piece."""
 
     def __init__(self, tokenizer, entries: int = 600_000):
         self.tokenizer, self.entries = tokenizer, entries
         self.known: dict[str, bytes] = {}  # by the piece behind its leading space
+        added = tokenizer.get_added_tokens_decoder()
+        self.mark_id, token = next(iter(added.items()), (-1, None))
+        plain = len(added) == 1 and not (token.single_word or token.lstrip or token.rstrip or token.normalized)
+        self.mark = token.content if plain else ""
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, missing: list[str]) -> None:
+        """Pieces that hold the first character of the special string could spell it and are asked for alone."""
+        alone = [w for w in missing if self.mark[:1] in w]
+        self.known.update(zip(alone, self._ids([f" {w}" for w in alone])))
+        joined = [w for w in missing if self.mark[:1] not in w]
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
+            text = self.mark.join([f" {w}" for w in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            raw, marks = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist()
+            self.known.update(zip(part, [raw[i:j] for i, j in zip([0, *(m + 4 for m in marks)], [*marks, len(raw)])], strict=True))
+
     def of(self, texts: list[str]) -> list[bytes]:
         parts = [pieces(t) for t in texts]
         heads = self._ids([p[0] for p in parts])
         wanted = set().union(*(p[1:] for p in parts))
         if len(self.known) + len(wanted) > self.entries:
             self.known = {}
-        missing = [w for w in wanted if w not in self.known]
-        self.known.update(zip(missing, self._ids([f" {w}" for w in missing])))
+        self._learn([w for w in wanted if w not in self.known])
         get = self.known.__getitem__
         return [head + b"".join(map(get, p[1:])) for head, p in zip(heads, parts)]
 
