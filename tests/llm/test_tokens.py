@@ -94,3 +94,23 @@ def test_range_coder_blocks_stand_alone_and_are_checked():
     with pytest.raises(ValueError):
         range_coder.encode_ids(np.array([1 << 16]))
     assert sum(len(b[2]) for b in blocks) < len(ids) / 2
+
+
+def test_tree_merges_words_of_any_length_like_the_library():
+    ranks, pick = bpe.read_ranks(MULTI_RANKS), random.Random(7)
+    library = tiktoken.Encoding("t", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    for n in [1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 31, 33, 64, 100, 3000]:
+        for letters in ("ab", "aaaa", "theinro ", "éñ漢 a"):
+            word = "".join(pick.choice(letters) for _ in range(n))
+            assert bpe.merge_by_tree(word.encode(), ranks) == library.encode(word)
+
+
+def test_joined_pieces_get_the_ids_that_the_library_gives_alone():
+    tokenizer, pick = Tokenizer.from_file(BPE_JSON), random.Random(7)
+    bits = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "a", "é", "9", "'s", "<", ".", "漢"]
+    texts = ["", " ", "a ", " a", *("".join(pick.choice(bits) for _ in range(40)) for _ in range(200))]
+    want = [list(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    joined, alone = token_files._Encoder(tokenizer), token_files._Encoder(tokenizer, entries=10)
+    alone.mark = ""  # a tokenizer without a special string
+    for encoder in (joined, alone):
+        assert [np.frombuffer(raw, "<u4").tolist() for raw in encoder.of(texts)] == want
