@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every class of near copies."""
-    return ngram_join.keep_one(docs, ngram_join.jaccard_classes(docs))
+    """Keep the document with the smallest id of every class of near copies: 0.8 on shingles of five words."""
+    return ngram_join.keep_one(docs, ngram_join.jaccard_classes(docs, width=5, percent=80))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,3 +189,19 @@ def test_pipeline_stages_follow_each_other(spark):
     want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items() if i not in leaks}
     assert {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, sf).collect()} == want
     assert toxic and len(want) < docs.count()
+
+
+def test_pipeline_drops_near_copies_on_five_words(spark):
+    from tests.llm.test_pairs import shingle_set
+
+    base = [f"n{i}" for i in range(50)]
+    texts = [(1000, " ".join(base)), (1001, " ".join([*base[:25], "changed", *base[26:]])), *awkward()]
+    sets = {i: shingle_set(t, 5) for i, t in texts}
+    root = {i: i for i in sets}
+    for _ in sets:  # the smallest id spreads along the links
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if root[b] < root[a] and x and y and 100 * len(x & y) >= 80 * len(x | y):
+                    root[a] = root[b]
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, documents(spark, texts), "").collect()}
+    assert kept == {i for i in root if root[i] == i} and 1000 in kept and 1001 not in kept
