@@ -60,11 +60,33 @@ def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
+def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
+    """(start, stop, equal words) of the overlap on a diagonal, in one linear scan.
+
+    Around every equal word lies the stretch with the highest score of +1 per equal word and -2 per other word, the
+    longer one on a tie. The one with the most equal words counts, then the shorter and the earlier one.
+    """
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0, 0
+    n, places = len(same), np.arange(len(same))
+    equal = np.concatenate([[0], np.cumsum(same)])
+    total = 3 * equal - 2 * np.arange(n + 1)
+    falls = np.concatenate([[True], total[1:-1] < np.minimum.accumulate(total[:-1])[:-1]])
+    starts = np.maximum.accumulate(np.where(falls, places, 0))[at]
+    back = total[:0:-1]
+    rises = np.concatenate([[True], back[1:] > np.maximum.accumulate(back)[:-1]])
+    stops = n - np.maximum.accumulate(np.where(rises, places, 0))[::-1][at]
+    matched = equal[stops] - equal[starts]
+    best = np.lexsort((starts, stops - starts, -matched))[0]
+    return int(starts[best]), int(stops[best]), int(matched[best])
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", min_matches: int = 12, min_share: float = 0.8) -> DataFrame:
     """Verified overlaps: (key, item, matched, span, doc_start, item_start), one row per key, item and diagonal.
 
-    An overlap is the stretch around a hit with the highest score of +1 per equal word and -2 per
-    substituted word. It counts from ``min_matches`` equal words, or ``min_share`` of the item
+    An overlap is the stretch around an equal word with the highest score of +1 per equal word and -2
+    per substituted word, the best of all on the diagonal (``best_stretch``). It counts from ``min_matches`` equal words, or ``min_share`` of the item
     where that is less; items under five words never match. Words are compared without case and
     punctuation. Null and empty texts, keys or items match nothing; repeated rows are matched alike.
 
@@ -134,7 +156,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     rows = docs.select(F.col(key).cast("string").alias("doc"), F.col(text).alias("t")).filter("doc is not null and t is not null")
     regions = rows.mapInArrow(doc_hits, "doc string, base bigint, around binary, h array<bigint>, at array<bigint>")
     hits = regions.select("doc", "base", "around", F.explode(F.arrays_zip("h", "at")).alias("hit")).select("doc", "base", "around", F.col("hit.h").alias("h"), F.col("hit.at").alias("at"))
-    diagonals = hits.join(seed_rows, "h").groupBy("doc", "base", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.min("at").alias("at"), F.first("around").alias("around"))
+    diagonals = hits.join(seed_rows, "h").groupBy("doc", "base", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.first("around").alias("around"))
 
     def verify(batches):
         schema = pa.schema([("doc", pa.string()), ("item", pa.string()), ("matched", pa.int64()), ("span", pa.int64()), ("doc_start", pa.int64()), ("item_start", pa.int64())])
@@ -145,15 +167,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 shift = r["diagonal"] - r["base"]  # place of the item's first word in the region
                 lo, hi = max(0, -shift), min(len(words), len(around) - shift)
                 same = around[lo + shift : hi + shift] == words[lo:hi]
-                total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-                at = r["at"] - r["diagonal"] - lo
-                a, b = int(np.argmin(total[: at + 1])), at + int(np.argmax(total[at:]))
-                matched = int(same[a:b].sum())
+                a, b, matched = best_stretch(same)
                 if matched >= min(min_matches, int(np.ceil(min_share * len(words)))):
                     out.append({"doc": r["doc"], "item": r["item"], "matched": matched, "span": b - a, "doc_start": r["diagonal"] + lo + a, "item_start": lo + a})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    checked = diagonals.join(items.select("item", "words"), "item").select("doc", "base", "item", "diagonal", "at", "around", "words")
+    checked = diagonals.join(items.select("item", "words"), "item").select("doc", "base", "item", "diagonal", "around", "words")
     found = checked.mapInArrow(verify, "doc string, item string, matched bigint, span bigint, doc_start bigint, item_start bigint").distinct()
     cast = lambda name, frame, col: F.col(name).cast(frame.schema[col].dataType).alias(col)
     return found.select(cast("doc", docs, key), cast("item", benchmark, item), "matched", "span", "doc_start", "item_start")

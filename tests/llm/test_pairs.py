@@ -116,3 +116,25 @@ def test_overlaps_of_empty_tables(spark):
     assert decontaminate.find_overlaps(frame, bench.limit(0)).count() == 0
     assert decontaminate.find_overlaps(spark.createDataFrame([], DOC_DDL), bench).count() == 0
     assert decontaminate.decontaminate(frame, bench.limit(0)).count() == len(docs)
+
+
+def test_best_stretch_equals_brute_force():
+    rng = np.random.default_rng(9)
+    for n in [*range(1, 30), *range(1, 30)]:
+        same = rng.random(n) < rng.choice([0.4, 0.7, 0.9])
+        around = []
+        for p in np.flatnonzero(same):
+            spans = [(a, b) for a in range(p + 1) for b in range(p + 1, n + 1)]
+            a, b = max(spans, key=lambda s: (3 * same[s[0] : s[1]].sum() - 2 * (s[1] - s[0]), s[1] - s[0]))
+            around.append((-same[a:b].sum(), b - a, a, b))
+        want = min(around, default=(0, 0, 0, 0))
+        assert decontaminate.best_stretch(same) == (want[2], want[3], -want[0])
+
+
+def test_every_stretch_of_a_diagonal_is_looked_at(spark):
+    item = [f"i{k}" for k in range(50)]
+    runs = {1: (8, 10, 12), 2: (8, 10, 20), 3: (9, 12, 24), 4: (8, 4, 8), 5: (8, 30, 11)}
+    docs = [(i, " ".join([*item[:a], *[f"x{k}" for k in range(gap)], *item[a + gap : a + gap + b], "end"])) for i, (a, gap, b) in runs.items()]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string")
+    got = {r.doc_id: (r.matched, r.span, r.item_start) for r in decontaminate.find_overlaps(documents(spark, docs), bench).collect()}
+    assert got == {1: (12, 12, 18), 2: (28, 38, 0), 3: (33, 45, 0), 4: (16, 20, 0)}  # 2 to 4: as good together as the first run alone
