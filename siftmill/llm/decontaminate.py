@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 
 from siftmill.llm.base import Memo, slices
 
-#: 1 keeps a token position, 0 ignores it. The first mask is contiguous.
-MASKS = ("11111111", "110110101101", "111010110011", "101101110101")
+#: 1 keeps a token position, 0 ignores it. Every placement of substitutions that ``find_overlaps``
+#: allows leaves a window of a mask whole: of the first three in items from eight words on, of all in shorter ones.
+MASKS = ("1111", "11101", "1101001")
+SHORT_MASKS = ("10111", "11011")
+SHORT_WORDS = 8  # items with fewer words also use the short masks
 LEAST_WORDS = 5  # items with fewer words are never matched
+HITS = 4096  # rows per Arrow batch
 BITS = 23  # size of the membership filter: 2**23 bits whatever the input
 WORD = re.compile(r"\w+")
 _MUL = 0x9E3779B97F4A7C15
@@ -37,9 +41,9 @@ def token_ids(text: str, ids: Memo) -> np.ndarray:
 
 
 def masks_for(lengths: set[int]) -> list[tuple[int, ...]]:
-    """Kept offsets of every mask. Items shorter than the first mask get a contiguous mask of their own length."""
-    short = sorted(n for n in lengths if LEAST_WORDS <= n < len(MASKS[0]))
-    return [tuple(i for i, c in enumerate(m) if c == "1") for m in (*MASKS, *("1" * n for n in short))]
+    """Kept offsets of every mask for items of these lengths."""
+    short = any(LEAST_WORDS <= n < SHORT_WORDS for n in lengths)
+    return [tuple(i for i, c in enumerate(m) if c == "1") for m in (*MASKS, *(SHORT_MASKS if short else ()))]
 
 
 def seeds(tokens: np.ndarray, masks: list[tuple[int, ...]]) -> Iterator[np.ndarray]:
@@ -105,7 +109,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
             yield pa.RecordBatch.from_pylist([{"item": k, "words": v.tobytes(), "n": len(v)} for k, v in rows], pa.schema([("item", pa.string()), ("words", pa.binary()), ("n", pa.int64())]))
 
     items = items.mapInArrow(item_rows, "item string, words binary, n bigint").distinct()
-    stats = items.groupBy().agg(F.max("n").alias("longest"), F.collect_set(F.when(F.col("n") < len(MASKS[0]), F.col("n"))).alias("short")).first()
+    stats = items.groupBy().agg(F.max("n").alias("longest"), F.collect_set(F.when(F.col("n") < SHORT_WORDS, F.col("n"))).alias("short")).first()
     reach = int(stats["longest"] or 0)
     masks = masks_for(set(stats["short"]))
 
@@ -115,7 +119,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = np.frombuffer(raw, np.uint64)
                 for number, h in enumerate(seeds(words, masks)):
-                    if number < len(MASKS) or len(words) == masks[number][-1] + 1:
+                    if number < len(MASKS) or len(words) < SHORT_WORDS:
                         out += [{"h": int(x), "item": k, "item_at": i} for i, x in enumerate(h.view(np.int64).tolist())]
             yield pa.RecordBatch.from_pylist(out, pa.schema([("h", pa.int64()), ("item", pa.string()), ("item_at", pa.int64())]))
 
@@ -130,7 +134,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     def doc_hits(batches):
         ids, member = word_ids(), shared.value
-        schema = pa.schema([("doc", pa.string()), ("base", pa.int64()), ("around", pa.binary()), ("h", pa.list_(pa.int64())), ("at", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc", pa.string()), ("sum", pa.binary()), ("h", pa.int64()), ("at", pa.int64()), ("around", pa.binary())])
         for batch in slices(batches):
             keys, lists = batch.column(0).to_pylist(), [token_ids(t, ids) for t in batch.column(1).to_pylist()]
             stops = np.cumsum([0, *map(len, lists)])
@@ -142,21 +146,22 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 at = at[row[at] == row[at + mask[-1]]]
                 found.append((h[at], at))
             h, at = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(at, kind="stable")
-            h, at = h[order], at[order]
-            cuts = np.flatnonzero((np.diff(at) > reach) | (np.diff(row[at]) > 0)) + 1
-            out = []
-            for hs, ats in zip(np.split(h, cuts), np.split(at, cuts)) if len(at) else ():
-                r = row[ats[0]]
-                words, ats = lists[r], ats - stops[r]
-                base = max(0, int(ats[0]) - reach)
-                out.append({"doc": keys[r], "base": base, "around": words[base : int(ats[-1]) + reach].tobytes(), "h": hs.view(np.int64).tolist(), "at": ats.tolist()})
+            sums, out = {}, []
+            for x, i in zip(h.view(np.int64).tolist(), at.tolist()):
+                r = int(row[i])
+                words, i = lists[r], int(i - stops[r])
+                if r not in sums:
+                    sums[r] = hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+                out.append({"doc": keys[r], "sum": sums[r], "h": x, "at": i, "around": words[max(0, i - reach) : i + reach].tobytes()})
+                if len(out) == HITS:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out = []
             yield pa.RecordBatch.from_pylist(out, schema)
 
     rows = docs.select(F.col(key).cast("string").alias("doc"), F.col(text).alias("t")).filter("doc is not null and t is not null")
-    regions = rows.mapInArrow(doc_hits, "doc string, base bigint, around binary, h array<bigint>, at array<bigint>")
-    hits = regions.select("doc", "base", "around", F.explode(F.arrays_zip("h", "at")).alias("hit")).select("doc", "base", "around", F.col("hit.h").alias("h"), F.col("hit.at").alias("at"))
-    diagonals = hits.join(seed_rows, "h").groupBy("doc", "base", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.first("around").alias("around"))
+    hits = rows.mapInArrow(doc_hits, "doc string, sum binary, h bigint, at bigint, around binary")
+    # rows that repeat a key with another text have their own diagonals; any hit has the whole item around it
+    diagonals = hits.join(seed_rows, "h").groupBy("doc", "sum", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.min(F.struct("at", "around")).alias("hit"))
 
     def verify(batches):
         schema = pa.schema([("doc", pa.string()), ("item", pa.string()), ("matched", pa.int64()), ("span", pa.int64()), ("doc_start", pa.int64()), ("item_start", pa.int64())])
@@ -164,7 +169,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
             out = []
             for r in batch.to_pylist():
                 around, words = np.frombuffer(r["around"], np.uint64), np.frombuffer(r["words"], np.uint64)
-                shift = r["diagonal"] - r["base"]  # place of the item's first word in the region
+                shift = r["diagonal"] - max(0, r["at"] - reach)  # place of the item's first word in the cut
                 lo, hi = max(0, -shift), min(len(words), len(around) - shift)
                 same = around[lo + shift : hi + shift] == words[lo:hi]
                 a, b, matched = best_stretch(same)
@@ -172,7 +177,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                     out.append({"doc": r["doc"], "item": r["item"], "matched": matched, "span": b - a, "doc_start": r["diagonal"] + lo + a, "item_start": lo + a})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    checked = diagonals.join(items.select("item", "words"), "item").select("doc", "base", "item", "diagonal", "around", "words")
+    checked = diagonals.join(items.select("item", "words"), "item").select("doc", "item", "diagonal", "hit.at", "hit.around", "words")
     found = checked.mapInArrow(verify, "doc string, item string, matched bigint, span bigint, doc_start bigint, item_start bigint").distinct()
     cast = lambda name, frame, col: F.col(name).cast(frame.schema[col].dataType).alias(col)
     return found.select(cast("doc", docs, key), cast("item", benchmark, item), "matched", "span", "doc_start", "item_start")

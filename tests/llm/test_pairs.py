@@ -1,5 +1,6 @@
 """The Jaccard join and decontamination against brute force."""
 
+import itertools
 import random
 
 import numpy as np
@@ -138,3 +139,30 @@ def test_every_stretch_of_a_diagonal_is_looked_at(spark):
     bench = spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string")
     got = {r.doc_id: (r.matched, r.span, r.item_start) for r in decontaminate.find_overlaps(documents(spark, docs), bench).collect()}
     assert got == {1: (12, 12, 18), 2: (28, 38, 0), 3: (33, 45, 0), 4: (16, 20, 0)}  # 2 to 4: as good together as the first run alone
+
+
+def test_every_allowed_placement_leaves_a_seed():
+    for n in range(5, 21):
+        masks = decontaminate.masks_for({n})
+        need = min(12, -(-4 * n // 5))
+        placements = [x for k in range(n - need + 1) for x in itertools.combinations(range(n), k)]
+        for off in placements if n < 17 else [*random.Random(n).sample(placements, 3000), *((2, 4, 6, 9, 13, 14) for _ in range(n > 18))]:
+            same = np.ones(n, bool)
+            same[list(off)] = False
+            if decontaminate.best_stretch(same)[2] >= need:
+                whole = [same[np.arange(n - m[-1])[:, None] + np.array(m)].all(1).any() for m in masks if m[-1] < n]
+                assert any(whole), (n, off)
+
+
+def test_a_changed_word_at_each_place_of_short_items(spark):
+    bench = spark.createDataFrame([(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(5, 21)], "item_id bigint, text string")
+    docs = [(100 * n + at, " ".join(["lead", *(f"i{n}x{k}" if k != at else "changed" for k in range(n)), "end"])) for n in range(5, 21) for at in range(n)]
+    found = decontaminate.find_overlaps(documents(spark, docs), bench)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i // 100) for i, _ in docs}
+
+
+def test_repeated_keys_keep_their_own_texts(spark):
+    items, _ = leak_fixture()
+    docs = [(1, items[0][1]), (1, items[1][1]), (1, " ".join([*items[0][1].split()[:4], "x"])), (1, items[6][1])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r.item_id, r.matched) for r in decontaminate.find_overlaps(documents(spark, docs), bench).collect()} == {(0, 40), (1, 25), (6, 60)}
