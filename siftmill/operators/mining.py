@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,47 +137,40 @@ def category_of_cluster(text_flag, ext: Column) -> Column:
 CLUSTER_TESTS = [r"\$_GET|\$_POST|\$_REQUEST", r"(?i)sql|query", r"px|#", r"fetch|axios", r"useState|useEffect"]
 
 
-def longest_common_substring(a: str, b: str) -> str:
-    """The longest run both strings hold; the first one in ``a`` on a tie."""
-    best, end = 0, 0
-    row = [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        before = 0
-        for j, y in enumerate(b, 1):
-            kept = row[j]
-            row[j] = before + 1 if x == y else 0
-            before = kept
-            if row[j] > best:
-                best, end = row[j], i
-    return a[end - best : end]
-
-
-def _common(texts: list[str]) -> str:
-    out = texts[0]
-    for t in texts[1:]:
-        if not out:
-            break
-        out = longest_common_substring(out, t)
+def held_runs(base: str, text: str) -> list[int]:
+    """For each place of ``base`` the length of the longest run from there that ``text`` holds."""
+    out, stop = [], 0
+    for i in range(len(base)):
+        stop = max(stop, i)
+        while stop < len(base) and base[i : stop + 1] in text:
+            stop += 1
+        out.append(stop - i)
     return out
 
 
 def common_substring(members: DataFrame, keys: list[str], per_task: int = 500) -> DataFrame:
-    """What all texts of a cluster share, folded in slices so that a big cluster spreads out.
+    """The longest run of characters that all texts of a cluster hold; on a tie the first in its shortest text.
 
-    Slices are folded on their own and their results once more; slices are cut by hash and
-    folded in text order, so the result does not depend on the run.
+    Runs are measured from each place of the shortest text; a cluster's run from a place is the least
+    of its members, which is the same however they are split. ``per_task`` texts are folded before
+    the shuffle at most.
     """
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("_n"))
-    sliced = members.join(sizes, keys).withColumn("_slice", F.pmod(F.xxhash64("text"), F.ceil(F.col("_n") / per_task)).cast("int"))
+    shortest = members.groupBy(*keys).agg(F.min_by("text", F.struct(F.length("text"), F.col("text"))).alias("_base"))
     schema = ", ".join(f"{k} {members.schema[k].dataType.simpleString()}" for k in keys)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {k: pdf[k].iat[0] for k in keys}
-        row["text"] = _common(sorted(pdf["text"]))
-        return pd.DataFrame([row])
-
-    partial = sliced.groupBy(*keys, "_slice").applyInPandas(fold, f"{schema}, text string")
-    return partial.groupBy(*keys).applyInPandas(fold, f"{schema}, text string")
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, part in pdf.groupby(keys, sort=False):
+                base = part["_base"].iat[0] or ""
+                for start in range(0, len(part), per_task):
+                    least = np.min([held_runs(base, t or "") for t in part["text"].iloc[start : start + per_task]], axis=0)
+                    rows = pd.DataFrame({"_run": least if base else [0]}, dtype="int64")
+                    yield rows.assign(_place=np.arange(len(rows)), **{k: part[k].iat[0] for k in keys})[[*keys, "_place", "_run"]]
+
+    found = members.select(*keys, "text").join(shortest, keys).mapInPandas(runs, f"{schema}, _place bigint, _run bigint")
+    least = found.groupBy(*keys, "_place").agg(F.min("_run").alias("_run"))
+    best = least.groupBy(*keys).agg(F.max(F.struct("_run", (-F.col("_place")).alias("_place"))).alias("_best"))
+    return best.join(shortest, keys).select(*keys, F.col("_base").substr((1 - F.col("_best._place")).cast("int"), F.col("_best._run").cast("int")).alias("text"))
 
 
 def text_clusters(violations: DataFrame, threshold: float = 0.8) -> DataFrame:

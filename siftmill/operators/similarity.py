@@ -289,19 +289,13 @@ def dedup_report(clusters: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def merged_rules(clusters: DataFrame, rules: DataFrame, per_part: int = 1000) -> DataFrame:
-    """Per cluster the most confident rule and its patterns joined by OR.
-
-    The alternatives come in parts of about ``per_part`` distinct patterns, so a huge cluster is
-    never collected into one row.
-    """
+def merged_rules(clusters: DataFrame, rules: DataFrame) -> DataFrame:
+    """Per cluster one row: the most confident rule, the number of members and all distinct patterns joined by OR."""
     members = clusters.join(rules, "id")
     primary = members.groupBy("cluster").agg(F.max_by("id", F.struct("confidence", -F.col("id"))).alias("primary"), F.count("*").alias("members"))
     patterns = members.select("cluster", "pattern").distinct()
-    sizes = patterns.groupBy("cluster").agg(F.count("*").alias("n"))
-    parts = patterns.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("pattern"), F.ceil(F.col("n") / per_part)))
-    ors = parts.groupBy("cluster", "part").agg(
-        F.when(F.max("n") > 1, F.array_join(F.transform(F.array_sort(F.collect_list("pattern")), lambda p: F.concat(F.lit("("), p, F.lit(")"))), "|"))
+    ors = patterns.groupBy("cluster").agg(
+        F.when(F.count("*") > 1, F.array_join(F.transform(F.array_sort(F.collect_list("pattern")), lambda p: F.concat(F.lit("("), p, F.lit(")"))), "|"))
         .otherwise(F.first("pattern")).alias("merged_pattern")
     )
     return primary.join(ors, "cluster")

@@ -170,6 +170,24 @@ def test_common_substring_in_slices(spark):
     assert [r.text for r in mining.common_substring(df, ["k"], per_task=6).collect()] == [" shared part "]
 
 
+def test_common_substring_does_not_depend_on_the_split(spark):
+    rows = [("fold", t) for t in ("1aaaaa_bbbb", "2aaaaa|bbbb", "3bbbb")] + [("none", "abc"), ("none", "xyz"), ("empty", ""), ("empty", "a"), ("one", "only é漢 this")]
+    rows += [("big", f"{i:05d} alpha{'+' if i % 3 else '-'} beta {'gamma' * (i % 700 != 0)}") for i in range(1300)]
+    df = spark.createDataFrame(rows, "k string, text string").repartition(5)
+    for size in (1, 2, 500, 5000):
+        got = {r.k: r.text for r in mining.common_substring(df, ["k"], per_task=size).collect()}
+        assert got == {"fold": "bbbb", "none": "", "empty": "", "one": "only é漢 this", "big": " alpha"}
+
+
+def test_merged_rules_are_one_row_at_every_size(spark):
+    rows = [(i, f"p{i % 1500:04d}", i / 1000) for i in range(1600)] + [(5000, "alone", 1.0), (5001, "alone", 1.0)]
+    rules = spark.createDataFrame(rows, "id bigint, pattern string, confidence double")
+    clusters = rules.select("id", F.when(F.col("id") < 5000, 0).otherwise(5000).cast("bigint").alias("cluster"))
+    got = {r.cluster: (r.primary, r.members, r.merged_pattern) for r in similarity.merged_rules(clusters, rules).collect()}
+    assert similarity.merged_rules(clusters, rules).count() == 2
+    assert got == {0: (1599, 1600, "|".join(f"(p{i:04d})" for i in range(1500))), 5000: (5000, 2, "alone")}
+
+
 def test_refined_pattern(spark):
     rows = [("r", "echo $a esc_html", True)] * 4 + [("r", "echo $b raw", False)] * 4 + [("s", "echo $b raw", False)] * 4
     fb = spark.createDataFrame(rows, "rule_id string, match_text string, is_fp boolean")
