@@ -237,6 +237,6 @@ def test_debounce_over_several_batches(spark, tmp_path):
         import time
 
         time.sleep(1.1)  # file sources order by modification time
-    stream = event_stream(spark, str(tmp_path / "in"), files_per_trigger=1, glob="*.parquet")
+    stream = event_stream(spark, str(tmp_path), files_per_trigger=1, name="in")
     out = run_to_table(state.debounced(stream, "user_id", 500), "debounce-test")
     assert sorted(times[r.event_id] for r in out.collect()) == [0, 600, 1200, 1700, 5000]

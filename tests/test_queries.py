@@ -27,4 +27,5 @@ def test_contract():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) == len(CATALOG)
+    rest = entry.llm_queries.QUERIES.keys() | {"pipeline"} if entry.llm_queries else set()
+    assert entry.queries().keys() == CATALOG.keys() | rest
