@@ -24,7 +24,7 @@ from siftmill.session import written_table
 
 BACKOFF = 0.4
 BLOCK_WORDS = 1 << 20
-BUCKET_GRAMS = 1 << 22  # requested n-grams per bucket, on average
+BUCKET_GRAMS = 1 << 20  # requested n-grams per bucket, on average
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,23 +64,25 @@ class _Block:
 
     def __init__(self, lengths: list[int], vocab: bytes, words: bytes):
         self.vocab = np.frombuffer(vocab, np.uint64)
-        self.words = from_planes(words, "<u4").astype(np.int64)
-        self.doc = np.repeat(np.arange(len(lengths)), lengths)
+        self.words = from_planes(words, "<u4").astype(np.int32)
+        self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         self.lengths = np.array(lengths, np.int64)
-        self.inner = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1  # positions with a word before them
+        self.inner = (np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1).astype(np.int32)  # positions with a word before them
         one = _mix(self.vocab + np.uint64(1))
         two = _mix(self.vocab[self.words[self.inner - 1]] * _M + self.vocab[self.words[self.inner]])
-        pairs, self.pair_at, pair_counts = np.unique(two, return_inverse=True, return_counts=True)
+        pairs, at, pair_counts = np.unique(two, return_inverse=True, return_counts=True)
+        self.pair_at = at.astype(np.int32)
+        del two, at
         grams = np.concatenate([one, pairs])
         order = np.argsort(grams, kind="stable")
         self.grams = grams[order]
         self.counts = np.concatenate([np.bincount(self.words, minlength=len(one)), pair_counts])[order].astype("<u4")
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.arange(len(order))
+        self.place = np.empty(len(order), np.int32)
+        self.place[order] = np.arange(len(order), dtype=np.int32)
 
     def own(self, at: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
         """How often each position's n-gram occurs in its own document."""
-        _, place, counts = np.unique(doc * size + at, return_inverse=True, return_counts=True)
+        _, place, counts = np.unique(doc.astype(np.int64) * size + at, return_inverse=True, return_counts=True)
         return counts[place]
 
     def score(self, totals: np.ndarray, n: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
@@ -125,9 +127,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: flo
     def count(table: pa.Table) -> pa.Table:
         grams = [np.cumsum(from_planes(x, "<u8"), dtype=np.uint64) for x in table.column("grams").to_pylist()]
         counts = np.concatenate([from_planes(x, "<u4") for x in table.column("counts").to_pylist()])
+        stops = np.cumsum([len(g) for g in grams])[:-1]
         distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
+        del grams
         totals = np.bincount(place, counts, len(distinct)).astype("<u8")[place]
-        answers = np.split(totals, np.cumsum([len(g) for g in grams])[:-1])
+        del distinct, place, counts
+        answers = np.split(totals, stops)
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array([planes(a) for a in answers], pa.binary())})
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +142,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: flo
             log_prob, backed = _Block(lengths, vocab, words).score(totals, n, backoff)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lengths, pa.int64()), pa.array(backed.astype(np.int64)), pa.array(log_prob)], ["k", "n_words", "n_backed_off", "log_prob"])
 
-    with _small_batches(docs.sparkSession, 8):
+    with _small_batches(docs.sparkSession, 1):
         asked = blocks.select("block", "lengths", "vocab", "words").mapInArrow(ask, "bucket bigint, block bigint, grams binary, counts binary")
         answers = asked.groupBy("bucket").applyInArrow(count, "block bigint, bucket bigint, totals binary")
         answers = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias("answers"))

@@ -5,7 +5,7 @@ sets overlap in at most the sum of the smaller counts, so linked sets of n and m
 points at most (n + m) / 19 apart at a similarity of 0.9 (in general: ``Bands.reach``).
 
 1. *Cells.* No box of a single tree over many groups keeps random texts apart, so the groups are
-   dealt into blocks, one more than the greatest distance of a linked pair: some block then has
+   dealt into more blocks than the greatest distance of a linked pair: some block then has
    equal counts in both. Points that share such a block meet in its cell. Sizes are cut in bands so
    that both know the number of blocks.
 2. *Stars.* In every cell the most central member stands for it; each point is compared exactly with
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from siftmill.llm.base import Memo, slices
 from siftmill.operators.graph import components
-from siftmill.session import written_table
+from siftmill.session import drop_table, written_table
 
 GROUPS = 64  # coordinates of the points in the R-trees
 BLOCK_GROUPS = 1 << 20  # groups of a block: so many that blocks of few shingles rarely agree by chance
@@ -82,6 +82,12 @@ class Bands:
         100 / percent as many, and the distance is at most (n + m)(100 - percent) / (100 + percent)."""
         return low_size * (100 - self.percent) // self.percent
 
+    @staticmethod
+    def blocks(reach: int) -> int:
+        """Half more than the least number, so that the blocks with shingles are more than ``reach`` even where a block
+        gets no more than three: a cell of an empty block would hold a constant share of all sets of a size."""
+        return reach + 1 + (reach // 2 + 1 if reach else 0)
+
     def cells(self, h: np.ndarray) -> np.ndarray:
         """Cell ids of a set: in its own band, and in the band of the smallest set that it may link with."""
         n = len(h)
@@ -93,7 +99,7 @@ class Bands:
             if bounds[band + 1] <= least or bounds[band] > n:
                 continue
             reach = self.reach(bounds[band + 1] - 1)
-            blocks = reach + 1 + (reach // 32 + 1 if reach else 0)
+            blocks = self.blocks(reach)
             g = _mix(h + np.uint64(band + 1))
             block = (g % np.uint64(blocks)).astype(np.int64)
             point = _mix((g // np.uint64(blocks)) % np.uint64(BLOCK_GROUPS) + np.uint64(1))
@@ -268,6 +274,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     held = profiles.filter("id is not null").select("id", F.explode("cells").alias("cell"))
     shared = held.groupBy("cell").count().filter("count > 1").select("cell")
     cells = written_table(held.join(shared, "cell"), "jaccard-cells")
+    sizes = written_table(profiles.select("id", "n"), "jaccard-sizes")
+    drop_table(profiles)
 
     met = rows.join(cells.select("id").distinct(), "id", "left_semi")
     points = written_table(_points(met, width), "jaccard-points")
@@ -277,6 +285,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     occ = cells.join(copies, "id").select("cell", "rep").distinct()
     size = occ.groupBy("cell").agg(F.count("*").alias("members")).filter("members > 1")
     occ = written_table(occ.join(size, "cell"), "jaccard-members")
+    drop_table(cells)
     central = occ.groupBy("rep").agg(F.sum("members").alias("weight"))
     weighed = occ.join(central, "rep")
     hubs = weighed.groupBy("cell").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
@@ -286,6 +295,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     known = components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("known"))
     classed = written_table(occ.join(known, "rep", "left").select("cell", "rep", "members", F.coalesce("known", "rep").alias("class")), "jaccard-classes")
+    drop_table(occ)
     mixed = classed.groupBy("cell").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("cell")
     pages = F.ceil(F.col("members") / PAGE).cast("int")
     spread = classed.join(mixed, "cell").withColumn("pages", pages).withColumn("page", F.pmod(F.xxhash64("rep"), F.col("pages")).cast("int"))
@@ -296,9 +306,10 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     members = members.repartition("cell", "page_a", "page_b").sortWithinPartitions("cell", "page_a", "page_b", "id")
     more = _verified(_candidates(members, percent).distinct(), points, percent)
 
+    drop_table(classed, points)
     edges = links.unionByName(more).unionByName(copies.filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
     found = components(edges, "a", "b")
-    out = profiles.select("id", "n").join(found, F.col("id") == F.col("node"), "left")
+    out = sizes.join(found, F.col("id") == F.col("node"), "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

@@ -15,8 +15,8 @@ def shingle_set(text, width=3):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
 
 
-def classes(texts, percent=90):
-    sets = [(i, shingle_set(t)) for i, t in texts if i is not None]
+def classes(texts, percent=90, width=3):
+    sets = [(i, shingle_set(t, width)) for i, t in texts if i is not None]
     root = {i: i for i, _ in sets}
 
     def find(x):
