@@ -36,7 +36,12 @@ def _plain(value):
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
-    frame = frame[sorted(frame.columns)].astype(object)
+    frame = frame[sorted(frame.columns)].copy()
+    for name in frame:  # whole numbers with nulls: one side gives them as floats
+        held = frame[name].dropna()
+        if frame[name].dtype.kind == "f" and len(held) < len(frame) and (held % 1 == 0).all():
+            frame[name] = frame[name].astype("Int64")
+    frame = frame.astype(object)
     out = [
         tuple(None if v is pd.NaT or v is pd.NA else _plain(v) for v in r)
         for r in frame.itertuples(index=False, name=None)
