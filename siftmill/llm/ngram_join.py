@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm.base import Memo, slices
+from siftmill.llm.base import Memo, from_planes, planes, slices
 from siftmill.operators.graph import components
 from siftmill.session import drop_table, written_table
 
@@ -37,6 +37,8 @@ GROUPS = 64  # coordinates of the points in the R-trees
 BLOCK_GROUPS = 1 << 20  # groups of a block: so many that blocks of few shingles rarely agree by chance
 PAGE = 2048  # members of a cell that meet in one task
 LEAF = 32
+ROW_CELLS = 1 << 20  # cells of a profile row
+BUCKET_CELLS = 1 << 20  # cells that meet in a task, on average
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
@@ -126,19 +128,96 @@ def _small_batches(spark: SparkSession, rows: int = 128):
 
 
 def _profiles(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """One row per some million cells: keys and sizes of its texts, and the cells that they lie in.
+
+    ``cells`` are sorted, ``places`` says whose each is. A cell of several texts of the row is known to
+    be shared: these stand in ``shared_cells`` and ``shared_ids``, and ``cells`` keeps the first of them,
+    marked in ``known``. So a cell that a third of all texts lie in is met once per row, not per text.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo()
+        ids: list[int | None] = []
+        sizes: list[int] = []
+        cells: list[np.ndarray] = []
+        held = 0
+
+        def row() -> pa.RecordBatch:
+            every = np.concatenate(cells)
+            place = np.repeat(np.arange(len(cells), dtype=np.uint32), list(map(len, cells)))
+            if None in ids:  # rows without a key link with nothing
+                keep = np.array([i is not None for i in ids])[place]
+                every, place = every[keep], place[keep]
+            order = np.argsort(every, kind="stable")
+            every, place = every[order], place[order]
+            first = np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else np.empty(0, bool)
+            again = ~first
+            known = np.zeros(len(every), bool)
+            known[:-1] = again[1:]
+            several = again | known
+            numbers = np.array([-1 if i is None else i for i in ids], np.int64)
+            values = [[ids], [sizes], [planes(np.diff(every[first], prepend=np.uint64(0)))], [planes(place[first])], [np.packbits(known[first]).tobytes()], [int(first.sum())]]
+            values += [[every[several].view(np.int64)], [numbers[place[several]]]]
+            longs = pa.list_(pa.int64())
+            kinds = [longs, longs, pa.binary(), pa.binary(), pa.binary(), pa.int64(), longs, longs]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["ids", "sizes", "cells", "places", "known", "held", "shared_cells", "shared_ids"])
+
         for batch in slices(batches):
-            sizes, cells = [], []
-            for text in batch.column(1).to_pylist():
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = shingles(text, memo, width)
+                ids.append(key)
                 sizes.append(len(h))
                 cells.append(bands.cells(h))
-            stops = np.cumsum([0, *map(len, cells)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(cells).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], ["id", "n", "cells"])
+                held += len(cells[-1])
+                if held >= ROW_CELLS or len(ids) >= ROW_CELLS:
+                    yield row()
+                    ids, sizes, cells, held = [], [], [], 0
+        if ids:
+            yield row()
+
+    return docs.mapInArrow(run, "ids array<bigint>, sizes array<bigint>, cells binary, places binary, known binary, held bigint, shared_cells array<bigint>, shared_ids array<bigint>")
+
+
+def _shared_cells(profiles: DataFrame) -> DataFrame:
+    """(cell, id) of every cell that several texts lie in. Cells are dealt by their leading bits into buckets of some
+    million; a bucket gets each cell at most once per profile row."""
+    held = profiles.agg(F.sum("held")).first()[0] or 0
+    bits = (held // BUCKET_CELLS).bit_length()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            ids, cells, places, known = (batch.column(k)[0].as_py() for k in range(4))
+            cells = np.cumsum(from_planes(cells, "<u8"), dtype=np.uint64)
+            numbers = np.array([-1 if i is None else i for i in ids], np.int64)[from_planes(places, "<u4")]
+            known = np.unpackbits(np.frombuffer(known, np.uint8))[: len(cells)]
+            bucket = (cells >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(cells), np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            parts = [(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if a < b]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(bucket[a]) for a, _ in parts], pa.int64()), pa.array([planes(np.diff(cells[a:b], prepend=np.uint64(0))) for a, b in parts], pa.binary()),
+                    pa.array([planes(numbers[a:b]) for a, b in parts], pa.binary()), pa.array([known[a:b].tobytes() for a, b in parts], pa.binary()),
+                ],
+                ["bucket", "cells", "ids", "known"],
+            )
 
-    return docs.mapInArrow(run, "id bigint, n bigint, cells array<bigint>")
+    def meet(table: pa.Table) -> pa.Table:
+        cells = np.concatenate([np.cumsum(from_planes(x, "<u8"), dtype=np.uint64) for x in table.column("cells").to_pylist()])
+        ids = np.concatenate([from_planes(x, "<i8") for x in table.column("ids").to_pylist()])
+        known = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("known").to_pylist()])
+        order = np.argsort(cells, kind="stable")
+        cells, new = cells[order], known[order] == 0  # the known ones stand in their profile row
+        twice = cells[1:] == cells[:-1]
+        several = np.zeros(len(cells), bool)
+        several[1:] = twice
+        several[:-1] |= twice
+        keep = several & new
+        return pa.table({"cell": cells[keep].view(np.int64), "id": ids[order][keep]})
+
+    own = profiles.select(F.inline(F.arrays_zip(F.col("shared_cells").alias("cell"), F.col("shared_ids").alias("id")))).toDF("cell", "id")
+    with _small_batches(profiles.sparkSession, 1):
+        dealt = profiles.select("ids", "cells", "places", "known").mapInArrow(deal, "bucket bigint, cells binary, ids binary, known binary")
+        return written_table(dealt.groupBy("bucket").applyInArrow(meet, "cell bigint, id bigint").unionByName(own), "jaccard-cells")
 
 
 def _points(docs: DataFrame, width: int) -> DataFrame:
@@ -271,10 +350,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     bands = Bands(percent)
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     profiles = written_table(_profiles(rows, width, bands), "jaccard-profiles")
-    held = profiles.filter("id is not null").select("id", F.explode("cells").alias("cell"))
-    shared = held.groupBy("cell").count().filter("count > 1").select("cell")
-    cells = written_table(held.join(shared, "cell"), "jaccard-cells")
-    sizes = written_table(profiles.select("id", "n"), "jaccard-sizes")
+    sizes = written_table(profiles.select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("sizes").alias("n")))).toDF("id", "n"), "jaccard-sizes")
+    cells = _shared_cells(profiles)
     drop_table(profiles)
 
     met = rows.join(cells.select("id").distinct(), "id", "left_semi")
