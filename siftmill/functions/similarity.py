@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftmill.functions.text import let
+
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -25,9 +27,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Edit distance, tried within narrow bands first: near copies of long texts cost
-    length times distance, not length squared."""
-    banded = [F.when(F.levenshtein(a, b, t) >= 0, F.levenshtein(a, b, t)) for t in (32, 512)]
-    return F.when(a == b, 0).otherwise(F.coalesce(*banded, F.levenshtein(a, b)))
+    length times distance, not length squared. Every band is computed once."""
+    out = F.levenshtein(a, b)
+    for band in (512, 32):
+        wider = out
+        out = let(F.levenshtein(a, b, band), lambda d, wider=wider: F.when(d >= 0, d).otherwise(wider))
+    return F.when(a == b, 0).otherwise(out)
 
 
 def string_ratio(a: Column, b: Column) -> Column:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from siftmill.functions.scores import ratio
 from siftmill.functions.similarity import jaccard, token_set
 from siftmill.functions.text import category_of_match, escape_literal, let, negative_lookahead, severity_of_confidence
+from siftmill.operators.editjoin import edit_links
 from siftmill.operators.graph import components
 from siftmill.operators.metrics import common_fp_tokens
-from siftmill.operators.similarity import similar_text_edges
 from siftmill.session import cut_lineage
 
 PROJECT_ROOTS = "themes|plugins"
@@ -182,7 +182,7 @@ def text_clusters(violations: DataFrame, threshold: float = 0.8) -> DataFrame:
     texts = violations.groupBy("ext", "text").agg(F.count("*").alias("n"))
     # Read three times below; the scan behind it runs once.
     texts = cut_lineage(texts.withColumn("id", F.xxhash64("ext", "text")))
-    edges = similar_text_edges(texts.select("ext", "id", "text"), ["ext"], threshold)
+    edges = edit_links(texts.select("ext", "id", "text"), ["ext"], threshold)
     comp = components(edges).select(F.col("node").alias("id"), "component")
     return texts.join(comp, "id", "left").select("ext", "text", "n", F.coalesce("component", "id").alias("cluster"))
 

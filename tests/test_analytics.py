@@ -6,9 +6,10 @@ import random
 from datetime import date, datetime, timedelta
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from siftmill.operators import graph, incremental, metrics, mining, ordered, pairs, similarity
+from siftmill.operators import editjoin, graph, incremental, metrics, mining, ordered, pairs, similarity
 from siftmill.streaming import state
 from siftmill.streaming.runner import event_stream, run_to_table
 
@@ -140,6 +141,72 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == want and len(want) > 10
 
 
+def test_rule_clusters_where_titles_repeat(spark):
+    random.seed(11)
+    words = [f"w{i}" for i in range(12)]
+    bodies = [" ".join(random.choice(words) for _ in range(random.choice([4, 40, 45]))) for _ in range(8)]
+    rows = []
+    for i in range(160):
+        body = list(random.choice(bodies))
+        for _ in range(random.choice([0, 1, 3, 12])):
+            body[random.randrange(len(body))] = random.choice("xyzé")
+        title = random.choice(["the hot title", "the hot title", "the hot title here", "hot title the", "a b c d e f", "a b c d e g", ""])
+        rows.append((i, "".join(body), title, random.choice(["c", "c", "d"])))
+    df = spark.createDataFrame(rows, "id long, pattern string, title string, category string")
+
+    def linked(a, b):
+        ta, tb = set(a[2].split()), set(b[2].split())
+        if a[3] != b[3] or not ta or not tb:
+            return a[1:] == b[1:]
+        ratio = 1 - _levenshtein(a[1], b[1]) / max(len(a[1]), len(b[1]))
+        return 0.5 * ratio + 0.3 * len(ta & tb) / len(ta | tb) + 0.2 >= 0.9 - 1e-12
+
+    want = _clusters([r[0] for r in rows], [(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if linked(a, b)])
+    for block in (3, 64):
+        assert {tuple(r) for r in graph.components(similarity.near_duplicate_edges(df, 0.9, block)).collect()} == want
+    assert len(want) > 40
+    assert similarity.near_duplicate_edges(df.limit(0), 0.9).count() == 0
+
+
+@pytest.mark.parametrize("threshold, segmented", [(0.8, 128), (0.8, 9), (0.9, 128), (0.6, 20)])
+def test_edit_links_against_all_pairs(spark, threshold, segmented):
+    random.seed(12)
+    bases = ["".join(random.choice("abé") for _ in range(random.choice([1, 2, 5, 11, 12, 20, 33]))) for _ in range(14)]
+    texts = {""}
+    for _ in range(120):
+        body = list(random.choice(bases))
+        for _ in range(random.randrange(4)):
+            at = random.randrange(len(body) + 1)
+            body[at : at + random.randrange(2)] = random.choice(["", "a", "b", "x"])
+        texts.add("".join(body))
+    rows = [(i, random.choice(["k", "l"]), t) for i, t in enumerate(sorted(texts))] + [(900, "k", None)]
+    df = spark.createDataFrame(rows, "id long, ext string, text string")
+    near = lambda a, b: a[1] == b[1] and a[2] and b[2] and 1 - _levenshtein(a[2], b[2]) / max(len(a[2]), len(b[2])) >= threshold - 1e-9
+    want = _clusters([r[0] for r in rows], [(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if near(a, b)])
+    links = editjoin.edit_links(df, ["ext"], threshold, segmented)
+    assert {tuple(r) for r in graph.components(links).collect()} == want and len(want) > 20
+    by = {r[0]: r for r in rows}
+    assert all(near(by[r.src], by[r.dst]) for r in links.collect())
+
+
+def test_every_close_pair_shares_a_segment(spark):
+    random.seed(13)
+    rows = []
+    for i in range(300):
+        a = "".join(random.choice("ab") for _ in range(random.randrange(1, 40)))
+        b = list(a)
+        for _ in range(random.randrange(9)):
+            at = random.randrange(len(b) + 1)
+            b[at : at + random.randrange(2)] = random.choice(["", "a", "b", "ab"])
+        rows.append((i, a, "".join(b) or "a"))
+    index, probe = editjoin.segment_keys(0.8)
+    keys = lambda c: spark.createDataFrame(rows, "i long, a string, b string").selectExpr("i", f"{c} AS text", f"length({c}) AS n").selectExpr("i", f"{index} AS x", f"{probe} AS y").collect()
+    for (i, a, b), ka, kb in zip(rows, keys("a"), keys("b")):
+        if 1 - _levenshtein(a, b) / max(len(a), len(b)) >= 0.8 - 1e-9:
+            short, long = (ka, kb) if len(a) <= len(b) else (kb, ka)
+            assert set(short.x) & set(long.y), (a, b)
+
+
 def test_vector_clusters_against_all_pairs(spark):
     random.seed(3)
     centres = [[random.gauss(0, 1) for _ in range(8)] for _ in range(5)]
