@@ -28,11 +28,8 @@ def jaccard(a: Column, b: Column) -> Column:
 def edit_distance(a: Column, b: Column) -> Column:
     """Edit distance, tried within narrow bands first: near copies of long texts cost
     length times distance, not length squared. Every band is computed once."""
-    out = F.levenshtein(a, b)
-    for band in (512, 32):
-        wider = out
-        out = let(F.levenshtein(a, b, band), lambda d, wider=wider: F.when(d >= 0, d).otherwise(wider))
-    return F.when(a == b, 0).otherwise(out)
+    wide = let(F.levenshtein(a, b, 512), lambda d: F.when(d >= 0, d).otherwise(F.levenshtein(a, b)))
+    return F.when(a == b, 0).otherwise(let(F.levenshtein(a, b, 32), lambda d: F.when(d >= 0, d).otherwise(wide)))
 
 
 def string_ratio(a: Column, b: Column) -> Column:

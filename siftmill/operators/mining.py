@@ -137,40 +137,88 @@ def category_of_cluster(text_flag, ext: Column) -> Column:
 CLUSTER_TESTS = [r"\$_GET|\$_POST|\$_REQUEST", r"(?i)sql|query", r"px|#", r"fetch|axios", r"useState|useEffect"]
 
 
-def held_runs(base: str, text: str) -> list[int]:
-    """For each place of ``base`` the length of the longest run from there that ``text`` holds."""
-    out, stop = [], 0
-    for i in range(len(base)):
-        stop = max(stop, i)
-        while stop < len(base) and base[i : stop + 1] in text:
-            stop += 1
-        out.append(stop - i)
-    return out
-
-
-def common_substring(members: DataFrame, keys: list[str], per_task: int = 500) -> DataFrame:
+class Automaton:
+    """The suffix automaton of a text: every state stands for the substrings that end at the same places.
+
+    ``length`` is its longest substring, ``link`` the state of the longest proper suffix that ends
+    elsewhere too, ``first`` where it ends for the first time. Linear in the text (Blumer et al., 1985).
+    """
+
+    def __init__(self, text: str):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length, self.first = [-1], [0], [-1]
+        last = 0
+        for at, ch in enumerate(text):
+            state = self._state({}, self.length[last] + 1, at)
+            p = last
+            while p >= 0 and ch not in self.next[p]:
+                self.next[p][ch] = state
+                p = self.link[p]
+            if p < 0:
+                self.link[state] = 0
+            elif self.length[q := self.next[p][ch]] == self.length[p] + 1:
+                self.link[state] = q
+            else:
+                copy = self._state(dict(self.next[q]), self.length[p] + 1, self.first[q])
+                self.link[copy] = self.link[q]
+                while p >= 0 and self.next[p].get(ch) == q:
+                    self.next[p][ch] = copy
+                    p = self.link[p]
+                self.link[q] = self.link[state] = copy
+            last = state
+        self.by_length = sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True)
+
+    def _state(self, edges: dict[str, int], length: int, first: int) -> int:
+        self.next.append(edges)
+        self.link.append(0)
+        self.length.append(length)
+        self.first.append(first)
+        return len(self.link) - 1
+
+    def held(self, text: str) -> list[int]:
+        """For every state the length of its longest substring that ``text`` holds, 0 for none. One walk over the text."""
+        out = [0] * len(self.link)
+        state = run = 0
+        for ch in text:
+            while state and ch not in self.next[state]:
+                state = self.link[state]
+                run = self.length[state]
+            if ch in self.next[state]:
+                state, run = self.next[state][ch], run + 1
+                if run > out[state]:
+                    out[state] = run
+        for v in self.by_length:  # a text that holds a substring holds its suffixes
+            if out[v]:
+                out[self.link[v]] = self.length[self.link[v]]
+        out[0] = 0
+        return out
+
+
+def common_substring(members: DataFrame, keys: list[str]) -> DataFrame:
     """The longest run of characters that all texts of a cluster hold; on a tie the first in its shortest text.
 
-    Runs are measured from each place of the shortest text; a cluster's run from a place is the least
-    of its members, which is the same however they are split. ``per_task`` texts are folded before
-    the shuffle at most.
+    The substrings of the shortest text are the states of its automaton; every other text is one walk
+    over it, so the work is linear in the texts. A cluster's run in a state is the least of its members,
+    folded per batch before the shuffle, the same however they are split.
     """
     shortest = members.groupBy(*keys).agg(F.min_by("text", F.struct(F.length("text"), F.col("text"))).alias("_base"))
     schema = ", ".join(f"{k} {members.schema[k].dataType.simpleString()}" for k in keys)
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, part in pdf.groupby(keys, sort=False):
-                base = part["_base"].iat[0] or ""
-                for start in range(0, len(part), per_task):
-                    least = np.min([held_runs(base, t or "") for t in part["text"].iloc[start : start + per_task]], axis=0)
-                    rows = pd.DataFrame({"_run": least if base else [0]}, dtype="int64")
-                    yield rows.assign(_place=np.arange(len(rows)), **{k: part[k].iat[0] for k in keys})[[*keys, "_place", "_run"]]
-
-    found = members.select(*keys, "text").join(shortest, keys).mapInPandas(runs, f"{schema}, _place bigint, _run bigint")
-    least = found.groupBy(*keys, "_place").agg(F.min("_run").alias("_run"))
-    best = least.groupBy(*keys).agg(F.max(F.struct("_run", (-F.col("_place")).alias("_place"))).alias("_best"))
-    return best.join(shortest, keys).select(*keys, F.col("_base").substr((1 - F.col("_best._place")).cast("int"), F.col("_best._run").cast("int")).alias("text"))
+            for _, part in pdf.groupby(keys, sort=False, dropna=False):
+                states = Automaton(part["_base"].iat[0] or "")
+                least = np.array(states.length)
+                for text in part["text"]:
+                    least = np.minimum(least, states.held(text or ""))
+                rows = pd.DataFrame({"_place": np.arange(len(least)), "_end": states.first, "_run": least}, dtype="int64")
+                yield rows.assign(**{k: part[k].iat[0] for k in keys})[[*keys, "_place", "_end", "_run"]]
+
+    found = members.select(*keys, "text").join(shortest, keys).mapInPandas(runs, f"{schema}, _place bigint, _end bigint, _run bigint")
+    least = found.groupBy(*keys, "_place", "_end").agg(F.min("_run").alias("_run"))
+    best = least.groupBy(*keys).agg(F.max(F.struct("_run", (F.col("_run") - F.col("_end")).alias("_before"))).alias("_best"))
+    start = (2 - F.col("_best._before")).cast("int")  # counted from 1
+    return best.join(shortest, keys).select(*keys, F.when(F.col("_best._run") > 0, F.col("_base").substr(start, F.col("_best._run").cast("int"))).otherwise("").alias("text"))
 
 
 def text_clusters(violations: DataFrame, threshold: float = 0.8) -> DataFrame:

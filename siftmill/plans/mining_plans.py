@@ -197,7 +197,17 @@ def cross_project_patterns(spark, d):
     return out.select("ext", F.col("example").alias("first_text"), "occurrences", "projects", "universal", "confidence")
 
 
-@query("mined_patterns", "SIM11 SIM12 UDF4")
+@query(
+    "mined_patterns", "SIM11 SIM12 UDF4",
+    f"""WITH RECURSIVE {CLUST}, g AS (SELECT tc.ext, cluster, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS texts, arg_min(tc.text, (length(tc.text), tc.text)) AS base, bool_or(regexp_matches(tc.text, '\\$_GET|\\$_POST|\\$_REQUEST')) AS f0, bool_or(regexp_matches(tc.text, '(?i)sql|query')) AS f1, bool_or(regexp_matches(tc.text, 'fetch|axios')) AS f3, bool_or(regexp_matches(tc.text, 'useState|useEffect')) AS f4 FROM tc JOIN tx ON tx.ext = tc.ext AND tx.text = tc.text GROUP BY ALL HAVING sum(n) >= 2),
+places AS (SELECT ext, cluster, base, unnest(range(length(base))) AS i FROM g), subs AS (SELECT ext, cluster, i, k, substr(base, i + 1, k) AS sub FROM (SELECT *, unnest(range(1, length(base) - i + 1)) AS k FROM places)),
+held AS (SELECT subs.ext, subs.cluster, i, k, sub FROM subs JOIN tc ON tc.ext = subs.ext AND tc.cluster = subs.cluster GROUP BY ALL HAVING bool_and(contains(tc.text, sub))),
+best AS (SELECT ext, cluster, arg_max(sub, (k, -i)) AS common FROM held GROUP BY ALL),
+c AS (SELECT g.*, coalesce(common, '') AS common, CASE WHEN g.ext = '.php' AND (f0 OR f1) THEN 'php-security' WHEN g.ext = '.js' AND f3 THEN 'js-contract' WHEN g.ext = '.js' AND f4 THEN 'nextjs-react' ELSE 'code-quality' END AS category FROM g LEFT JOIN best ON best.ext = g.ext AND best.cluster = g.cluster),
+e AS (SELECT *, regexp_replace(common, '([\\\\.^$|?*+()\\[\\]{{}}])', '\\\\\\1', 'g') AS escaped FROM c WHERE length(common) >= 5 OR texts = 1)
+SELECT ext, CASE WHEN texts = 1 THEN escaped ELSE '[a-zA-Z_][a-zA-Z0-9_]*?' || escaped || '[a-zA-Z_][a-zA-Z0-9_]*?' END AS pattern, '**/*' || ext AS scope, category,
+ CASE WHEN contains(category, 'security') THEN 'CRITICAL' WHEN occurrences >= 10 THEN 'HIGH' ELSE 'SUGGEST' END AS severity, occurrences, texts, least(1.0::DOUBLE, occurrences::DOUBLE / 10) AS confidence FROM e""",
+)
 def mined_patterns(spark, d):
     return mining.mined_patterns(_texts(spark, d)).select("ext", "pattern", "scope", "category", "severity", "occurrences", "texts", "confidence")
 

@@ -234,7 +234,26 @@ def test_mining_example(spark):
 def test_common_substring_in_slices(spark):
     rows = [("c", f"{i:03d} shared part {i % 7}") for i in range(40)]
     df = spark.createDataFrame(rows, "k string, text string")
-    assert [r.text for r in mining.common_substring(df, ["k"], per_task=6).collect()] == [" shared part "]
+    assert [r.text for r in mining.common_substring(df.repartition(3), ["k"]).collect()] == [" shared part "]
+
+
+def test_common_substring_of_long_texts(spark):
+    random.seed(14)
+    long = lambda: "".join(random.choice("abcdefgh ") for _ in range(5000))
+    rows = [(1, long() + "<the part that all of them hold>" + long()) for _ in range(20)] + [(2, "ab"), (2, "cd"), (3, ""), (4, "only one")]
+    got = {r.k: r.text for r in mining.common_substring(spark.createDataFrame(rows, "k int, text string"), ["k"]).collect()}
+    assert got == {1: "<the part that all of them hold>", 2: "", 3: "", 4: "only one"}
+
+
+def test_automaton_against_every_substring():
+    random.seed(15)
+    for _ in range(300):
+        base, *others = ("".join(random.choice("abc") for _ in range(random.randrange(13))) for _ in range(3))
+        states = mining.Automaton(base)
+        for text in others:
+            for state, run in enumerate(states.held(text)):
+                ends = [base[: states.first[state] + 1][-k:] for k in range(states.length[states.link[state]] + 1 if state else 1, states.length[state] + 1)]
+                assert run == max((len(x) for x in ends if x in text), default=0)
 
 
 def test_common_substring_does_not_depend_on_the_split(spark):
@@ -242,7 +261,7 @@ def test_common_substring_does_not_depend_on_the_split(spark):
     rows += [("big", f"{i:05d} alpha{'+' if i % 3 else '-'} beta {'gamma' * (i % 700 != 0)}") for i in range(1300)]
     df = spark.createDataFrame(rows, "k string, text string").repartition(5)
     for size in (1, 2, 500, 5000):
-        got = {r.k: r.text for r in mining.common_substring(df, ["k"], per_task=size).collect()}
+        got = {r.k: r.text for r in mining.common_substring(df.repartition(size), ["k"]).collect()}
         assert got == {"fold": "bbbb", "none": "", "empty": "", "one": "only é漢 this", "big": " alpha"}
 
 
