@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 SLICE_ROWS = 256
 
@@ -38,6 +39,15 @@ def planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Planes of whole numbers, compressed: for columns that are both written and shuffled."""
+    return zstandard.compress(planes(values), 1)
+
+
+def unsqueezed(raw: bytes, kind: str) -> np.ndarray:
+    return from_planes(zstandard.decompress(raw), kind)
+
+
 def from_planes(raw: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()

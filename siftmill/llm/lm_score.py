@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.base import Memo, from_planes, planes, slices
+from siftmill.llm.base import Memo, from_planes, planes, slices, squeezed, unsqueezed
 from siftmill.llm.ngram_join import _mix, _small_batches
 from siftmill.session import written_table
 
@@ -32,7 +32,7 @@ def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
     """(block, keys, lengths, vocab, words): words are places in the block's sorted distinct word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little"), entries=500_000)
+        memo = Memo(lambda w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little"), entries=200_000)
         block = TaskContext.get().partitionId() << 32
         keys: list = []
         parts: list[np.ndarray] = []
@@ -40,7 +40,7 @@ def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             vocab, words = np.unique(np.concatenate(parts), return_inverse=True)
-            cols = [[block], [keys], [list(map(len, parts))], [vocab.tobytes()], [planes(words.astype("<u4"))]]
+            cols = [[block], [keys], [list(map(len, parts))], [squeezed(np.diff(vocab, prepend=np.uint64(0)))], [squeezed(words.astype("<u4"))]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["block", "keys", "lengths", "vocab", "words"])
 
@@ -63,8 +63,8 @@ class _Block:
     """Positions, distinct n-grams and their places, the same in asking and in scoring."""
 
     def __init__(self, lengths: list[int], vocab: bytes, words: bytes):
-        self.vocab = np.frombuffer(vocab, np.uint64)
-        self.words = from_planes(words, "<u4").astype(np.int32)
+        self.vocab = np.cumsum(unsqueezed(vocab, "<u8"), dtype=np.uint64)
+        self.words = unsqueezed(words, "<u4").astype(np.int32)
         self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         self.lengths = np.array(lengths, np.int64)
         self.inner = (np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1).astype(np.int32)  # positions with a word before them
@@ -111,7 +111,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: flo
     is another document). Null and empty texts have no words, log_prob 0 and a null mean.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    blocks = written_table(_blocks(rows, block_words), "lm-blocks")
+    with _small_batches(docs.sparkSession, 512):
+        blocks = written_table(_blocks(rows, block_words), "lm-blocks")
     n = blocks.agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("n")).first()["n"] or 0
     bits = max(0, (2 * n // bucket_grams)).bit_length()
 

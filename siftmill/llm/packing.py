@@ -17,7 +17,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ class WordEncoder:
     string, at which it always cuts. Other words, and all texts of other tokenizers, are encoded alone.
     """
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,7 +80,8 @@ class WordEncoder:
             raw, marks = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist()
             self.parts.update(zip(part, [raw[i:j] for i, j in zip([0, *(m + 4 for m in marks)], [*marks, len(raw)])], strict=True))
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: Iterable[str]) -> None:
+        words = list(words)
         if len(self.words) + len(words) > self.entries:
             self.words = {"": b""}
         if len(self.parts) > self.entries:
@@ -99,12 +101,20 @@ class WordEncoder:
             return self._alone(texts)
         words = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.words
-        wanted = {w for own in words for w in own if w not in known}
-        self._learn(wanted if len(known) + len(wanted) <= self.entries else set().union(*words))
+        held = set().union(*words)
+        wanted = [w for w in held if w not in known]
+        if wanted:
+            self._learn(wanted if len(known) + len(wanted) <= self.entries else held)
         get = self.words.__getitem__
         return [b"".join(map(get, own)) for own in words]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One encoder per worker process, which serves many tasks in turn."""
+    return WordEncoder(path)
+
+
 def cut(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(task, place, key, piece, start, length, ids binary): pieces of at most ``limit`` ids of every row.
 
@@ -115,9 +125,9 @@ def cut(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = WordEncoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, task = _encoder(tokenizer_path), TaskContext.get().partitionId()
         seen = [0] * (limit + 1)
-        for batch in slices(batches, 64):
+        for batch in slices(batches, 128):
             source, piece, start, length, place, parts = [], [], [], [], [], []
             for row, raw in enumerate(encoder.of([t or "" for t in batch.column(1).to_pylist()])):
                 raw += end
