@@ -32,7 +32,7 @@ def warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.archive_and_read(table(spark, sf_dir, "pages"))
     number = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).cast("bigint")
     return captures.select(
-        number("capture_id").alias("page_id"), "payload_bytes", F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"),
+        F.regexp_extract("metadata.extra", r"^page: (-?\d+)", 1).try_cast("bigint").alias("page_id"), "payload_bytes", F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"),
         F.when(F.col("response.refers_to").isNotNull(), number("response.refers_to")).alias("refers_to"),
     )
 

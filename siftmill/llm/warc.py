@@ -49,17 +49,24 @@ def classify(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", records_per_file: int = 30_000) -> None:
     """Write three records per row: request, response (or revisit of the first equal payload), metadata.
 
-    A null html is an empty payload; a null url leaves Target-URI out. Keys must be unique and not
-    null: they name the records. Extra columns are not written. The key travels in the record ids.
+    A null html is an empty payload; a null url leaves Target-URI out. Keys name the records; those of
+    repeated or null keys get a number besides, so every row keeps its three records. Of equal payloads
+    all rows of the smallest key are responses; rows of a greater or null key are revisits, which refer
+    to the response by its key. Payloads that only null keys have are responses. The key itself
+    travels in the metadata record. Extra columns are not written.
     """
-    p = classify(pages.select(key, url, html), key, html)
+    pages = pages.select(key, url, html)
     k = F.col(key)
-    revisit = F.coalesce(F.col("first_key") < k, F.lit(False))
+    repeated = pages.groupBy(key).count().filter((F.col("count") > 1) & k.isNotNull()).select(key, F.lit(True).alias("again"))
+    p = classify(pages, key, html).join(repeated, key, "left")
+    unique = F.concat(F.coalesce(k.cast("string"), F.lit("null")), F.lit(":"), F.monotonically_increasing_id().cast("string"))
+    p = p.withColumn("name", F.when(k.isNull() | F.col("again"), unique).otherwise(k.cast("string")))
+    revisit = F.col("first_key").isNotNull() & F.coalesce(F.col("first_key") < k, F.lit(True))
     target = F.regexp_replace(F.col(url), r"[\r\n]", " ")
     http_head = F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END * 2}")
-    response_id = _urn("response", k)
+    response_id = _urn("response", F.col("name"))
     request = _record(
-        {"WARC-Type": F.lit("request"), "WARC-Record-ID": F.concat(F.lit("<"), _urn("request", k), F.lit(">")), "WARC-Concurrent-To": F.concat(F.lit("<"), response_id, F.lit(">")), "WARC-Target-URI": target, "Content-Type": F.lit("application/http; msgtype=request")},
+        {"WARC-Type": F.lit("request"), "WARC-Record-ID": F.concat(F.lit("<"), _urn("request", F.col("name")), F.lit(">")), "WARC-Concurrent-To": F.concat(F.lit("<"), response_id, F.lit(">")), "WARC-Target-URI": target, "Content-Type": F.lit("application/http; msgtype=request")},
         F.concat(F.lit("GET "), F.coalesce(target, F.lit("/")), F.lit(f" HTTP/1.1{END * 2}")),
     )
     response = _record(
@@ -75,8 +82,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         F.concat(http_head, F.when(revisit, F.lit("")).otherwise(F.col("payload"))),
     )
     metadata = _record(
-        {"WARC-Type": F.lit("metadata"), "WARC-Record-ID": F.concat(F.lit("<"), _urn("metadata", k), F.lit(">")), "WARC-Concurrent-To": F.concat(F.lit("<"), response_id, F.lit(">")), "WARC-Target-URI": target, "Content-Type": F.lit("application/warc-fields")},
-        F.concat(F.lit("page: "), k.cast("string"), F.lit(END)),
+        {"WARC-Type": F.lit("metadata"), "WARC-Record-ID": F.concat(F.lit("<"), _urn("metadata", F.col("name")), F.lit(">")), "WARC-Concurrent-To": F.concat(F.lit("<"), response_id, F.lit(">")), "WARC-Target-URI": target, "Content-Type": F.lit("application/warc-fields")},
+        F.concat(F.lit("page: "), F.coalesce(k.cast("string"), F.lit("")), F.lit(END)),
     )
     records = p.select(F.explode(F.array(request, response, metadata)).alias("value"))
     records.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
@@ -145,9 +152,13 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def resolve(captures: DataFrame) -> DataFrame:
-    """Give revisits the payload length of the response that they refer to. Responses refer to themselves here, so that no null key gathers them in one task."""
-    sizes = captures.filter("response.record_type = 'response'").select(F.col("capture_id").alias("first_id"), F.col("response.payload_bytes").alias("first_bytes"))
-    full = captures.join(sizes, F.coalesce("response.refers_to", "capture_id") == F.col("first_id"), "left")
+    """Give revisits the payload length of the responses with their digest. Only digests that revisits name take part, and
+    captures without one are matched by their own id, so that no null or common digest gathers them in one task."""
+    revisits = captures.filter("response.record_type = 'revisit'").select(F.col("response.payload_digest").alias("first_id")).distinct()
+    sizes = captures.filter("response.record_type = 'response'").groupBy(F.col("response.payload_digest").alias("first_id")).agg(F.max("response.payload_bytes").alias("first_bytes"))
+    sizes = sizes.join(revisits, "first_id", "left_semi")
+    asks = F.when(F.col("response.record_type") == "revisit", F.col("response.payload_digest")).otherwise(F.col("capture_id"))
+    full = captures.join(sizes, asks == F.col("first_id"), "left")
     return full.withColumn("payload_bytes", F.coalesce("response.payload_bytes", "first_bytes")).drop("first_id", "first_bytes")
 
 

@@ -97,6 +97,51 @@ def test_warc_round_trip(spark):
     assert warc.assemble(warc.read_records(spark, none)).count() == 0
 
 
+def test_warc_keeps_rows_of_null_and_repeated_keys(spark):
+    same = "same " * 40
+    rows = [(1, "u", same), (1, "v", "other"), (1, "w", same), (2, "u", same), (None, "u", same), (None, None, None), (None, "x", "alone " * 30), (None, "y", "alone " * 30), (5, "u", "once")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    captures = warc.archive_and_read(pages).collect()
+    key = lambda r: r.metadata.extra.removeprefix("page: ").strip()
+    got = sorted((key(r), r.payload_bytes, r.response.record_type, r.response.refers_to or "") for r in captures)
+    first = "urn:capture:response:1"
+    want = [("1", 200, "response", ""), ("1", 200, "response", ""), ("1", 5, "response", ""), ("2", 200, "revisit", first), ("", 200, "revisit", first), ("", 0, "response", ""), ("5", 4, "response", "")]
+    assert got == sorted([*want, ("", 180, "response", ""), ("", 180, "response", "")])
+    assert len({r.capture_id for r in captures}) == len(rows) and all(r.request and r.metadata for r in captures)
+
+
+def test_url_rules_of_deep_templates(spark):
+    rng = random.Random(9)
+    fixed = [f"seg{chr(97 + i)}" for i in range(25)]
+    rows = []
+    for i in range(600):
+        parts = [f for f in fixed if i % 2 or rng.random() < 0.9]
+        rows.append(([f"p:{p}" for p in parts] + (["h:bad"] if i % 3 == 0 else ["h:good"]), i % 3 == 0))
+    template = spark.createDataFrame([([f"p:{p}" for p in fixed] + ["h:bad" if i % 3 == 0 else "h:good"], i % 3 == 0) for i in range(600)], "tokens array<string>, bad boolean")
+    assert {(tuple(r["items"]), r.verdict) for r in url_rules.mine(template).collect()} == {(("h:bad",), "block"), (("h:bad", "p:sega"), "block"), (("h:good",), "allow"), (("h:good", "p:sega"), "allow")}
+    loose = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), max_length=2).collect()
+    assert {tuple(r["items"]) for r in loose} >= {("h:bad",), ("h:good",), ("h:bad", "p:segc")} and max(r["size"] for r in loose) == 2
+
+
+def test_both_miners_give_the_rules_of_all_token_sets(spark):
+    from itertools import combinations
+
+    rng = random.Random(10)
+    rows = [([t for t in "abcdef" if rng.random() < 0.55], rng.random() < 0.4) for _ in range(120)] + [(["a", "b"], None), ([], True)]
+    rows = [(t, bool(b)) for t, b in rows] + [(["a", "f"], True)] * 30
+    want, n = set(), len(rows)
+    for size in (1, 2, 3):
+        for items in combinations("abcdef", size):
+            held = [b for t, b in rows if set(items) <= set(t)]
+            for verdict, count, share in (("block", sum(held), sum(b for _, b in rows) / n), ("allow", len(held) - sum(held), 1 - sum(b for _, b in rows) / n)):
+                if held and count / n >= 0.05 and count / len(held) >= 0.5 and count / len(held) / share >= 1.05:
+                    want.add((items, verdict, round(count / len(held), 9), round(count / n, 9)))
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    for wide in (0, 12):
+        got = url_rules.mine(df, 0.05, 0.5, 1.05, 3, wide).collect()
+        assert {(tuple(r["items"]), r.verdict, round(r.confidence, 9), round(r.support, 9)) for r in got} == want and len(got) == len(want) > 5
+
+
 def test_url_parts_and_fixed_rules(spark):
     cases = [
         ("HTTPS://WWW.Example.COM/en/1?x#y", "www.example.com", "/en/1", "www.example.com/en/"), ("http://m.example.com/en/2", "m.example.com", "/en/2", "example.com/en/"),
@@ -144,6 +189,22 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(v.limit(0), v).count() == 0 and topk.top_k(v, v.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_components_and_repeated_rows(spark):
+    rows = [(0, [1e15, 1.0]), (1, [1e16, 2.0]), (2, [-1e15, 5.0]), (3, [3.0, 1.0]), (3, [3.0, 1.0]), (4, [1e30, 1.0]), (20, [1.0, 0.5]), (20, [1.0, 0.5]), (40, [0.5, 9.0]), (40, [0.25, 9.0]), (5, [2e14, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    v = topk.quantized(df)
+    assert v.count() == 10
+    whole = [(i, [math.floor(64 * c) for c in x]) for i, x in rows if i != 4]
+    for shard_rows in (3, 4096):
+        got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, v.filter("vec_id % 20 = 0"), 4, shard_rows=shard_rows).collect()]
+        want = []
+        for q in (0, 20, 40):
+            asks = min(x for i, x in whole if i == q)
+            scores = sorted((-max(-topk.MOST, min(topk.MOST, sum(a * b for a, b in zip(asks, x)))), i) for i, x in whole if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:4])]
+        assert sorted(got) == sorted(want)
+
+
 def test_lm_scores_equal_brute_force(spark):
     texts = [(i, t) for i, t in awkward() if len(t or "") < 5000] + [(20, "again one"), (None, "one two")]
     lists = [(t or "").lower().split() for _, t in texts]
