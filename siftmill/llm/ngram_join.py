@@ -37,8 +37,8 @@ GROUPS = 64  # coordinates of the points in the R-trees
 BLOCK_GROUPS = 1 << 20  # groups of a block: so many that blocks of few shingles rarely agree by chance
 PAGE = 2048  # members of a cell that meet in one task
 LEAF = 32
-ROW_CELLS = 1 << 20  # cells of a profile row
-BUCKET_CELLS = 1 << 20  # cells that meet in a task, on average
+ROW_CELLS = 1 << 18  # cells of a profile row
+BUCKET_CELLS = 1 << 19  # cells that meet in a task, on average
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
@@ -64,7 +64,7 @@ def shingles(text: str | None, memo: Memo, width: int) -> np.ndarray:
 
 
 def _memo() -> Memo:
-    return Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), entries=500_000)
+    return Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), entries=200_000)
 
 
 class Bands:
@@ -349,13 +349,15 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     bands = Bands(percent)
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
-    profiles = written_table(_profiles(rows, width, bands), "jaccard-profiles")
+    with _small_batches(docs.sparkSession, 512):
+        profiles = written_table(_profiles(rows, width, bands), "jaccard-profiles")
     sizes = written_table(profiles.select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("sizes").alias("n")))).toDF("id", "n"), "jaccard-sizes")
     cells = _shared_cells(profiles)
     drop_table(profiles)
 
     met = rows.join(cells.select("id").distinct(), "id", "left_semi")
-    points = written_table(_points(met, width), "jaccard-points")
+    with _small_batches(docs.sparkSession, 512):
+        points = written_table(_points(met, width), "jaccard-points")
     first = points.groupBy("sig").agg(F.min("id").alias("rep"))
     copies = written_table(points.select("id", "sig").join(first, "sig").select("id", "rep").distinct(), "jaccard-copies")
 

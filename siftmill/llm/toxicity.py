@@ -84,15 +84,15 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """(token, bad, good) from (text, toxic): occurrences by class, summed in tasks before the shuffle."""
+def _counts(rows: DataFrame, tokens: int = 150_000) -> DataFrame:
+    """(token, bad, good) from (text, toxic): occurrences by class, summed in tasks before the shuffle, some ``tokens`` at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[str, list[int]] = {}
-        split = Memo(features)
+        split = Memo(features, entries=100_000)
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(tally)), pa.array([v[1] for v in tally.values()], pa.int64()), pa.array([v[0] for v in tally.values()], pa.int64())], ["token", "bad", "good"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array([v[1] for v in tally.values()], pa.int64()), pa.array([v[0] for v in tally.values()], pa.int64())], ["token", "bad", "good"])
             tally.clear()
             return out
 
@@ -104,7 +104,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                         if c is None:
                             c = tally[f] = [0, 0]
                         c[toxic] += 1
-            if len(tally) > 300_000:
+            if len(tally) > tokens:
                 yield flush()
         yield flush()
 
@@ -149,16 +149,26 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through weighted points, by Newton's method; the ridge keeps it finite."""
-    beta, design = np.zeros(2), np.column_stack([x, np.ones_like(x)])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        pull = np.array([ridge * beta[0], 0.0])
-        hess = design.T @ (design * (w * p * (1 - p))[:, None]) + np.diag([ridge, 1e-6])
-        step = np.linalg.solve(hess, design.T @ (w * (y - p)) - pull)
-        beta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+    """Slope and offset of a logistic curve through weighted points, by Newton's method. The ridge keeps both finite; a step
+    that does not lower the loss is halved, so any number of rows converges."""
+    beta, design, pull = np.zeros(2), np.column_stack([x, np.ones_like(x)]), np.array([ridge, 1e-3])
+
+    def loss(b: np.ndarray) -> float:
+        z = design @ b
+        return float((w * (np.logaddexp(0.0, z) - y * z)).sum() + (pull * b * b).sum() / 2)
+
+    now = loss(beta)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
+        hess = design.T @ (design * (w * p * (1 - p))[:, None]) + np.diag(pull)
+        step = np.linalg.solve(hess, design.T @ (w * (y - p)) - pull * beta)
+        part = 1.0
+        while part > 1e-10 and loss(beta + part * step) > now - 1e-12 * abs(now):
+            part /= 2
+        if part <= 1e-10:
             break
+        beta = beta + part * step
+        now = loss(beta)
     return float(max(0.0, beta[0])), float(beta[1])
 
 
@@ -174,7 +184,7 @@ def _scan(rows: DataFrame, model: Model, raw: bool = False) -> DataFrame:
     kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = Memo(model.word, entries=500_000)
+        value = Memo(model.word, entries=200_000)
         passage = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("bits", pa.float64())])
         for batch in slices(batches):
             bits, excess, passages = [], [], []
@@ -209,7 +219,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, at = Memo(model.word), columns.index(text)
+        value, at = Memo(model.word, entries=200_000), columns.index(text)
         for batch in slices(batches):
             keep = []
             for t in batch.column(at).to_pylist():

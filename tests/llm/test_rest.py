@@ -61,6 +61,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(h == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1) for i, h in marked.items())
 
 
+def test_the_curve_fits_any_number_of_rows():
+    for n in (1, 30, 30_000, 10**9):
+        x = np.array([0.1, 0.5, 1.0, 2.0, 3.0, 8.0, 20.0, 60.0, 100.0])
+        y = np.array([0, 0, 0, 0, 0, 1, 1, 1, 1.0])
+        w = n * np.array([500, 200, 100, 10, 1, 1, 5, 20, 60.0])
+        slope, offset = toxicity._logistic(x, y, w)
+        p = 1 / (1 + np.exp(-(slope * x + offset)))
+        assert slope > 0 and (p[:4] < 0.2).all() and (p[6:] > 0.7).all()
+        mixed, base = toxicity._logistic(np.concatenate([x, x]), np.concatenate([y, 1 - y]), np.concatenate([w, w]))
+        assert mixed < 1e-3 and abs(base) < 1e-3
+
+
 def test_held_out_labels_do_not_train(spark):
     docs, labels, _ = toxic_fixture(spark)
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
