@@ -37,8 +37,10 @@ LIMIT = 4096
 WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-SIMPLE = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+\Z")  # characters that normalising only lower-cases, without the one that opens special strings
-SIMPLE_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")  # the pattern for lower-cased simple words
+WORD_END = "</w>"
+
+SIMPLE = re.compile(r"[\n!-;=-~À-ÖØ-öø-ÿ]+\Z")  # characters that normalising only lower-cases, without the one that opens special strings
+SIMPLE_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^\na-z0-9ß-öø-ÿ]+")  # the pattern for lower-cased simple words
 JOINED = 2000  # parts that the library encodes as one text
 
 
@@ -47,8 +49,8 @@ class WordEncoder:
 
     A vocabulary of lower-cased words drops white space, so the ids of a text are those of its words
     in turn. Words are kept in a table that is emptied when full. New words of simple characters are cut
-    by the pattern into parts, which repeat more; the library encodes the new parts joined by a special
-    string, at which it always cuts. Other words, and all texts of other tokenizers, are encoded alone.
+    by the pattern into parts, which repeat more; the library encodes the new parts in one text, and
+    the ids that end a word tell them apart. Other words, and all texts of other tokenizers, are encoded alone.
     """
 
     def __init__(self, path: str, entries: int = 250_000):
@@ -63,10 +65,13 @@ class WordEncoder:
         self.by_words = (
             (spec["normalizer"] or {}).get("normalizers") == WORD_NORMALIZERS
             and splits[0].get("pattern") == {"Regex": WORD_PATTERN}
-            and len(marks) == len(spec["added_tokens"]) > 0
+            and len(marks) == len(spec["added_tokens"])
+            and spec["model"].get("end_of_word_suffix") == WORD_END
         )
-        if self.by_words:
-            self.mark, self.mark_id = marks[0]["content"], marks[0]["id"]
+        if self.by_words:  # the last id of a part, and no other, ends a word
+            vocab = spec["model"]["vocab"]
+            self.ends = np.zeros(max(self.library.get_vocab(with_added_tokens=True).values()) + 1, bool)
+            self.ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
 
@@ -76,9 +81,13 @@ class WordEncoder:
     def _learn_parts(self, missing: list[str]) -> None:
         for at in range(0, len(missing), JOINED):
             part = missing[at : at + JOINED]
-            ids = np.array(self.library.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            raw, marks = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist()
-            self.parts.update(zip(part, [raw[i:j] for i, j in zip([0, *(m + 4 for m in marks)], [*marks, len(raw)])], strict=True))
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(part):
+                raw = ids.tobytes()
+                self.parts.update(zip(part, [raw[4 * i : 4 * j] for i, j in zip([0, *stops], stops)]))
+            else:
+                self.parts.update(zip(part, self._alone(part)))
 
     def _learn(self, words: Iterable[str]) -> None:
         words = list(words)
@@ -86,15 +95,24 @@ class WordEncoder:
             self.words = {"": b""}
         if len(self.parts) > self.entries:
             self.parts = {}
-        missing = [w for w in words if w not in self.words]
-        simple, others = [], []
-        for w in missing:
-            (simple if SIMPLE.match(w) else others).append(w)
-        self.words.update(zip(others, self._alone(others)))
-        cut = [SIMPLE_PARTS.findall(w.lower()) for w in simple]
-        known = self.parts
-        self._learn_parts([p for p in set().union(*cut) if p not in known])
-        self.words.update(zip(simple, [b"".join([known[p] for p in parts]) for parts in cut]))
+        simple, known = [w for w in words if w not in self.words], self.parts
+        if not SIMPLE.match(text := "\n".join(simple)):
+            others = [w for w in simple if not SIMPLE.match(w)]
+            self.words.update(zip(others, self._alone(others)))
+            simple = [w for w in simple if w not in self.words]
+            text = "\n".join(simple)
+        pieces = SIMPLE_PARTS.findall(text.lower())
+        self._learn_parts([p for p in set(pieces) if p not in known and p != "\n"])
+        own: list[bytes] = []
+        found = iter(simple)
+        for piece in pieces:
+            if piece == "\n":
+                self.words[next(found)] = own[0] if len(own) == 1 else b"".join(own)
+                own = []
+            else:
+                own.append(known[piece])
+        if own:
+            self.words[next(found)] = b"".join(own)
 
     def of(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
