@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.operators import incremental, metrics, scan
+from siftmill.operators import incremental, metrics, rulescan, scan
 from siftmill.plans import sqltext as q
 from siftmill.plans.registry import query
 from siftmill.sources import corpus, rules as R, sinks
@@ -671,6 +671,68 @@ def undefined_references(spark, d):
     return out.select("project", "path", "line_no", "symbol")
 
 
+# --- a whole rule table in one pass --------------------------------------------------------
+
+SYLLABLES = "th an er in ou en ch de re on at es or ti st ng al it as is ar ve le nd ed la se ei un ie qu ss nt em ra io ur ro li ll ic ne hi ri ma ta ce me si co ho ge so ab lo".split()
+
+
+def rule_of(kind: int, s: str) -> Rule:
+    """One of twelve rules about a syllable: every check of a scan, with and without literals, caps, guards and case."""
+    name, about = f"{kind:02d}-{s}", {"severity": ["CRITICAL", "HIGH", "SUGGEST"][kind % 3], "category": "prose", "description": f"Rule {kind} about {s}"}
+    return [
+        Rule(name, rf" {s}[a-z]+tion ", **about),
+        Rule(name, rf"{s}[a-z]{{2,}}\.", max_per_file=3, **about),
+        Rule(name, rf"(?i) {s}{s}[a-z]*,", dedup="per_file", **about),
+        Rule(name, rf"{s}ent[aeiou]", context_guard=Guard("[!?]", 1, 1), **about),
+        Rule(name, rf"{s}[aeiou]", pre_check=rf" {s}[a-z]", type="absence", **about),
+        Rule(name, rf"{s}{s}[0-9]", scope_mode="any", type="absence", **about),
+        Rule(name, rf" {s}er ", cross_check=rf"{s}ou", **about),
+        Rule(name, rf" {s}in ", cross_check=rf"{s}{s}{s}", cross_check_scope="**/*", **about),
+        Rule(name, rf"(?:{s}tion|{s}ment) [A-Z]", exclude_line=r"\.$", **about),
+        Rule(name, rf"[A-Z]{s}[a-z]*[,;] {s}", **about),
+        Rule(name, rf"{s}!", **about),
+        Rule(name, rf"(?i)not {s}|no {s}", **about),
+    ][kind]
+
+
+def rule_range(n: int) -> list[Rule]:
+    return [rule_of(i % 12, SYLLABLES[i // 12]) for i in range(n)]
+
+
+def rule_scan_sql(rules: list[Rule]) -> str:
+    """Violations and files per rule, every rule by a query of its own."""
+    parts = []
+    for r in rules:
+        m = lambda p: f"regexp_matches(line, {q.lit(p)})"
+        if r.type == "absence" and r.scope_mode == "any":
+            rows = f"SELECT project AS path FROM doc_lines GROUP BY project HAVING NOT bool_or({m(r.pattern)})"
+        elif r.type == "absence":
+            rows = f"SELECT path FROM doc_lines GROUP BY path HAVING bool_or({m(r.pre_check)}) AND NOT bool_or({m(r.pattern)})"
+        elif r.cross_check_scope:
+            rows = f"SELECT path FROM doc_lines WHERE {m(r.pattern)} AND project NOT IN (SELECT project FROM doc_lines WHERE {m(r.cross_check)})"
+        elif r.cross_check:
+            rows = f"SELECT DISTINCT path FROM doc_lines WHERE {m(r.pattern)} AND path NOT IN (SELECT path FROM doc_lines WHERE {m(r.cross_check)})"
+        else:
+            rows = f"SELECT path FROM ({presence_sql('doc_lines', [r])})"
+        parts.append(f"SELECT {q.lit(r.rule_id)} AS rule_id, {q.lit(r.severity)} AS severity, count(*) AS violations, count(DISTINCT path) AS places FROM ({rows}) HAVING count(*) > 0")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _rule_counts(spark, d, n):
+    hits = rulescan.scan_rules(corpus.document_files(spark, d), rule_range(n))
+    return hits.groupBy("rule_id", "severity").agg(F.count("*").alias("violations"), F.countDistinct(F.when(F.col("path").startswith("[NOT FOUND"), F.col("project")).otherwise(F.col("path"))).alias("places"))
+
+
+@query("rule_table_scan", "DET1 DET2 DET3 DET5 DET6 DET9 DET10", q.with_docs(rule_scan_sql(rule_range(660))))
+def rule_table_scan(spark, d):
+    return _rule_counts(spark, d, 660)
+
+
+@query("rule_table_scan_138", "DET1 DET2 DET3 DET5 DET6 DET9 DET10", q.with_docs(rule_scan_sql(rule_range(138))))
+def rule_table_scan_138(spark, d):
+    return _rule_counts(spark, d, 138)
+
+
 # --- extension surface ---------------------------------------------------------------------
 
 

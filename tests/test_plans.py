@@ -1,8 +1,8 @@
 """What the physical plans must and must not hold."""
 
-from siftmill.operators import pairs, scan
+from siftmill.operators import pairs, rulescan, scan
 from siftmill.plans.registry import load_all
-from siftmill.plans.scan_plans import PROSE_RULES
+from siftmill.plans.scan_plans import PROSE_RULES, rule_range
 from siftmill.sources import corpus
 from siftmill.sources.tables import table
 
@@ -23,6 +23,11 @@ def test_scan_reads_needed_columns_only(spark):
     assert "n_chars" not in text and "lang" not in text
 
 
+def test_a_rule_table_is_one_narrow_pass(spark):
+    text = plan(rulescan.scan_events(corpus.document_files(spark, SF), rule_range(660)))
+    assert text.count("FileScan") == 1 and "Exchange" not in text and "Join" not in text and text.count("ArrowEvalPython") == 1
+
+
 def test_filters_reach_the_scan(spark):
     text = plan(load_all()["fix_history"].build(spark, SF))
     assert "EqualTo(l_partkey,7)" in text
@@ -36,7 +41,7 @@ def test_pair_jobs_have_no_cartesian_product(spark):
 
 def test_no_query_uses_a_cross_join(spark):
     eager = {"duplicate_clusters", "duplicate_report", "merged_rules", "guardrail_actions", "vector_clusters", "text_clusters", "cross_project_patterns",
-             "mined_patterns", "rule_quality_model", "component_classifier", "component_threshold"}
+             "mined_patterns", "rule_quality_model", "rule_table_scan", "rule_table_scan_138", "component_classifier", "component_threshold"}
     for name, q in load_all().items():
         if name in eager or name.endswith("_stream"):
             continue

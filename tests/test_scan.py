@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from siftmill.functions import text as X
-from siftmill.operators import code, html, scan
+from siftmill.operators import code, html, rulescan, scan
 from siftmill.sources import corpus, rules as R, sinks
 from siftmill.sources.rules import Guard, Rule
 
@@ -137,3 +137,51 @@ def test_case_classes(spark):
     names = ["my_name", "MY_NAME", "my-name", "MyName", "myName", "name", "My_name"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(X.case_class(F.col("n")))
     assert [r[0] for r in df.collect()] == ["snake_case", "UPPER_SNAKE", "kebab-case", "PascalCase", "camelCase", "lowercase", "mixed"]
+
+
+def test_required_literals():
+    need = rulescan.required_literals
+    assert need(r"\$_POST\[") == (("$_POST[",), False) and need(r"eval\s*\(") == (("eval",), False)
+    assert need(r"(?i)Not so|no WAY") == (("no way", "not so"), True)
+    assert need(r"(?:innerHTML|outerHTML)\s*=") == (("innerHTML", "outerHTML"), False)
+    assert need(r"(?:abcdef|x)*yz") == (("yz",), False) and need(r"(abc){2,}d") == (("abc",), False)
+    for none in (r"[0-9]+", r"a?b?", r"abc|[0-9]", r"\p{L}+abc", r"(?x) a b c", r"(?i)straße", "x", ""):
+        assert need(none) == ((), False), none
+    assert need(r"foo(?=barbaz)qux") == (("foo",), False) and need(r"(?i:abcd)ef") == (("ef",), False)
+
+
+RULES = [
+    Rule("r1", r"bad\("), Rule("r2", r"(?i)WORSE", max_per_file=1), Rule("r3", r"[0-9]{2}", exclude_line="fine"), Rule("r4", "guarded", context_guard=Guard("shield", 1, 1)),
+    Rule("r5", "bad", dedup="per_file", scope="inc/**/*.php"), Rule("a1", "must be", type="absence"), Rule("a2", "never there", type="absence", pre_check="bad"),
+    Rule("a3", "in one file", type="absence", scope_mode="any"), Rule("a4", "nowhere", type="absence", scope_mode="any", pre_check=r"\d", scope="**/*.php"),
+    Rule("c1", "open_it", cross_check="close_it"), Rule("c2", "post_it", cross_check="nonce", cross_check_scope="**/inc/*.php|inc/*.php"), Rule("q'1", r"it's \\ \"odd\""),
+]
+
+BODIES = [
+    "bad(1)\nbad(2) # nosec\nbad(3) # nosec: r1\nWorse worse\nWORSE", "12\n34 fine\n56 # nosec: r3\n78", "shield\nguarded\nx\nguarded", "@scan-ignore all\nbad(\nopen_it",
+    "must be\nopen_it\nopen_it 7", "open_it close_it", "post_it\npost_it here", "nonce post_it", "", "in one file", "it's \\ \"odd\"\nworse bad 9", "@scan-ignore a1\nbad 3",
+]
+
+
+def test_one_pass_gives_what_each_check_gives(spark):
+    rows = []
+    for p in ("p", "q"):
+        for i, body in enumerate(BODIES):
+            folder = ["", "inc/", "src/inc/"][i % 3]
+            if not (p == "q" and ("nonce" in body or "one file" in body)):
+                rows.append((p, f"{folder}{p}{i}.php", ".php", "php", body))
+    df = corpus.with_lines(spark.createDataFrame(rows, FILES))
+    want = []
+    for r in RULES:
+        if r.type == "absence":
+            found = scan.absence_anywhere(df, r) if r.scope_mode == "any" else scan.absence_per_file(df, r)
+        elif r.cross_check_scope:
+            found = scan.cross_check_scope(df, r, F.col("path").rlike(R.scope_regex(r.cross_check_scope)))
+        elif r.cross_check:
+            found = scan.cross_check_same_file(df, r)
+        else:
+            found = scan.scan_presence(df, [r])
+        want += [tuple(x) for x in found.collect()]
+    for few in (0, 100):
+        assert sorted(tuple(x) for x in rulescan.scan_rules(df, RULES, few=few).collect()) == sorted(want)
+    assert {w[1] for w in want} == {r.rule_id for r in RULES} and rulescan.scan_rules(df, []).count() == 0 and rulescan.scan_rules(df.limit(0), RULES).count() == 0
