@@ -17,7 +17,7 @@ from siftmill.plans.registry import load_all  # noqa: E402
 from siftmill.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "scan_summary", "prose_violations", "code_violations", "context_guard", "absence_per_file", "cross_check_scope", "undefined_references",
+    "scan_summary", "rule_table_scan_138", "rule_table_scan", "prose_violations", "code_violations", "context_guard", "absence_per_file", "cross_check_scope", "undefined_references",
     "incremental_scan", "grouped_report", "server_detectors", "client_detectors", "code_inventory", "file_coverage", "taint_flows", "calls_in_loops",
     "naming_violations", "repeated_blocks", "dependency_edges", "page_components", "class_conflicts", "violation_trend", "regression_check",
     "project_summary", "rule_confidence", "tuning_decisions", "correlated_rules", "related_duplicates", "edit_conflicts", "severity_chain",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions.scores import ratio
-from siftmill.functions.similarity import jaccard, token_set
-from siftmill.functions.text import category_of_match, escape_literal, let, negative_lookahead, severity_of_confidence
+from siftmill.functions.similarity import token_set
+from siftmill.functions.text import category_of_match, escape_literal, negative_lookahead, severity_of_confidence
 from siftmill.operators.editjoin import edit_links
 from siftmill.operators.graph import components
 from siftmill.operators.metrics import common_fp_tokens
@@ -41,32 +42,41 @@ GAP_SECURITY = [
 GAP_DB = ["$wpdb->query", "$wpdb->get_results", "$wpdb->insert"]
 
 
-def _best_tokens(tokens: Column, rules: dict[str, str]) -> Column:
-    """(similarity, -index, rule) of the rule whose tokens are closest to ``tokens``."""
-    import re
+def closest_rules(texts: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """(text, similarity, rule_id): for every distinct ``text`` that shares a token with a rule's pattern the rule of the
+    greatest token Jaccard index, the first on a tie.
 
-    sims = []
-    for i, (rid, pattern) in enumerate(rules.items()):
-        words = sorted(set(re.findall(r"\w+", pattern.lower())))
-        ref = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-        sims.append(F.struct(jaccard(tokens, ref).alias("similarity"), F.lit(-i).alias("neg"), F.lit(rid).alias("rule_id")))
-    return F.array_max(F.array(*sims))
+    An inverted index from token to rules: a text meets a rule once per shared token, so the work is that
+    of the shared tokens and the plan is the same for any number of rules. The index holds the
+    tokens of the rule table and is broadcast.
+    """
+    tokens = [(word, i, len(words)) for i, words in enumerate({*re.findall(r"\w+", pattern.lower())} for pattern in rules.values()) for word in sorted(words)]
+    index = texts.sparkSession.createDataFrame(tokens, "token string, i int, size int")
+    names = texts.sparkSession.createDataFrame(list(enumerate(rules)), "i int, rule_id string")
+    held = texts.select("text", token_set(F.col("text")).alias("own")).select("text", F.size("own").alias("n"), F.explode("own").alias("token"))
+    met = held.join(F.broadcast(index), "token").groupBy("text", "n", "i", "size").agg(F.count("*").alias("common"))
+    similarity = F.col("common") / (F.col("n") + F.col("size") - F.col("common"))
+    best = met.groupBy("text").agg(F.max(F.struct(similarity.alias("similarity"), (-F.col("i")).alias("less"))).alias("best"))
+    best = best.select("text", "best.similarity", (-F.col("best.less")).alias("i"))
+    return best.join(F.broadcast(names), "i").select("text", "similarity", "rule_id")
 
 
 def rule_coverage(inventory: DataFrame, rules: dict[str, str], min_jaccard: float = 0.5) -> DataFrame:
     """Inventory items with how they are covered: a rule's regex first, else close tokens.
 
-    Rules are literals of the plan, as in a scan; contexts are judged in place, without a join.
+    Every distinct context is judged once, however often it occurs.
     """
-    by_regex = F.coalesce(*[F.when(F.col("context").rlike(p), F.lit(rid)) for rid, p in rules.items()])
-    best = let(token_set(F.col("context")), lambda t: _best_tokens(t, rules))
-    judged = inventory.withColumn("_rx", by_regex).withColumn("_best", F.when(F.col("_rx").isNull(), best))
-    close = F.col("_best.similarity") >= min_jaccard
-    return judged.select(
+    contexts = inventory.select(F.col("context").alias("text")).distinct()
+    by_regex = F.coalesce(*[F.when(F.col("text").rlike(p), F.lit(rid)) for rid, p in rules.items()])
+    judged = contexts.withColumn("_rx", by_regex)
+    close = closest_rules(judged.filter("_rx is null"), rules).select("text", F.col("similarity").alias("_near"), F.col("rule_id").alias("_rule"))
+    judged = judged.join(close, "text", "left").withColumnRenamed("text", "context")
+    is_close = F.coalesce(F.col("_near") >= min_jaccard, F.lit(False))
+    return inventory.join(judged, "context", "left").select(
         *inventory.columns,
-        F.when(F.col("_rx").isNotNull(), "regex").when(close, "token").otherwise("none").alias("method"),
-        F.coalesce("_rx", F.when(close, F.col("_best.rule_id"))).alias("rule_id"),
-        F.when(F.col("_rx").isNotNull(), 1.0).otherwise(F.col("_best.similarity")).alias("similarity"),
+        F.when(F.col("_rx").isNotNull(), "regex").when(is_close, "token").otherwise("none").alias("method"),
+        F.coalesce("_rx", F.when(is_close, F.col("_rule"))).alias("rule_id"),
+        F.when(F.col("_rx").isNotNull(), 1.0).otherwise(F.coalesce("_near", F.lit(0.0))).alias("similarity"),
     )
 
 
@@ -272,8 +282,8 @@ def anomalies(violations: DataFrame, rules: dict[str, str], min_count: int = 3,
     counts = violations.filter("text != ''").groupBy("text").agg(
         F.count("*").alias("occurrences"), F.countDistinct("path").alias("files"), F.min("path").alias("example_path")
     ).filter(F.col("occurrences") >= min_count)
-    best = let(token_set(F.col("text")), lambda t: _best_tokens(t, rules))["similarity"]
-    scored = counts.withColumn("similarity", best).filter(F.col("similarity") < max_similarity)
+    near = closest_rules(counts.select("text"), rules).select("text", F.col("similarity").alias("near"))
+    scored = counts.join(near, "text", "left").withColumn("similarity", F.coalesce("near", F.lit(0.0))).drop("near").filter(F.col("similarity") < max_similarity)
     conf = F.least(F.lit(1.0), F.col("occurrences") / 10) * (1 - F.col("similarity"))
     out = scored.withColumn("confidence", conf).filter(F.col("confidence") >= min_confidence)
     return out.withColumn("category", category_of_match(F.col("text"))).withColumn("severity", severity_of_confidence(F.col("confidence"), F.col("occurrences")))

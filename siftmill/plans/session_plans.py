@@ -313,11 +313,11 @@ def retained_patterns(spark, d):
 
 @query(
     "decayed_baselines", "WIN6",
-    f"""WITH {OQ}, b AS (SELECT task_type || '-' || (CAST(string_split(session_id, '-')[1] AS BIGINT) % 20) AS task, max(ended) AS lc, max(trust_pct)::DOUBLE / 100 AS trust FROM oq WHERE (week + length(task_type)) % 3 = 0 GROUP BY 1)
+    f"""WITH {OQ}, b AS (SELECT task_type || '-' || (CAST(string_split(session_id, '-')[1] AS BIGINT) % 20) AS task, max(ended) AS lc, max(trust_pct)::DOUBLE / 100 AS trust FROM oq GROUP BY 1)
 SELECT task, trust, CASE WHEN date_diff('day', CAST(lc AS DATE), DATE '2024-01-31') > 14 AND trust > 0.4 THEN greatest(0.4::DOUBLE, trust - 0.03::DOUBLE) ELSE trust END AS new_trust FROM b""",
 )
 def decayed_baselines(spark, d):
-    oq = _quality(spark, d).filter((F.col("week") + F.length("task_type")) % 3 == 0)
+    oq = _quality(spark, d)
     task = F.concat_ws("-", "task_type", (F.split("session_id", "-")[0].cast("long") % 20).cast("string"))
     baselines = oq.groupBy(task.alias("task")).agg(F.max("ended").alias("last_calibrated"), (F.max("trust_pct") / 100).alias("trust"))
     return ordered.decay_baselines(baselines, F.lit("2024-01-31").cast("date")).select("task", "trust", "new_trust")
