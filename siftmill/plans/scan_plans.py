@@ -677,7 +677,7 @@ SYLLABLES = "th an er in ou en ch de re on at es or ti st ng al it as is ar ve l
 
 
 def rule_of(kind: int, s: str) -> Rule:
-    """One of twelve rules about a syllable: every check of a scan, with and without literals, caps, guards and case."""
+    """One of twelve rules about a word stem: every check of a scan, with and without literals, caps, guards and case."""
     name, about = f"{kind:02d}-{s}", {"severity": ["CRITICAL", "HIGH", "SUGGEST"][kind % 3], "category": "prose", "description": f"Rule {kind} about {s}"}
     return [
         Rule(name, rf" {s}[a-z]+tion ", **about),
@@ -696,7 +696,8 @@ def rule_of(kind: int, s: str) -> Rule:
 
 
 def rule_range(n: int) -> list[Rule]:
-    return [rule_of(i % 12, SYLLABLES[i // 12]) for i in range(n)]
+    stems = [a + SYLLABLES[(7 * k + 3) % len(SYLLABLES)] for k, a in enumerate(SYLLABLES)]
+    return [rule_of(i % 12, stems[i // 12]) for i in range(n)]
 
 
 def rule_scan_sql(rules: list[Rule]) -> str:
