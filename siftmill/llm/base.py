@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import SparkSession
 
 SLICE_ROWS = 256
 
@@ -18,6 +20,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 128):
+    """Few rows per Arrow batch while eager jobs move whole texts or sets: a batch stands in the JVM, on its way and in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Memo(dict):
     """A function's results by key. It is emptied when full, so it stays bounded; long keys are not kept."""
 

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.base import Memo, from_planes, planes, slices, squeezed, unsqueezed
-from siftmill.llm.ngram_join import _mix, _small_batches
+from siftmill.llm.base import Memo, from_planes, planes, slices, small_batches, squeezed, unsqueezed
+from siftmill.llm.ngram_join import _mix
 from siftmill.session import written_table
 
 BACKOFF = 0.4
@@ -111,7 +111,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: flo
     is another document). Null and empty texts have no words, log_prob 0 and a null mean.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    with _small_batches(docs.sparkSession, 512):
+    with small_batches(docs.sparkSession, 512):
         blocks = written_table(_blocks(rows, block_words), "lm-blocks")
     n = blocks.agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("n")).first()["n"] or 0
     bits = max(0, (2 * n // bucket_grams)).bit_length()
@@ -143,7 +143,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: flo
             log_prob, backed = _Block(lengths, vocab, words).score(totals, n, backoff)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lengths, pa.int64()), pa.array(backed.astype(np.int64)), pa.array(log_prob)], ["k", "n_words", "n_backed_off", "log_prob"])
 
-    with _small_batches(docs.sparkSession, 1):
+    with small_batches(docs.sparkSession, 1):
         asked = blocks.select("block", "lengths", "vocab", "words").mapInArrow(ask, "bucket bigint, block bigint, grams binary, counts binary")
         answers = asked.groupBy("bucket").applyInArrow(count, "block bigint, bucket bigint, totals binary")
         answers = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias("answers"))

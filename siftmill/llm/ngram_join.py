@@ -22,14 +22,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.base import Memo, from_planes, planes, slices
+from siftmill.llm.base import Memo, from_planes, planes, slices, small_batches
 from siftmill.operators.graph import components
 from siftmill.session import drop_table, written_table
 
@@ -115,18 +114,6 @@ class Bands:
         return np.concatenate(out)
 
 
-@contextmanager
-def _small_batches(spark: SparkSession, rows: int = 128):
-    """Few rows per Arrow batch while an eager job moves whole sets."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _profiles(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     """One row per some million cells: keys and sizes of its texts, and the cells that they lie in.
 
@@ -215,7 +202,7 @@ def _shared_cells(profiles: DataFrame) -> DataFrame:
         return pa.table({"cell": cells[keep].view(np.int64), "id": ids[order][keep]})
 
     own = profiles.select(F.inline(F.arrays_zip(F.col("shared_cells").alias("cell"), F.col("shared_ids").alias("id")))).toDF("cell", "id")
-    with _small_batches(profiles.sparkSession, 1):
+    with small_batches(profiles.sparkSession, 1):
         dealt = profiles.select("ids", "cells", "places", "known").mapInArrow(deal, "bucket bigint, cells binary, ids binary, known binary")
         return written_table(dealt.groupBy("bucket").applyInArrow(meet, "cell bigint, id bigint").unionByName(own), "jaccard-cells")
 
@@ -336,7 +323,7 @@ def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    with _small_batches(pairs.sparkSession):
+    with small_batches(pairs.sparkSession):
         return written_table(joined.mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
 
 
@@ -349,14 +336,14 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     bands = Bands(percent)
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
-    with _small_batches(docs.sparkSession, 512):
+    with small_batches(docs.sparkSession, 512):
         profiles = written_table(_profiles(rows, width, bands), "jaccard-profiles")
     sizes = written_table(profiles.select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("sizes").alias("n")))).toDF("id", "n"), "jaccard-sizes")
     cells = _shared_cells(profiles)
     drop_table(profiles)
 
     met = rows.join(cells.select("id").distinct(), "id", "left_semi")
-    with _small_batches(docs.sparkSession, 512):
+    with small_batches(docs.sparkSession, 512):
         points = written_table(_points(met, width), "jaccard-points")
     first = points.groupBy("sig").agg(F.min("id").alias("rep"))
     copies = written_table(points.select("id", "sig").join(first, "sig").select("id", "rep").distinct(), "jaccard-copies")
