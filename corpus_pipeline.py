@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftmill.llm import bpe_codec, decontaminate, ngram_join, toxicity
+from siftmill.llm.base import small_batches
 from siftmill.session import written_table
 from siftmill.sources.tables import table
 
@@ -51,6 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with small_batches(spark, 512):
+        for name, stage in STAGES[:-1]:
+            docs = written_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
