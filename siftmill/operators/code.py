@@ -209,6 +209,22 @@ SINKS = {
 INJECTIONS = ["SQL Injection", "Command Injection", "Code Injection"]
 
 
+DIRECT_INPUT = r"\$_(?:GET|POST|REQUEST|SERVER)\[['\"]?[A-Za-z0-9_]+['\"]?\]"
+
+
+def direct_flows(files: DataFrame) -> DataFrame:
+    """(project, path, line_no, input, sink, risk): request input that stands in the line of a sink without a cleaning call,
+    no variable in between. A narrow map."""
+    source = with_lines(files) if "lines" not in files.columns else files
+    clean = "|".join(SANITIZERS)
+    numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("text")))
+    open_lines = F.filter(numbered, lambda r: r["text"].contains("$_") & r["text"].rlike(DIRECT_INPUT) & ~r["text"].rlike(clean))
+    rows = source.select("project", "path", F.inline(open_lines))
+    inputs = F.array_distinct(F.regexp_extract_all("text", F.lit(DIRECT_INPUT), F.lit(0)))
+    kinds = F.array_compact(F.array(*[F.when(F.col("text").contains(s), F.struct(F.lit(s).alias("sink"), F.lit(r).alias("risk"))) for s, r in SINKS.items()]))
+    return rows.select("project", "path", "line_no", F.explode(inputs).alias("input"), kinds.alias("kinds")).select("project", "path", "line_no", "input", F.inline("kinds"))
+
+
 def taint_flows(files: DataFrame) -> DataFrame:
     """Variables assigned from a request that reach a sink without a cleaning call in between.
 

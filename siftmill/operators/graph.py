@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.session import cut_lineage
+from siftmill.session import cut_lineage, drop_table, written_table
 
 # How a file names another one.
 IMPORT_TARGETS = r"(?:require|include|import|from)[^\n]*?([A-Za-z0-9_\-]+\.(?:php|jsx|js|tsx|ts))"
@@ -62,6 +62,59 @@ def caller_risk(callers: DataFrame, changed: DataFrame) -> DataFrame:
     return out.select("project", "path", "symbols", "calls", level.alias("risk_level"))
 
 
+def caller_lines(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """(project, path, symbol, lines): where each calling file uses a symbol of the changed files. A list holds lines of one
+    file, so it is bounded by the file."""
+    from siftmill.sources.corpus import with_lines
+
+    symbols = changed.select("project", F.explode(F.regexp_extract_all("content", F.lit(DEFINED), F.lit(1))).alias("symbol")).distinct()
+    used = F.transform("lines", lambda x, i: F.struct((i + 1).alias("no"), F.regexp_extract_all(x, F.lit(CALL_TOKENS), F.lit(1)).alias("names")))
+    held = with_lines(files).join(changed.select("project", "path"), ["project", "path"], "left_anti").select("project", "path", used.alias("used"))
+    names = held.select("project", "path", "used", F.explode(F.array_distinct(F.flatten(F.transform("used", lambda u: u["names"])))).alias("symbol"))
+    lines = F.transform(F.filter("used", lambda u: F.array_contains(u["names"], F.col("symbol"))), lambda u: u["no"])
+    return names.join(symbols, ["project", "symbol"]).select("project", "path", "symbol", lines.alias("lines"))
+
+
+def overall_risk(risks: DataFrame) -> DataFrame:
+    """(project, files, high, medium, overall_risk) of a change from the risks of its calling files."""
+    out = risks.groupBy("project").agg(F.count("*").alias("files"), F.count_if(F.col("risk_level") == "HIGH").alias("high"), F.count_if(F.col("risk_level") == "MEDIUM").alias("medium"))
+    level = F.when(F.col("high") >= 3, "CRITICAL").when(F.col("high") >= 1, "HIGH").when(F.col("medium") >= 2, "MEDIUM").otherwise("LOW")
+    return out.withColumn("overall_risk", level)
+
+
+def change_reach(files: DataFrame, changed: DataFrame, hops: int | None = None) -> DataFrame:
+    """(project, path, distance): all files that depend on the changed ones, directly or through others, and over how many
+    steps at least. A file depends on another whose symbol it calls or whose name it imports.
+
+    The whole set goes a step at once, through gates: the symbols and names of the files reached last,
+    each followed once, lead to their users. A symbol that is defined and used in a third of all files
+    is one gate with that many edges, never pairs of files. ``hops`` ends the walk early; else it ends
+    when a step reaches nothing new.
+    """
+    edges = dependency_edges(files)
+    defines = edges.filter("kind = 'defines'").select("project", F.col("src").alias("path"), F.concat(F.lit("s:"), "dst").alias("gate"))
+    named = files.select("project", "path", F.concat(F.lit("f:"), base_name(F.col("path"))).alias("gate"))
+    out_of = written_table(defines.unionByName(named).distinct(), "reach-out")
+    uses = edges.filter("kind = 'uses'").select("project", F.concat(F.lit("s:"), "src").alias("gate"), F.col("dst").alias("path"))
+    imports = edges.filter("kind = 'imports'").select("project", F.concat(F.lit("f:"), "src").alias("gate"), F.col("dst").alias("path"))
+    into = written_table(uses.unionByName(imports).distinct(), "reach-in")
+    last = cut_lineage(changed.select("project", "path").distinct())
+    reached, opened, distance = last.withColumn("distance", F.lit(0)), None, 0
+    while hops is None or distance < hops:
+        gates = last.join(out_of, ["project", "path"]).select("project", "gate").distinct()
+        if opened is not None:
+            gates = gates.join(opened, ["project", "gate"], "left_anti")
+        gates = cut_lineage(gates)
+        opened = gates if opened is None else opened.unionByName(gates)
+        last = cut_lineage(gates.join(into, ["project", "gate"]).select("project", "path").distinct().join(reached, ["project", "path"], "left_anti"))
+        if last.isEmpty():
+            break
+        distance += 1
+        reached = reached.unionByName(last.withColumn("distance", F.lit(distance)))
+    drop_table(out_of, into)
+    return reached
+
+
 def dependency_edges(files: DataFrame) -> DataFrame:
     """File dependencies as edges through the symbol or file name that causes them.
 

@@ -241,6 +241,19 @@ def taint_flows(spark, d):
     return code.taint_flows(corpus.code_files(spark, d))
 
 
+@query(
+    "direct_flows", "DET25",
+    f"""WITH {q.CODE_LINES_CTE}, sinks(sink, risk) AS (VALUES {', '.join('(' + q.lit(s) + ', ' + q.lit(r) + ')' for s, r in code.SINKS.items())}),
+inlined AS (SELECT project, path, line_no, replace(line, '$name;', '$_GET[''name''];') AS line FROM code_lines),
+d AS (SELECT project, path, line_no, line, unnest(list_distinct(regexp_extract_all(line, {q.lit(code.DIRECT_INPUT)}))) AS input FROM inlined WHERE NOT regexp_matches(line, {q.lit('|'.join(code.SANITIZERS))}))
+SELECT project, path, line_no, input, sink, risk FROM d JOIN sinks ON contains(line, sink)""",
+)
+def direct_flows(spark, d):
+    # The corpus assigns input to a variable first; here the variable is written out.
+    files = corpus.code_files(spark, d).withColumn("content", F.replace("content", F.lit("$name;"), F.lit("$_GET['name'];")))
+    return code.direct_flows(files)
+
+
 RACES = f"""w AS (SELECT *, {_win(4, 5)} AS c5, {_win(4, 15)} AS c15, {_win(-1, 10)} AS n10 FROM code_lines),
 races AS (SELECT project, path, line_no, 'race_stock' AS pattern_id FROM w WHERE regexp_matches(line, '(stock|quantity|inventory)\\s*-=\\s*[0-9]+') AND NOT regexp_matches(c5, {q.lit(code.LOCKS)})
  UNION ALL SELECT project, path, line_no, 'race_usage' FROM w WHERE regexp_matches(line, 'usage_count\\s*\\+=\\s*1') AND NOT regexp_matches(c5, {q.lit(code.LOCKS)})
@@ -620,6 +633,39 @@ def dependency_edges(spark, d):
     return edges.groupBy("project", "kind", "src").agg(F.count("*").alias("edges"), F.min("dst").alias("first_dst"))
 
 
+@query(
+    "caller_lines", "JOI8",
+    f"""WITH {q.CODE_LINES_CTE}, {CHANGED}, {CALLS} SELECT project, path, symbol, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS lines FROM cl JOIN sy USING (project, symbol) GROUP BY ALL""",
+)
+def caller_lines(spark, d):
+    return graph.caller_lines(*_changed(spark, d)).withColumn("lines", F.array_join("lines", ","))
+
+
+@query(
+    "change_risk", "JOI8",
+    f"""WITH {q.CODE_LINES_CTE}, {CHANGED}, {CALLS}, fr AS (SELECT project, path, CASE WHEN count(*) >= any_value(n) * 0.5 OR sum(calls) >= 5 THEN 'HIGH' WHEN sum(calls) >= 2 OR count(*) >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM sc JOIN (SELECT project, count(*) AS n FROM sy GROUP BY project) USING (project) GROUP BY project, path)
+SELECT project, count(*) AS files, count(*) FILTER (risk_level = 'HIGH') AS high, count(*) FILTER (risk_level = 'MEDIUM') AS medium,
+ CASE WHEN count(*) FILTER (risk_level = 'HIGH') >= 3 THEN 'CRITICAL' WHEN count(*) FILTER (risk_level = 'HIGH') >= 1 THEN 'HIGH' WHEN count(*) FILTER (risk_level = 'MEDIUM') >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS overall_risk FROM fr GROUP BY project""",
+)
+def change_risk(spark, d):
+    files, changed = _changed(spark, d)
+    return graph.overall_risk(graph.caller_risk(graph.symbol_callers(files, changed), changed))
+
+
+@query(
+    "change_reach", "JOI7 JOI9",
+    f"""WITH RECURSIVE {q.CODE_CTE}, {CHANGED}, {IMP}, ou AS MATERIALIZED (SELECT DISTINCT project, path, 's:' || unnest(regexp_extract_all(content, {q.lit(graph.DEFINED)}, 1)) AS gate FROM code UNION SELECT project, path, 'f:' || regexp_extract(path, '([^/]+)$', 1) FROM code),
+it AS MATERIALIZED (SELECT DISTINCT project, 's:' || unnest(regexp_extract_all(content, {q.lit(graph.CALL_TOKENS)}, 1)) AS gate, path FROM code UNION SELECT project, 'f:' || target, importer FROM imp),
+walk(project, node, distance) AS (SELECT project, 'p:' || path, 0 FROM chg UNION
+ SELECT w.project, CASE WHEN g.gate IS NOT NULL THEN g.gate ELSE 'p:' || i.path END, w.distance + 1 FROM walk w LEFT JOIN ou g ON starts_with(w.node, 'p:') AND g.project = w.project AND 'p:' || g.path = w.node
+ LEFT JOIN it i ON i.project = w.project AND i.gate = w.node WHERE w.distance < 12 AND (g.gate IS NOT NULL OR i.path IS NOT NULL))
+SELECT project, substr(node, 3) AS path, CAST(min(distance) // 2 AS INT) AS distance FROM walk WHERE starts_with(node, 'p:') GROUP BY ALL""",
+)
+def change_reach(spark, d):
+    files = corpus.code_files(spark, d)
+    return graph.change_reach(files, files.filter(F.col("path").rlike("/tests/")))
+
+
 # --- scalar functions ----------------------------------------------------------------------
 
 _kw = " ".join(f"WHEN contains(lower(path), {q.lit(k)}) THEN {q.lit(v)}" for k, v in X.TASK_KEYWORDS.items())

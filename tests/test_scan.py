@@ -128,6 +128,31 @@ def test_taint_needs_cleaning_in_between(spark):
     assert sorted((r.path, r.source_line, r.sink_line) for r in rows) == [("c.php", 4, 5), ("d.php", 1, 2)]
 
 
+def test_input_used_directly_in_a_sink(spark):
+    text = "echo $_GET['x'];\necho esc_html($_GET['y']);\n$a = $_POST[z];\ninclude $_REQUEST[\"p\"] . $_GET['q'];\nprint $name;"
+    rows = code.direct_flows(files(spark, ("a.php", text))).collect()
+    assert sorted((r.line_no, r.input, r.sink, r.risk) for r in rows) == [(1, "$_GET['x']", "echo", "XSS"), (4, '$_REQUEST["p"]', "include", "File Inclusion"), (4, "$_GET['q']", "include", "File Inclusion")][:1] + sorted(
+        [(4, '$_REQUEST["p"]', "include", "File Inclusion"), (4, "$_GET['q']", "include", "File Inclusion")]
+    )
+
+
+def test_change_reach_and_risk(spark):
+    from siftmill.operators import graph
+
+    tree = files(
+        spark, ("inc/a.php", "function alpha() {\n}"), ("b.php", "alpha();\nx();\nalpha();\nfunction beta() {\n}"), ("c.php", "beta();"), ("d.php", "include 'c.php';"), ("e.php", "other();"), ("f.php", "alpha();"),
+        ("inc/f2.php", "require 'a.php';\nalpha(alpha(1));"),
+    )
+    changed = tree.filter("path = 'inc/a.php'")
+    assert {r.path: r.distance for r in graph.change_reach(tree, changed).collect()} == {"inc/a.php": 0, "b.php": 1, "f.php": 1, "inc/f2.php": 1, "c.php": 2, "d.php": 3}
+    assert {r.path: r.distance for r in graph.change_reach(tree, changed, hops=1).collect()} == {"inc/a.php": 0, "b.php": 1, "f.php": 1, "inc/f2.php": 1}
+    lines = {(r.path, r.symbol): r.lines for r in graph.caller_lines(tree, changed).collect()}
+    assert lines == {("b.php", "alpha"): [1, 3], ("f.php", "alpha"): [1], ("inc/f2.php", "alpha"): [2]}
+    risks = spark.createDataFrame([("p", "HIGH"), ("p", "LOW"), ("q", "MEDIUM"), ("q", "MEDIUM"), ("r", "LOW"), *[("s", "HIGH")] * 3], "project string, risk_level string")
+    assert {r.project: r.overall_risk for r in graph.overall_risk(risks).collect()} == {"p": "HIGH", "q": "MEDIUM", "r": "LOW", "s": "CRITICAL"}
+    assert graph.change_reach(tree, changed.limit(0)).count() == 0
+
+
 def test_empty_handler_across_lines(spark):
     rows = code.empty_handlers(files(spark, ("a.php", "x\n} catch (E $e) {\n\n}\ny\ncatch (F $f) {}"))).collect()
     assert sorted(r.line_no for r in rows) == [2, 6]
