@@ -44,7 +44,7 @@ def symbol_callers(files: DataFrame, changed: DataFrame) -> DataFrame:
             lambda x, i: F.transform(F.array_distinct(F.regexp_extract_all(x, F.lit(CALL_TOKENS), F.lit(1))), lambda t: F.struct((i + 1).alias("line_no"), t.alias("symbol"))),
         )
     )
-    calls = with_lines(files).select("project", "path", F.inline(tokens)).join(changed.select("path"), "path", "left_anti")
+    calls = with_lines(files).select("project", "path", F.inline(tokens)).join(changed.select("project", "path"), ["project", "path"], "left_anti")
     per_symbol = calls.join(symbols, ["project", "symbol"]).groupBy("project", "path", "symbol").agg(
         F.count("*").alias("calls"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")
     )

@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+FILE = ["project", "path"]  # what names a file; paths repeat between projects
+
+
 def content_hashes(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("sha256", F.sha2(F.col(content), 256)).drop(content)
 
 
 def changed_files(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Files whose (path, hash) the last snapshot does not hold: added or edited."""
-    return new.join(old.select("path", "sha256"), ["path", "sha256"], "left_anti")
+    """Files whose (project, path, hash) the last snapshot does not hold: added or edited."""
+    return new.join(old.select(*FILE, "sha256"), [*FILE, "sha256"], "left_anti")
 
 
 def split_reusable(files: DataFrame, cache: DataFrame, rule_version: Column) -> tuple[DataFrame, DataFrame]:
@@ -21,8 +24,8 @@ def split_reusable(files: DataFrame, cache: DataFrame, rule_version: Column) ->
     ``cache`` holds one row per scanned file, also for files without violations, so a clean file
     is not scanned again.
     """
-    valid = cache.filter(F.col("rule_version") == rule_version).select("path", "sha256")
-    keys = ["path", "sha256"]
+    valid = cache.filter(F.col("rule_version") == rule_version).select(*FILE, "sha256")
+    keys = [*FILE, "sha256"]
     return files.join(valid, keys, "left_semi"), files.join(valid, keys, "left_anti")
 
 
@@ -30,7 +33,7 @@ def incremental_scan(files: DataFrame, cache: DataFrame, old_hits: DataFrame, ru
     """Hits of all files: earlier hits of the unchanged ones, a fresh scan of the rest."""
     hashed = files.withColumn("sha256", F.sha2("content", 256))
     same, todo = split_reusable(hashed, cache, rule_version)
-    kept = old_hits.join(same.select("path"), "path", "left_semi")
+    kept = old_hits.join(same.select(*FILE), FILE, "left_semi")
     fresh = scan(todo.drop("sha256"))
     return kept.select(*fresh.columns).unionByName(fresh)
 

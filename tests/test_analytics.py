@@ -313,6 +313,15 @@ def test_incremental_keeps_clean_files(spark):
     assert sorted(r.path for r in out.collect()) == ["a", "c"] and seen == ["c"]
 
 
+def test_files_of_one_path_in_two_projects_are_two_files(spark):
+    files = spark.createDataFrame([("p", "a", "same"), ("q", "a", "same"), ("q", "b", "new")], "project string, path string, content string")
+    old = incremental.content_hashes(files.filter("project = 'p'"))
+    assert sorted((r.project, r.path) for r in incremental.changed_files(incremental.content_hashes(files), old).collect()) == [("q", "a"), ("q", "b")]
+    hits = spark.createDataFrame([("p", "a"), ("q", "a")], "project string, path string")  # q's hit is of a file no longer cached
+    out = incremental.incremental_scan(files, old.withColumn("rule_version", F.lit("v")), hits, F.lit("v"), lambda todo: todo.filter("path = 'b'").select("project", "path"))
+    assert sorted(tuple(r) for r in out.collect()) == [("p", "a"), ("q", "b")]
+
+
 def test_debounce_over_several_batches(spark, tmp_path):
     base = datetime(2024, 1, 1)
     times = [0, 200, 600, 700, 1200, 1699, 1700, 5000]
