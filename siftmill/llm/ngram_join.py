@@ -208,7 +208,7 @@ def _shared_cells(profiles: DataFrame) -> DataFrame:
 
 
 def _points(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, sig, point, shingles) of each text: sig is a digest of the set, point its group counts."""
+    """(id, n, sig, point) of each text: sig is a digest of the set, point its group counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo()
@@ -216,12 +216,34 @@ def _points(docs: DataFrame, width: int) -> DataFrame:
             rows = [shingles(t, memo, width) for t in batch.column(1).to_pylist()]
             point = [np.bincount((_mix(h) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for h in rows]
             sig = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(h) for h in rows], pa.int64()), pa.array(sig, pa.binary()), pa.array(point, pa.binary()), pa.array([h.tobytes() for h in rows], pa.binary())],
-                ["id", "n", "sig", "point", "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in rows], pa.int64()), pa.array(sig, pa.binary()), pa.array(point, pa.binary())], ["id", "n", "sig", "point"])
+
+    return docs.mapInArrow(run, "id bigint, n bigint, sig binary, point binary")
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _memo()
+        for batch in slices(batches):
+            rows = [shingles(t, memo, width).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["id", "shingles"])
+
+    return docs.mapInArrow(run, "id bigint, shingles binary")
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose summed smaller coordinates reach the overlap that a link needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64) for c in ("pa", "pb"))
+            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(u, v).sum(1) * (100 + percent) >= percent * sizes))
 
-    return docs.mapInArrow(run, "id bigint, n bigint, sig binary, point binary, shingles binary")
+    left, right = points.select("id", "n", "point").toDF("a", "na", "pa"), points.select("id", "n", "point").toDF("b", "nb", "pb")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a bigint, b bigint")
 
 
 class RTree:
@@ -308,10 +330,11 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose exact sets link. A hub's many pairs are a hot key that adaptive execution may split."""
-    left = points.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = points.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose exact sets link. The pairs are written first: they are few, so the texts that they name are
+    known before any set is made. A hub's many pairs are a hot key that adaptive execution may split."""
+    near = written_table(pairs, "jaccard-near")
+    named = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,9 +345,12 @@ def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     with small_batches(pairs.sparkSession):
-        return written_table(joined.mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
+        sets = written_table(_sets(docs.join(named, "id", "left_semi"), width), "jaccard-sets")
+        joined = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+        links = written_table(joined.mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
+    drop_table(near, sets)
+    return links
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -357,7 +383,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     hubs = weighed.groupBy("cell").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
     stars = occ.join(hubs, "cell").filter("rep != hub").groupBy("rep", "hub").count()
     stars = stars.groupBy("rep").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
-    links = _verified(stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), points, percent)
+    stars = stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    links = _verified(_bounded(stars, points, percent), rows, width, percent)
 
     known = components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("known"))
     classed = written_table(occ.join(known, "rep", "left").select("cell", "rep", "members", F.coalesce("known", "rep").alias("class")), "jaccard-classes")
@@ -370,7 +397,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     own = points.join(first, "sig").filter("id = rep").select("rep", "n", "point").dropDuplicates(["rep", "n", "point"])
     members = spread.join(own, "rep").select("cell", "page_a", "page_b", "page", F.col("rep").alias("id"), "class", "n", "point")
     members = members.repartition("cell", "page_a", "page_b").sortWithinPartitions("cell", "page_a", "page_b", "id")
-    more = _verified(_candidates(members, percent).distinct(), points, percent)
+    more = _verified(_candidates(members, percent).distinct(), rows, width, percent)
 
     drop_table(classed, points)
     edges = links.unionByName(more).unionByName(copies.filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
