@@ -53,7 +53,7 @@ class WordEncoder:
     the ids that end a word tell them apart. Other words, and all texts of other tokenizers, are encoded alone.
     """
 
-    def __init__(self, path: str, entries: int = 250_000):
+    def __init__(self, path: str, entries: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -145,7 +145,7 @@ def cut(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = _encoder(tokenizer_path), TaskContext.get().partitionId()
         seen = [0] * (limit + 1)
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 256):
             source, piece, start, length, place, parts = [], [], [], [], [], []
             for row, raw in enumerate(encoder.of([t or "" for t in batch.column(1).to_pylist()])):
                 raw += end
