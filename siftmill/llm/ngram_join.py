@@ -33,6 +33,7 @@ from siftmill.operators.graph import components
 from siftmill.session import drop_table, written_table
 
 GROUPS = 64  # coordinates of the points in the R-trees
+FINE = 1024  # coordinates of the points that candidates are bounded by, enough to tell sets of thousands of shingles apart
 BLOCK_GROUPS = 1 << 20  # groups of a block: so many that blocks of few shingles rarely agree by chance
 PAGE = 2048  # members of a cell that meet in one task
 LEAF = 32
@@ -208,17 +209,20 @@ def _shared_cells(profiles: DataFrame) -> DataFrame:
 
 
 def _points(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, sig, point) of each text: sig is a digest of the set, point its group counts."""
+    """(id, n, sig, point, fine) of each text: sig is a digest of the set, point and fine are its counts in few and in many groups."""
+
+    def counts(h: np.ndarray, groups: int) -> bytes:
+        return np.bincount((_mix(h) % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo()
         for batch in slices(batches):
             rows = [shingles(t, memo, width) for t in batch.column(1).to_pylist()]
-            point = [np.bincount((_mix(h) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for h in rows]
+            point, fine = [counts(h, GROUPS) for h in rows], [counts(h, FINE) for h in rows]
             sig = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in rows], pa.int64()), pa.array(sig, pa.binary()), pa.array(point, pa.binary())], ["id", "n", "sig", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in rows], pa.int64()), pa.array(sig, pa.binary()), pa.array(point, pa.binary()), pa.array(fine, pa.binary())], ["id", "n", "sig", "point", "fine"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, sig binary, point binary")
+    return docs.mapInArrow(run, "id bigint, n bigint, sig binary, point binary, fine binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -238,11 +242,11 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64) for c in ("pa", "pb"))
+            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, FINE) for c in ("pa", "pb"))
             sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(u, v).sum(1) * (100 + percent) >= percent * sizes))
+            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(u, v).sum(1, dtype=np.int64) * (100 + percent) >= percent * sizes))
 
-    left, right = points.select("id", "n", "point").toDF("a", "na", "pa"), points.select("id", "n", "point").toDF("b", "nb", "pb")
+    left, right = points.select("id", "n", "fine").toDF("a", "na", "pa"), points.select("id", "n", "fine").toDF("b", "nb", "pb")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -330,10 +334,9 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose exact sets link. The pairs are written first: they are few, so the texts that they name are
-    known before any set is made. A hub's many pairs are a hot key that adaptive execution may split."""
-    near = written_table(pairs, "jaccard-near")
+def _verified(near: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a written table whose exact sets link. They are few, and their texts are known before any set is
+    made. A hub's many pairs are a hot key that adaptive execution may split."""
     named = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +348,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with small_batches(pairs.sparkSession):
+    with small_batches(near.sparkSession):
         sets = written_table(_sets(docs.join(named, "id", "left_semi"), width), "jaccard-sets")
         joined = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         links = written_table(joined.mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
@@ -384,7 +387,9 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     stars = occ.join(hubs, "cell").filter("rep != hub").groupBy("rep", "hub").count()
     stars = stars.groupBy("rep").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
     stars = stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    links = _verified(_bounded(stars, points, percent), rows, width, percent)
+    with small_batches(docs.sparkSession, 512):
+        near = written_table(_bounded(stars, points, percent), "jaccard-stars")
+    links = _verified(near, rows, width, percent)
 
     known = components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("known"))
     classed = written_table(occ.join(known, "rep", "left").select("cell", "rep", "members", F.coalesce("known", "rep").alias("class")), "jaccard-classes")
@@ -397,7 +402,10 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     own = points.join(first, "sig").filter("id = rep").select("rep", "n", "point").dropDuplicates(["rep", "n", "point"])
     members = spread.join(own, "rep").select("cell", "page_a", "page_b", "page", F.col("rep").alias("id"), "class", "n", "point")
     members = members.repartition("cell", "page_a", "page_b").sortWithinPartitions("cell", "page_a", "page_b", "id")
-    more = _verified(_candidates(members, percent).distinct(), rows, width, percent)
+    found = written_table(_candidates(members, percent).distinct(), "jaccard-candidates")
+    with small_batches(docs.sparkSession, 512):
+        near = written_table(_bounded(found, points, percent), "jaccard-bounded")
+    more = _verified(near, rows, width, percent)
 
     drop_table(classed, points)
     edges = links.unionByName(more).unionByName(copies.filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
