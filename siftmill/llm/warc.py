@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.session import shared_folder
+from siftmill.session import shared_folder, written_table
 
 END = "\r\n"
 LEAST_REVISIT = 100  # payloads below this many bytes are always written in full
@@ -57,7 +57,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     """
     pages = pages.select(key, url, html)
     k = F.col(key)
-    repeated = pages.groupBy(key).count().filter((F.col("count") > 1) & k.isNotNull()).select(key, F.lit(True).alias("again"))
+    # Written, so that their size is known: few repeated keys are broadcast and the payloads are not shuffled for them.
+    repeated = written_table(pages.groupBy(key).count().filter((F.col("count") > 1) & k.isNotNull()).select(key, F.lit(True).alias("again")), "repeated-keys")
     p = classify(pages, key, html).join(repeated, key, "left")
     unique = F.concat(F.coalesce(k.cast("string"), F.lit("null")), F.lit(":"), F.monotonically_increasing_id().cast("string"))
     p = p.withColumn("name", F.when(k.isNull() | F.col("again"), unique).otherwise(k.cast("string")))
