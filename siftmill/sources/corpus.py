@@ -66,9 +66,9 @@ def lang_of(ext: Column) -> Column:
 
 
 def split_lines(content: Column) -> Column:
-    """Lines of a text: CR dropped, no empty line after a trailing newline."""
+    """Lines of a text: CR dropped, no empty line after a trailing newline. Only the last newline goes: ``$`` would also match before it."""
     text = F.regexp_replace(content, "\r", "")
-    return F.split(F.regexp_replace(text, "\n$", ""), "\n", -1)
+    return F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
 
 
 def with_lines(files: DataFrame) -> DataFrame:

@@ -210,3 +210,8 @@ def test_one_pass_gives_what_each_check_gives(spark):
     for few in (0, 100):
         assert sorted(tuple(x) for x in rulescan.scan_rules(df, RULES, few=few).collect()) == sorted(want)
     assert {w[1] for w in want} == {r.rule_id for r in RULES} and rulescan.scan_rules(df, []).count() == 0 and rulescan.scan_rules(df.limit(0), RULES).count() == 0
+
+
+def test_only_the_last_newline_ends_no_line(spark):
+    rows = corpus.explode_lines(files(spark, ("a.php", "x\n\n"), ("b.php", "\n\n\n"), ("c.php", "x\n"))).collect()
+    assert sorted((r.path, r.line_no, r.line) for r in rows) == [("a.php", 1, "x"), ("a.php", 2, ""), ("b.php", 1, ""), ("b.php", 2, ""), ("b.php", 3, ""), ("c.php", 1, "x")]
