@@ -68,11 +68,17 @@ def caller_lines(files: DataFrame, changed: DataFrame) -> DataFrame:
     from siftmill.sources.corpus import with_lines
 
     symbols = changed.select("project", F.explode(F.regexp_extract_all("content", F.lit(DEFINED), F.lit(1))).alias("symbol")).distinct()
-    used = F.transform("lines", lambda x, i: F.struct((i + 1).alias("no"), F.regexp_extract_all(x, F.lit(CALL_TOKENS), F.lit(1)).alias("names")))
-    held = with_lines(files).join(changed.select("project", "path"), ["project", "path"], "left_anti").select("project", "path", used.alias("used"))
-    names = held.select("project", "path", "used", F.explode(F.array_distinct(F.flatten(F.transform("used", lambda u: u["names"])))).alias("symbol"))
-    lines = F.transform(F.filter("used", lambda u: F.array_contains(u["names"], F.col("symbol"))), lambda u: u["no"])
-    return names.join(symbols, ["project", "symbol"]).select("project", "path", "symbol", lines.alias("lines"))
+    calls = F.flatten(
+        F.transform(
+            "lines",
+            lambda x, i: F.transform(F.array_distinct(F.regexp_extract_all(x, F.lit(CALL_TOKENS), F.lit(1))), lambda t: F.struct(t.alias("symbol"), (i + 1).alias("no"))),
+        )
+    )
+    # A name leaves its file with its own lines only, before any join: joins send calls, never a file's text or all its lines once per name.
+    of_name = lambda s: F.struct(s.alias("symbol"), F.transform(F.filter("calls", lambda c: c["symbol"] == s), lambda c: c["no"]).alias("lines"))
+    found = with_lines(files).select("project", "path", calls.alias("calls"))
+    used = found.select("project", "path", F.inline(F.transform(F.array_distinct(F.col("calls")["symbol"]), of_name)))
+    return used.join(symbols, ["project", "symbol"]).join(changed.select("project", "path"), ["project", "path"], "left_anti").select("project", "path", "symbol", "lines")
 
 
 def overall_risk(risks: DataFrame) -> DataFrame:

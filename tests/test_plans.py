@@ -51,3 +51,18 @@ def test_no_query_uses_a_cross_join(spark):
 
 def test_top_k_is_limited_before_the_shuffle(spark):
     assert plan(load_all()["capped_violations"].build(spark, SF)).count("WindowGroupLimit") >= 2
+
+
+def test_joins_of_caller_lines_carry_calls_only(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes, types = [load_all()["caller_lines"].build(spark, SF)._jdf.queryExecution().optimizedPlan()], []
+        while nodes:
+            node = nodes.pop()
+            children = [node.children().apply(i) for i in range(node.children().size())]
+            nodes += children
+            if node.nodeName() == "Join":
+                types += [c.output().apply(i).dataType().simpleString() for c in children for i in range(c.output().size())]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(types) <= {"string", "array<int>", "array<struct<symbol:string,no:int>>"}
