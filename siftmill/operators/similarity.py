@@ -21,6 +21,7 @@ from siftmill.operators.graph import components
 from siftmill.session import written_table
 
 BLOCK = 1500
+VECTOR_BLOCK, STRIP_ROWS = 10_000, 512  # vectors on each side of a tile, and compared at once
 SMALL_BLOCK, SPLITS = 16, 4
 TILE_ROWS = 64  # rules on each side of a tile
 PATTERN_WEIGHT, TITLE_WEIGHT, CATEGORY_WEIGHT = 0.5, 0.3, 0.2
@@ -353,15 +354,20 @@ def guardrail(report: DataFrame, clusters: DataFrame, created: DataFrame, noise:
 # --- vectors -------------------------------------------------------------------------------
 
 
-def vector_edges(vectors: DataFrame, threshold: float = 0.85, max_pivots: int = 256, block: int = BLOCK) -> DataFrame:
+def vector_edges(vectors: DataFrame, threshold: float = 0.85, max_pivots: int = 256, block: int = VECTOR_BLOCK) -> DataFrame:
     """Edges that connect vectors ``(id, embedding)`` with cosine at least ``threshold``. Exact.
 
     Unit vectors are assigned to the nearest of a fixed number of pivots. A vector can only be
     within reach of a member of another cell when its distance to that pivot is at most the
     cell's radius plus the reach (triangle inequality), so it visits those cells as a guest.
     Pivots are a sample of bounded size; any choice gives the same result.
+
+    Where vectors lie too close for pivots to tell apart (a low threshold), nearly every vector would
+    visit nearly every cell; visits are counted before anything is sent, and with fewer copies in plain
+    tiles of ``block`` rows a side all vectors are one cell. Vectors travel as binary floats.
     """
-    pivots = min(max_pivots, max(4, math.isqrt(vectors.count()) // 4))
+    total = vectors.count()
+    pivots = min(max_pivots, max(4, math.isqrt(total) // 4))
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold))
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).select("embedding").collect()
     centres = np.array([r["embedding"] for r in sample], dtype=np.float64)
@@ -388,34 +394,58 @@ def vector_edges(vectors: DataFrame, threshold: float = 0.85, max_pivots: int =
     for row in cells:  # one row per pivot, bounded by their number
         radius[row["cell"]] = row["radius"]
 
+    def near_cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = distances(x)
+        home = d.argmin(axis=1)
+        near = (d <= radius[None, :] + reach + 1e-9) & (np.arange(len(centres))[None, :] > home[:, None])
+        near[np.arange(len(home)), home] = True
+        return near, home
+
+    def count_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"cell": np.arange(len(centres)), "n": near_cells(unit(pdf)[1])[0].sum(axis=0)}, dtype="int64")
+
+    def copies(n: int) -> int:
+        """The rows that ``into_tiles`` makes of a group of ``n``."""
+        return n * max(math.ceil(n / block), min(math.ceil(n / SMALL_BLOCK), SPLITS))
+
+    visited = vectors.select("embedding").mapInPandas(count_visits, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    one_cell = copies(total) < sum(copies(row["n"]) for row in visited)
+
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             pdf, x = unit(pdf)
-            d = distances(x)
-            home = d.argmin(axis=1)
-            near = (d <= radius[None, :] + reach + 1e-9) & (np.arange(len(centres))[None, :] > home[:, None])
-            near[np.arange(len(home)), home] = True
-            who, cell = np.nonzero(near)
-            yield pd.DataFrame(
-                {"id": pdf["id"].to_numpy()[who], "cell": cell.astype("int32"), "guest": cell != home[who], "unit": list(x[who])}
-            )
+            if one_cell:
+                who, cell, guest = np.arange(len(x)), np.zeros(len(x), "int32"), np.zeros(len(x), bool)
+            else:
+                near, home = near_cells(x)
+                who, cell = np.nonzero(near)
+                guest = cell != home[who]
+            packed = [v.tobytes() for v in np.array(pdf["embedding"].tolist(), dtype=np.float32)]
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[who], "cell": cell.astype("int32"), "guest": guest, "packed": [packed[i] for i in who]})
 
-    placed = vectors.select("id", "embedding").mapInPandas(visits, "id long, cell int, guest boolean, unit array<double>")
+    placed = vectors.select("id", "embedding").mapInPandas(visits, "id long, cell int, guest boolean, packed binary")
 
     def check_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["unit"].tolist())
-        guest, side = pdf["guest"].to_numpy(), pdf["side"].to_numpy()
+        x = np.frombuffer(b"".join(pdf["packed"]), dtype=np.float32).reshape(len(pdf), -1).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        ids, guest, side = pdf["id"].to_numpy(), pdf["guest"].to_numpy(), pdf["side"].to_numpy()
         a, b = pdf["tile_a"].iat[0], pdf["tile_b"].iat[0]
-        sims = x @ x.T
-        good = np.triu(sims >= threshold, 1) & ~(guest[:, None] & guest[None, :])
-        if a != b:
-            good &= side[:, None] != side[None, :]
-        forest, ids, out = Forest(len(pdf)), pdf["id"].to_numpy(), []
-        for i, j in zip(*np.nonzero(good)):
-            if forest.join(int(i), int(j)):
-                out.append((ids[i], ids[j], float(sims[i, j])))
+        left = np.flatnonzero(side == a)
+        right = left if a == b else np.flatnonzero(side == b)
+        forest, out = Forest(len(pdf)), []
+        for start in range(0, len(left), STRIP_ROWS):  # a strip of the tile at a time bounds the memory
+            rows = left[start : start + STRIP_ROWS]
+            sims = x[rows] @ x[right].T
+            i, j = np.nonzero(sims >= threshold)
+            p, r = rows[i], right[j]
+            keep = ~(guest[p] & guest[r]) & ((p < r) if a == b else True)
+            for m, n, s in zip(p[keep].tolist(), r[keep].tolist(), sims[i[keep], j[keep]].tolist()):
+                if forest.join(m, n):
+                    out.append((ids[m], ids[n], s))
         return pd.DataFrame(out, columns=["src", "dst", "similarity"])
 
     tiles = into_tiles(placed, ["cell"], "id", block)

@@ -223,6 +223,18 @@ def test_vector_clusters_against_all_pairs(spark):
     assert {tuple(r) for r in graph.components(edges).collect()} == _clusters(list(vec), linked)
 
 
+def test_vectors_that_pivots_cannot_part_are_sent_in_plain_tiles(spark, monkeypatch):
+    random.seed(5)
+    vec = {i: [random.gauss(0, 1) for _ in range(32)] for i in range(400)}
+    df = spark.createDataFrame(list(vec.items()), "id long, embedding array<float>")
+    sent, by_tile = [], similarity.by_tile
+    monkeypatch.setattr(similarity, "by_tile", lambda tiles, keys: by_tile((sent.append(tiles.count()), tiles)[1], keys))
+    x = [[v / math.sqrt(sum(y * y for y in row)) for v in row] for row in vec.values()]
+    linked = [(a, b) for a, b in itertools.combinations(vec, 2) if sum(p * q for p, q in zip(x[a], x[b])) >= 0.4]
+    assert {tuple(r) for r in graph.components(similarity.vector_edges(df, 0.4, block=200)).collect()} == _clusters(list(vec), linked)
+    assert sent[0] <= 400 * 4
+
+
 def test_mining_example(spark):
     rows = [(".php", f"$x = $_GET['{n}'];", f"f{i}.php") for i, n in enumerate(["name", "nome", "names", "game", "fame"])]
     df = spark.createDataFrame(rows, "ext string, text string, path string")
