@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from siftmill.functions.scores import ratio
 
 CHUNK = 50_000
+HOT = 64  # findings at a location beyond which it is left out of the join where it may be
 
 
 def symmetric(relations: DataFrame) -> DataFrame:
@@ -53,6 +54,10 @@ def correlated_rules(occurrences: DataFrame, min_correlation: float = 0.8, min_s
     locations first, so a location that carries a third of all findings is hardly ever a join
     key. A large rule is cut into chunks, each with its own prefix: the bound holds in at least
     one chunk. Candidates are then counted exactly.
+
+    A prefix longer by k locations must share k more. Locations of up to ``HOT`` findings cost little
+    in the join, so a prefix takes all of them: a pair that meets only by chance is then no candidate,
+    whose rule's every location would be joined again.
     """
     occ = occurrences.select("rule_id", "loc").distinct()
     sizes = occ.groupBy("rule_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_support)
@@ -64,17 +69,21 @@ def correlated_rules(occurrences: DataFrame, min_correlation: float = 0.8, min_s
         occ.join(freq, "loc", "left").withColumn("chunk", chunk)
         .withColumn("m", F.count("*").over(part))
         .withColumn("rk", F.row_number().over(part.orderBy(F.coalesce("f", F.lit(1)), "loc")))
+        .withColumn("cheap", F.count_if(F.coalesce("f", F.lit(1)) <= HOT).over(part))
     )
     needed = F.ceil(F.col("m") * min_correlation - 1e-9)
     whole = F.col("m") == F.col("n")
     needed = F.when(whole, F.greatest(needed, F.lit(min_support))).otherwise(F.greatest(needed, F.lit(1)))
-    prefix = ranked.filter((F.col("rk") <= F.col("m") - needed + 1) & F.col("f").isNotNull()).select(
-        F.col("rule_id").alias("x"), F.col("n").alias("nx"), "loc"
+    length = F.greatest(F.col("m") - needed + 1, F.col("cheap"))
+    prefix = ranked.withColumn("length", length).filter((F.col("rk") <= F.col("length")) & F.col("f").isNotNull()).select(
+        F.col("rule_id").alias("x"), F.col("n").alias("nx"), "chunk", (F.col("length") - F.col("m") + needed).alias("share"), "loc"
     )
     other = occ.join(freq, "loc", "left_semi").select(F.col("rule_id").alias("y"), F.col("n").alias("ny"), "loc")
-    cand = prefix.join(other, "loc").filter(
+    met = prefix.join(other, "loc").filter(
         (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    ).select("x", "y").distinct()
+    )
+    shared = met.groupBy("x", "chunk", "y").agg(F.count("*").alias("c"), F.first("share").alias("share"))
+    cand = shared.filter("c >= share").select("x", "y").distinct()
     pairs = cand.select(F.least("x", "y").alias("rule_a"), F.greatest("x", "y").alias("rule_b"))
     out = cooccurrence_of(occ, pairs)
     return out.filter((F.col("co_occurrences") >= min_support) & (F.col("correlation") >= min_correlation))

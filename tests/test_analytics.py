@@ -235,6 +235,19 @@ def test_vectors_that_pivots_cannot_part_are_sent_in_plain_tiles(spark, monkeypa
     assert sent[0] <= 400 * 4
 
 
+def test_pairs_that_meet_by_chance_are_no_candidates(spark, monkeypatch):
+    random.seed(9)
+    held = {r: random.sample(range(3000), 30) for r in range(300)} | {r: [*range(20), 5000 + r, 6000 + r] for r in (900, 901)}
+    rows = [(r, loc) for r, locs in held.items() for loc in locs]
+    occ = spark.createDataFrame(rows, "rule_id long, loc long")
+    counted, exact = [], pairs.cooccurrence_of
+    monkeypatch.setattr(pairs, "cooccurrence_of", lambda o, wanted: exact(o, (counted.append(wanted.count()), wanted)[1]))
+    got = {(r.rule_a, r.rule_b, r.co_occurrences) for r in pairs.correlated_rules(occ, 0.1, 3).collect()}
+    expected = {(a, b, n) for a, b in itertools.combinations(held, 2) if (n := len({*held[a]} & {*held[b]})) >= max(3, 0.1 * min(len(held[a]), len(held[b])))}
+    assert got == expected and (900, 901, 20) in got
+    assert counted == [len(expected)]
+
+
 def test_mining_example(spark):
     rows = [(".php", f"$x = $_GET['{n}'];", f"f{i}.php") for i, n in enumerate(["name", "nome", "names", "game", "fame"])]
     df = spark.createDataFrame(rows, "ext string, text string, path string")
