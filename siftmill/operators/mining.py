@@ -297,14 +297,15 @@ def refined_patterns(feedback: DataFrame, rules: DataFrame, fp_threshold: float
     accuracy on the history rises by more than ``gain``.
 
     ``feedback`` is ``(rule_id, match_text, is_fp)``, ``rules`` is ``(rule_id, pattern)``. Tokens
-    shared by half of the false positives are few, so the set per rule is small.
+    shared by half of the false positives are few, so the set per rule is small. The noisy rules are
+    broadcast: a join by rule would send all texts of a frequent rule to one task.
     """
     state = feedback.groupBy("rule_id").agg(F.count("*").alias("total"), F.count_if("is_fp").alias("fps"))
     noisy = state.filter((F.col("fps") / F.col("total") >= fp_threshold) & (F.col("fps") >= min_fps))
-    wrong = feedback.filter("is_fp").join(noisy.select("rule_id"), "rule_id", "left_semi")
+    wrong = feedback.filter("is_fp").join(F.broadcast(noisy.select("rule_id")), "rule_id", "left_semi")
     tokens = common_fp_tokens(wrong).groupBy("rule_id").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
     built = noisy.join(tokens, "rule_id").join(rules, "rule_id").withColumn("refined", negative_lookahead(F.col("pattern"), F.col("tokens")))
-    judged = feedback.join(built.select("rule_id", "refined"), "rule_id").groupBy("rule_id").agg(
+    judged = feedback.join(F.broadcast(built.select("rule_id", "refined")), "rule_id").groupBy("rule_id").agg(
         F.count_if(F.col("is_fp") != F.expr("rlike(match_text, refined)")).alias("right"), F.count("*").alias("n")
     )
     before = 1 - F.col("fps") / F.col("total")

@@ -217,7 +217,8 @@ def fix_risk(spark, d):
     docs = table(spark, d, "documents")
     failures = docs.filter("doc_id % 7 = 0").groupBy("lang").agg(F.count("*").alias("failures"))
     risk = fix_risk_score(F.col("text"), F.col("n_chars"), F.col("failures"), size_limits=(10_000, 5_000))
-    return docs.join(failures, "lang").select("doc_id", risk.alias("r")).select(
+    # One row per language; a join by language would send all texts of one to one task.
+    return docs.join(F.broadcast(failures), "lang").select("doc_id", risk.alias("r")).select(
         "doc_id", (F.floor(F.col("r") * 1e9 + 0.5) / 1e9).alias("risk_score"), risk_level(F.col("r")).alias("risk_level")
     )
 
