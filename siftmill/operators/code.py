@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -656,6 +658,9 @@ NEARBY_HANDLING = (
 )
 
 
+ITEMS = "array<struct<pattern_type: string, pattern_name: string, severity: string, context: string>>"
+
+
 def inventory(files: DataFrame) -> DataFrame:
     """Declared names, calls, hooks and error handling of server and client code, by line."""
     source = with_lines(files).filter(F.col("lang").isin("php", "javascript", "typescript"))
@@ -663,13 +668,18 @@ def inventory(files: DataFrame) -> DataFrame:
     def fixed(text: Column, kind: str, severity: str, tests: list[tuple[str, Column]]) -> list[Column]:
         return [F.when(cond, _item(kind, F.lit(name), severity, text)) for name, cond in tests]
 
-    def names(text: Column, kind: str, severity: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda n: _item(kind, n, severity, text))
+    # A regex is run on lines that hold its literal only: a search in bytes, where a regex decodes the line.
+    def names(text: Column, kind: str, severity: str, pattern: str, words: list[str]) -> Column:
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda n: _item(kind, n, severity, text))
+        return F.when(reduce(or_, [text.contains(w) for w in words]), found).otherwise(F.array().cast(ITEMS))
+
+    def word(text: Column, w: str, pattern: str) -> Column:
+        return text.contains(w) & text.rlike(pattern)
 
     def server(text: Column, nearby: Column) -> Column:
         security = []
         for fn in SECURITY_FUNCTIONS:
-            cond = text.rlike(rf"\b{fn}\s*\(")
+            cond = word(text, fn, rf"\b{fn}\s*\(")
             if fn.startswith("wp_remote_"):
                 cond = cond & ~nearby
             if fn == "wp_verify_nonce":
@@ -677,20 +687,20 @@ def inventory(files: DataFrame) -> DataFrame:
             security.append((fn, cond))
         rows = fixed(text, "security_op", "CRITICAL", security)
         rows += fixed(text, "db_op", "HIGH", [(fn, text.contains(fn)) for fn in DB_FUNCTIONS])
-        rows += fixed(text, "hook", "SUGGEST", [(fn, text.rlike(rf"\b{fn}\s*\(")) for fn in HOOK_FUNCTIONS])
-        rows += fixed(text, "error_handling", "HIGH", [(w, text.rlike(rf"\b{w}\b")) for w in ERROR_WORDS])
+        rows += fixed(text, "hook", "SUGGEST", [(fn, word(text, fn, rf"\b{fn}\s*\(")) for fn in HOOK_FUNCTIONS])
+        rows += fixed(text, "error_handling", "HIGH", [(w, word(text, w, rf"\b{w}\b")) for w in ERROR_WORDS])
         return F.concat(
-            names(text, "function_def", "SUGGEST", r"function\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\("),
-            names(text, "class_def", "SUGGEST", r"class\s+([a-zA-Z_][a-zA-Z0-9_]*)"), F.array_compact(F.array(*rows)),
+            names(text, "function_def", "SUGGEST", r"function\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", ["function"]),
+            names(text, "class_def", "SUGGEST", r"class\s+([a-zA-Z_][a-zA-Z0-9_]*)", ["class"]), F.array_compact(F.array(*rows)),
         )
 
     def client(text: Column) -> Column:
-        rows = fixed(text, "function_call", "CRITICAL", [(n, text.rlike(p)) for n, p in CLIENT_CALLS.items()])
-        rows += fixed(text, "error_handling", "HIGH", [(w, text.rlike(rf"\b{w}\b")) for w in CLIENT_ERROR_WORDS])
+        rows = fixed(text, "function_call", "CRITICAL", [(n, word(text, n, p)) for n, p in CLIENT_CALLS.items()])
+        rows += fixed(text, "error_handling", "HIGH", [(w, word(text, w, rf"\b{w}\b")) for w in CLIENT_ERROR_WORDS])
         return F.concat(
-            names(text, "function_def", "SUGGEST", r"(?:function|const|let|var)\s+([a-zA-Z_$][a-zA-Z0-9_$]*)\s*[=\(]"),
-            names(text, "class_def", "SUGGEST", r"class\s+([a-zA-Z_$][a-zA-Z0-9_$]*)"),
-            names(text, "hook", "SUGGEST", r"\b(use[A-Z][a-zA-Z]*)\s*\("), F.array_compact(F.array(*rows)),
+            names(text, "function_def", "SUGGEST", r"(?:function|const|let|var)\s+([a-zA-Z_$][a-zA-Z0-9_$]*)\s*[=\(]", ["function", "const", "let", "var"]),
+            names(text, "class_def", "SUGGEST", r"class\s+([a-zA-Z_$][a-zA-Z0-9_$]*)", ["class"]),
+            names(text, "hook", "SUGGEST", r"\b(use[A-Z][a-zA-Z]*)\s*\(", ["use"]), F.array_compact(F.array(*rows)),
         )
 
     # Only remote calls look at their neighbourhood; it is judged inside the file row, so what

@@ -66,3 +66,14 @@ def test_joins_of_caller_lines_carry_calls_only(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert set(types) <= {"string", "array<int>", "array<struct<symbol:string,no:int>>"}
+
+
+def test_texts_are_not_sent_by_rule_or_language(spark):
+    for name, sides in {"fix_risk": 1, "refined_patterns": 2}.items():
+        text = load_all()[name].build(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("strategy=broadcast") >= sides, name
+
+
+def test_inventory_searches_literals_before_regexes(spark):
+    text = plan(load_all()["code_inventory"].build(spark, SF))
+    assert text.count("Contains(text") >= 30  # 8 of them are tests without a regex
