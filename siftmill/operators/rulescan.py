@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.operators.scan import HIT_COLUMNS, IGNORE_TAG
-from siftmill.session import written_table
+from siftmill.session import arrow_batches, written_table
 from siftmill.sources.corpus import with_lines
 from siftmill.sources.rules import Rule, exclude_regex, scope_regex
 
 HIT, TRIGGER, COMPANION, UNMET, MET = range(5)  # what an event says
+BATCH_FILES = 256  # whole files that a Python worker holds at once
 FEW_RULES = 64  # up to here literals are looked for one by one, without an automaton
 EVENT = "array<struct<rule:int,kind:int,line_no:int,match_text:string>>"
 
@@ -210,7 +211,8 @@ def scan_rules(files: DataFrame, rules: Iterable[Rule], width: int = 120, few: i
     """
     rules = list(rules)
     spark = files.sparkSession
-    events = written_table(scan_events(files, rules, width, few), "scan-events")
+    with arrow_batches(spark, BATCH_FILES):
+        events = written_table(scan_events(files, rules, width, few), "scan-events")
     told = events.filter(F.col("kind") >= COMPANION).groupBy("project", "rule").agg(F.max("kind").alias("most"))
     pending = events.filter(F.col("kind") == TRIGGER).join(told.filter(F.col("most") == COMPANION), ["project", "rule"], "left_anti")
     hits = events.filter(F.col("kind") == HIT).unionByName(pending).drop("kind")

@@ -76,4 +76,4 @@ def test_texts_are_not_sent_by_rule_or_language(spark):
 
 def test_inventory_searches_literals_before_regexes(spark):
     text = plan(load_all()["code_inventory"].build(spark, SF))
-    assert text.count("Contains(text") >= 30  # 8 of them are tests without a regex
+    assert text.count("Contains(text") >= 30

@@ -215,3 +215,11 @@ def test_one_pass_gives_what_each_check_gives(spark):
 def test_only_the_last_newline_ends_no_line(spark):
     rows = corpus.explode_lines(files(spark, ("a.php", "x\n\n"), ("b.php", "\n\n\n"), ("c.php", "x\n"))).collect()
     assert sorted((r.path, r.line_no, r.line) for r in rows) == [("a.php", 1, "x"), ("a.php", 2, ""), ("b.php", 1, ""), ("b.php", 2, ""), ("b.php", 3, ""), ("c.php", 1, "x")]
+
+
+def test_few_files_reach_python_at_once(spark, monkeypatch):
+    seen, write, name = [], rulescan.written_table, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(rulescan, "written_table", lambda df, table: (seen.append(int(spark.conf.get(name))), write(df, table))[1])
+    before = spark.conf.get(name)
+    hits = rulescan.scan_rules(files(spark, *[(f"{i}.php", "ok\nbad") for i in range(600)]), [Rule("r", "bad")], few=0)
+    assert hits.count() == 600 and seen == [rulescan.BATCH_FILES] and seen[0] <= 512 and spark.conf.get(name) == before
