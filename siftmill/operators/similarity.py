@@ -23,7 +23,9 @@ from siftmill.session import written_table
 BLOCK = 1500
 VECTOR_BLOCK, STRIP_ROWS = 10_000, 512  # vectors on each side of a tile, and compared at once
 SMALL_BLOCK, SPLITS = 16, 4
-TILE_ROWS = 64  # rules on each side of a tile
+TILE_ROWS, TILE_CHARS = 512, 1 << 18  # rules and their characters on each side of a tile
+BLOCK_CHARS, LANES, FEW = 64, 8192, 3  # letters of a block, blocks that advance together, pairs that are better computed at once
+_ONE = np.uint64(1)
 PATTERN_WEIGHT, TITLE_WEIGHT, CATEGORY_WEIGHT = 0.5, 0.3, 0.2
 
 
@@ -41,24 +43,6 @@ def rule_similarity(a: str, b: str) -> Column:
 # --- small numpy helpers -------------------------------------------------------------------
 
 
-def _grams(text: str, q: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """The q-grams of a text as sorted codes with their counts."""
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    if len(codes) < q:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    mixed = codes[: len(codes) - q + 1].copy()
-    for k in range(1, q):
-        mixed = mixed * np.uint64(1_114_112) + codes[k : len(codes) - q + 1 + k]
-    return np.unique(mixed, return_counts=True)
-
-
-def gram_bound(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], q: int = 3) -> int:
-    """A lower bound of the edit distance: one edit changes at most q grams of either text."""
-    _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = int(np.minimum(a[1][ia], b[1][ib]).sum())
-    return -(-(max(int(a[1].sum()), int(b[1].sum())) - common) // q)
-
-
 def edit_distance(a: str, b: str, limit: int) -> int:
     """Edit distance, or ``limit + 1`` once it must exceed the limit.
 
@@ -101,6 +85,95 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     return min(score, limit + 1)
 
 
+def _block_distances(codes: np.ndarray, masks: np.ndarray, block: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Per lane a lower bound of the edits that turn the block of ``BLOCK_CHARS`` letters into any piece of
+    ``codes[start:stop]``. All lanes take one letter at a time, bit-parallel (Myers, 1999). Their least distance is read
+    every fourth letter: it changes by one a letter, so none lies more than two below those read."""
+    width = stop - start
+    order = np.argsort(width, kind="stable")
+    bound = np.zeros(len(block), np.int64)
+    flat, letters, last = masks.ravel(), masks.shape[1], len(codes) - 1
+    for a in range(0, len(order), LANES):
+        lanes = order[a : a + LANES]
+        at, base = start[lanes], block[lanes] * letters
+        up, down = np.full(len(lanes), ~np.uint64(0)), np.zeros(len(lanes), np.uint64)
+        best = np.full(len(lanes), BLOCK_CHARS, np.int64)
+        eq, vertical, diagonal, rise = (np.empty_like(up) for _ in range(4))
+        place = np.empty_like(at)
+        steps = int(width[lanes[-1]])
+        np.minimum(at, last - steps + 1, out=at)  # a window that starts earlier only lowers a distance, too
+        at = np.maximum(at, 0)
+        for step in range(steps):  # narrower windows run on, which only lowers a distance
+            np.take(codes, at, out=place, mode="clip")
+            place += base
+            np.take(flat, place, out=eq, mode="clip")
+            at += 1
+            np.bitwise_or(eq, down, out=vertical)
+            np.bitwise_and(eq, up, out=diagonal)
+            diagonal += up
+            diagonal ^= up
+            diagonal |= eq
+            np.bitwise_or(diagonal, up, out=rise)
+            np.invert(rise, out=rise)
+            rise |= down
+            diagonal &= up
+            rise <<= _ONE
+            diagonal <<= _ONE
+            np.bitwise_and(rise, vertical, out=down)
+            rise |= vertical
+            np.invert(rise, out=up)
+            up |= diagonal
+            if step % 4 == 3:
+                np.minimum(best, np.bitwise_count(up).astype(np.int64) - np.bitwise_count(down), out=best)
+        np.minimum(best, np.bitwise_count(up).astype(np.int64) - np.bitwise_count(down), out=best)
+        bound[lanes] = np.maximum(best - 2, 0)
+    return bound
+
+
+def beyond(xs: list[str], ys: list[str], i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Pairs (xs[i], ys[j]) that must differ by more than ``limit`` edits; the others are undecided.
+
+    An alignment within the limit keeps to a band of diagonals, so every block of x lies in a piece of y's
+    window, and the edits of the blocks add up. Half of the blocks tell most unrelated texts apart; what
+    is left meets the others.
+    """
+    out = np.zeros(len(i), bool)
+    sizes, lengths = np.array([len(x) for x in xs], np.int64), np.array([len(y) for y in ys], np.int64)
+    blocks = sizes // BLOCK_CHARS
+    if len(i) < FEW or not blocks.any():
+        return out
+
+    def letters(texts: list[str]) -> np.ndarray:  # letters that share a code only lower a distance
+        return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) & 255
+
+    own, codes = letters(xs), letters(ys)
+    used, named = np.unique(own, return_inverse=True)
+    number = np.full(256, len(used))  # a letter that no x has
+    number[used] = np.arange(len(used))
+    codes = number[codes]
+    first, from_y = np.cumsum(blocks) - blocks, np.cumsum(lengths) - lengths
+    starts = np.repeat(np.cumsum(sizes) - sizes - BLOCK_CHARS * first, blocks) + BLOCK_CHARS * np.arange(blocks.sum())
+    masks = np.zeros((len(starts), len(used) + 1), np.uint64)
+    for k in range(BLOCK_CHARS):
+        masks[np.arange(len(starts)), named[starts + k]] |= np.uint64(1 << k)
+
+    total = np.zeros(len(i), np.int64)
+    for part in (1, 0):
+        todo = np.flatnonzero(~out)
+        ahead = np.cumsum((blocks[i[todo]] + 1 - part) // 2)
+        for pairs in np.split(todo, np.searchsorted(ahead, np.arange(8 * LANES, ahead[-1], 8 * LANES)) if len(todo) else []):
+            counts = (blocks[i[pairs]] + 1 - part) // 2
+            lane = np.repeat(pairs, counts)
+            k = 2 * (np.arange(len(lane)) - np.repeat(np.cumsum(counts) - counts, counts)) + part
+            n, longer = lengths[j[lane]], lengths[j[lane]] - sizes[i[lane]]
+            low, high = (limit[lane] - longer + 1) // 2, (limit[lane] + longer + 1) // 2
+            start, stop = np.clip(BLOCK_CHARS * k - low, 0, n), np.clip(BLOCK_CHARS * (k + 1) + high, 0, n)
+            least = _block_distances(codes, masks, first[i[lane]] + k, from_y[j[lane]] + start, from_y[j[lane]] + stop)
+            np.add.at(total, lane, least)
+        out = total > limit
+    return out
+
+
 class Forest:
     """Union-find over the rows of one tile."""
 
@@ -184,10 +257,10 @@ class _Judge:
         need = (self.threshold - CATEGORY_WEIGHT - TITLE_WEIGHT * title) / PATTERN_WEIGHT
         return np.floor((1.0 - need) * longer + 1e-9).astype(np.int64)
 
-    def score(self, x: str, y: str, title: float, grams: tuple | None = None) -> float | None:
+    def score(self, x: str, y: str, title: float) -> float | None:
         longer = max(len(x), len(y))
         limit = int(self.limit(title, np.array(longer)))
-        if abs(len(x) - len(y)) > limit or grams is not None and gram_bound(*grams) > limit:
+        if abs(len(x) - len(y)) > limit:
             return None
         dist = edit_distance(x, y, limit)
         score = (1.0 - dist / longer) * PATTERN_WEIGHT + title * TITLE_WEIGHT + CATEGORY_WEIGHT
@@ -199,7 +272,16 @@ def _starred(pairs: DataFrame, patterns: DataFrame, judge: _Judge) -> DataFrame:
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            scores = [judge.score(x, y, t) for x, y, t in zip(pdf["x"], pdf["y"], pdf["title"])]
+            xs, ys, titles = pdf["x"].tolist(), pdf["y"].tolist(), pdf["title"].to_numpy()
+            sizes, others = (np.array([len(t) for t in side], np.int64) for side in (xs, ys))
+            limit = judge.limit(titles, np.maximum(sizes, others))
+            part = np.cumsum(sizes) // TILE_CHARS
+            scores: list[float | None] = [None] * len(xs)
+            for near in np.split(np.arange(len(xs)), np.flatnonzero(np.diff(part)) + 1):
+                near = near[np.abs(sizes[near] - others[near]) <= limit[near]]
+                own = np.arange(len(near))
+                for k in near[~beyond([xs[k] for k in near], [ys[k] for k in near], own, own, limit[near])].tolist():
+                    scores[k] = judge.score(xs[k], ys[k], float(titles[k]))
             out = pd.DataFrame({"src": pdf["id"], "dst": pdf["hub"], "similarity": pd.Series(scores, dtype="float64", index=pdf.index)})
             yield out[out["similarity"].notna()]
 
@@ -208,8 +290,8 @@ def _starred(pairs: DataFrame, patterns: DataFrame, judge: _Judge) -> DataFrame:
 
 
 def _tile_links(tiles: DataFrame, patterns: DataFrame, judge: _Judge) -> DataFrame:
-    """Links found in tiles: rows (tile key, title, side, id, class, n). Lengths and classes are compared at once; the
-    distance is computed for the pairs that are left while they belong to different classes."""
+    """Links found in tiles: rows (tile key, title, side, id, class, n). Lengths, classes and the edits of blocks are
+    compared at once; the distance is computed for the pairs that are left while they belong to different classes."""
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, sizes, texts, side = pdf["id"].to_numpy(), pdf["n"].to_numpy(), pdf["pattern"].tolist(), pdf["side"].to_numpy()
@@ -217,20 +299,18 @@ def _tile_links(tiles: DataFrame, patterns: DataFrame, judge: _Judge) -> DataFra
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if side.any() else left
         longer = np.maximum(sizes[left][:, None], sizes[right][None, :])
-        near = np.abs(sizes[left][:, None] - sizes[right][None, :]) <= judge.limit(title, longer)
+        limit = judge.limit(title, longer)
+        root = pdf["class"].to_numpy().copy()
+        near = (np.abs(sizes[left][:, None] - sizes[right][None, :]) <= limit) & (root[left][:, None] != root[right][None, :])
         if not side.any():
             near = np.triu(near, 1)
-        root = pdf["class"].to_numpy().copy()
-        grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        i, j = np.nonzero(near)
+        open_ = ~beyond([texts[k] for k in left], [texts[k] for k in right], i, j, limit[i, j])
         out = []
-        for i, j in np.argwhere(near & (root[left][:, None] != root[right][None, :])).tolist():
-            i, j = int(left[i]), int(right[j])
+        for i, j in zip(left[i[open_]].tolist(), right[j[open_]].tolist()):
             if root[i] == root[j]:
                 continue
-            for k in (i, j):
-                if k not in grams:
-                    grams[k] = _grams(texts[k])
-            score = judge.score(texts[i], texts[j], title, (grams[i], grams[j]))
+            score = judge.score(texts[i], texts[j], title)
             if score is not None:
                 out.append((ids[i], ids[j], score))
                 root[root == max(root[i], root[j])] = min(root[i], root[j])
@@ -249,9 +329,10 @@ def near_duplicate_edges(rules: DataFrame, threshold: float = 0.9, block: int =
     title that a third of all rules have is one row of the title join. Within a title, lengths are
     cut into bands so that partners lie in one band or the next. Every rule is first compared with one
     hub, of its own title or of its largest neighbour; near copies collapse there. Titles that still
-    hold several classes are cut into tiles of some ``block`` rules a side, which spread a hot title's
-    work; only pairs of different classes whose lengths allow it are compared. Distances are computed
-    bit-parallel in the tasks: on texts of some thousand characters four times as fast as the JVM's.
+    hold several classes are cut into tiles of at most some ``block`` rules and ``TILE_CHARS`` characters
+    a side, which spread a hot title's work; only pairs of different classes whose lengths allow it are
+    compared. The summed edits of blocks drop unrelated texts (``beyond``); the distances of the rest
+    are computed bit-parallel in the tasks: on texts of some thousand characters four times as fast as the JVM's.
     """
     if threshold <= PATTERN_WEIGHT + TITLE_WEIGHT:
         raise ValueError("the category must be decisive: use a threshold above 0.8")
@@ -281,7 +362,8 @@ def near_duplicate_edges(rules: DataFrame, threshold: float = 0.9, block: int =
 
     known = components(stars).select(F.col("node").alias("id"), "component")
     classed = placed.join(known, "id", "left").withColumn("class", F.coalesce("component", "id"))
-    sizes = placed.groupBy("tid", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / TILE_CHARS)).cast("int")
+    sizes = placed.groupBy("tid", "band").agg(parts.alias("parts"))
     classed = classed.join(sizes, ["tid", "band"]).select("id", "n", "tid", "band", "class", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
     classed = written_table(classed, "rule-classes")
     spans = classed.groupBy("tid").agg(F.min("class").alias("low"), F.max("class").alias("high"))

@@ -5,6 +5,7 @@ import math
 import random
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,25 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == want and len(want) > 10
 
 
+def test_unrelated_texts_are_told_apart_by_their_blocks():
+    random.seed(16)
+    draw = lambda n: "".join(random.choice("abcdefghi éß漢") for _ in range(n))
+    xs = [draw(random.choice([0, 40, 63, 64, 300, 700])) for _ in range(40)]
+    ys = []
+    for x in xs:
+        y = list(x)
+        for _ in range(random.randrange(len(x) // 3 + 2)):
+            at = random.randrange(len(y) + 1)
+            y[at : at + random.randrange(3)] = draw(random.randrange(3))
+        ys.append("".join(y))
+    i, j = (k.ravel() for k in np.indices((len(xs), len(ys))))
+    dist = np.array([similarity.edit_distance(xs[a], ys[b], 10**6) for a, b in zip(i, j)])
+    for limit in (dist - 1, dist, dist // 2, np.array([max(len(xs[a]), len(ys[b])) // 5 for a, b in zip(i, j)])):
+        assert not (similarity.beyond(xs, ys, i, j, limit) & (dist <= limit)).any()
+    long = np.array([min(len(xs[a]), len(ys[b])) >= 300 and a != b for a, b in zip(i, j)])
+    assert similarity.beyond(xs, ys, i, j, limit)[long].all()
+
+
 def test_rule_clusters_where_titles_repeat(spark):
     random.seed(11)
     words = [f"w{i}" for i in range(12)]
