@@ -8,6 +8,7 @@ points at most (n + m) / 19 apart at a similarity of 0.9 (in general: ``Bands.re
    dealt into more blocks than the greatest distance of a linked pair: some block then has
    equal counts in both. Points that share such a block meet in its cell. Sizes are cut in bands so
    that both know the number of blocks.
+   A set leaves out its fullest cells, as many as links can spare: a common line's cell is hardly met in.
 2. *Stars.* In every cell the most central member stands for it; each point is compared exactly with
    the one such hub it shares most cells with. Groups of near copies collapse here, linearly.
 3. *R-trees.* Cells that still hold several classes get R-trees over whole points. Boxes and then
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from siftmill.llm.base import Memo, from_planes, planes, slices, small_batches
 from siftmill.operators.graph import components
@@ -39,6 +41,8 @@ PAGE = 2048  # members of a cell that meet in one task
 LEAF = 32
 ROW_CELLS = 1 << 18  # cells of a profile row
 BUCKET_CELLS = 1 << 19  # cells that meet in a task, on average
+BAND_BITS = 6  # of a cell id; the last of 64 bands holds sets of 10^10 shingles
+_BANDS = (1 << BAND_BITS) - 1
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
@@ -91,12 +95,22 @@ class Bands:
         return reach + 1 + (reach // 2 + 1 if reach else 0)
 
     def cells(self, h: np.ndarray) -> np.ndarray:
-        """Cell ids of a set: in its own band, and in the band of the smallest set that it may link with."""
+        """Cell ids of a set: in its own band, and in the band of the smallest set that it may link with. Their last
+        ``BAND_BITS`` bits name the band."""
+        return np.concatenate([np.empty(0, np.uint64), *(key[held] for _, _, key, held in self._blocks(h))])
+
+    def spare(self, h: np.ndarray) -> list[dict[str, int]]:
+        """Per band how many of the set's cells may be left out: at most ``reach`` blocks of linked sets differ, so of c
+        cells they share c - reach, and one that is shared stays whichever of the others are dropped. Sets that hold
+        cells of empty blocks may share fewer and spare none."""
+        return [{"band": band & _BANDS, "spare": spare} for band, spare, _, _ in self._blocks(h)]
+
+    def _blocks(self, h: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(band, cells to spare, cell ids, which of them the set lies in)."""
         n = len(h)
         if not n:
-            return np.empty(0, np.uint64)
+            return
         least, bounds = -(-n * self.percent // 100), self.edges(n)
-        out = []
         for band in range(len(bounds) - 1):
             if bounds[band + 1] <= least or bounds[band] > n:
                 continue
@@ -108,11 +122,11 @@ class Bands:
             total = np.zeros(blocks, np.uint64)
             np.add.at(total, block, point)  # a linear hash of the block's counts
             held = np.bincount(block, minlength=blocks) > 0
+            spare = max(int(held.sum()) - reach - 1, 0)
             if held.sum() <= reach:  # too few blocks with shingles: the shared block may be an empty one
                 held[:] = True
             key = _mix(total + _mix(np.arange(blocks, dtype=np.uint64) + np.uint64(band << 40)))
-            out.append(key[held])
-        return np.concatenate(out)
+            yield band, spare, key & ~np.uint64(_BANDS) | np.uint64(band & _BANDS), held
 
 
 def _profiles(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -208,8 +222,11 @@ def _shared_cells(profiles: DataFrame) -> DataFrame:
         return written_table(dealt.groupBy("bucket").applyInArrow(meet, "cell bigint, id bigint").unionByName(own), "jaccard-cells")
 
 
-def _points(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, sig, point, fine) of each text: sig is a digest of the set, point and fine are its counts in few and in many groups."""
+def _points(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """(id, n, sig, point, fine, spares) of each text: sig is a digest of the set, point and fine are its counts in few and
+    in many groups, spares the cells of each band that it may leave out."""
+
+    spares = pa.list_(pa.struct([("band", pa.int32()), ("spare", pa.int64())]))
 
     def counts(h: np.ndarray, groups: int) -> bytes:
         return np.bincount((_mix(h) % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4").tobytes()
@@ -220,9 +237,9 @@ def _points(docs: DataFrame, width: int) -> DataFrame:
             rows = [shingles(t, memo, width) for t in batch.column(1).to_pylist()]
             point, fine = [counts(h, GROUPS) for h in rows], [counts(h, FINE) for h in rows]
             sig = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in rows], pa.int64()), pa.array(sig, pa.binary()), pa.array(point, pa.binary()), pa.array(fine, pa.binary())], ["id", "n", "sig", "point", "fine"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in rows], pa.int64()), pa.array(sig, pa.binary()), pa.array(point, pa.binary()), pa.array(fine, pa.binary()), pa.array([bands.spare(h) for h in rows], spares)], ["id", "n", "sig", "point", "fine", "spares"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, sig binary, point binary, fine binary")
+    return docs.mapInArrow(run, "id bigint, n bigint, sig binary, point binary, fine binary, spares array<struct<band int, spare bigint>>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -237,6 +254,20 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, shingles binary")
 
 
+def _sizes(occ: DataFrame) -> DataFrame:
+    """(cell, members) of the cells that several sets lie in."""
+    return occ.groupBy("cell").agg(F.count("*").alias("members")).filter("members > 1")
+
+
+def _rare(occ: DataFrame, spares: DataFrame) -> DataFrame:
+    """Rows (cell, rep, members) without the cells that a set may leave out, the fullest ones. Every linked pair still meets: of
+    the cells that it shares, the one with the fewest members has more above it than either set leaves out."""
+    part = W.partitionBy("rep", "band").orderBy(F.desc("members"), F.desc("cell"))
+    banded = occ.withColumn("band", F.col("cell").bitwiseAND(F.lit(_BANDS).cast("bigint")).cast("int"))
+    ranked = banded.withColumn("rank", F.row_number().over(part)).join(spares, ["rep", "band"], "left")
+    return ranked.filter("rank > coalesce(spare, 0)").select("cell", "rep", "members")
+
+
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose summed smaller coordinates reach the overlap that a link needs."""
 
@@ -373,14 +404,17 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     met = rows.join(cells.select("id").distinct(), "id", "left_semi")
     with small_batches(docs.sparkSession, 512):
-        points = written_table(_points(met, width), "jaccard-points")
+        points = written_table(_points(met, width, bands), "jaccard-points")
     first = points.groupBy("sig").agg(F.min("id").alias("rep"))
     copies = written_table(points.select("id", "sig").join(first, "sig").select("id", "rep").distinct(), "jaccard-copies")
 
     occ = cells.join(copies, "id").select("cell", "rep").distinct()
-    size = occ.groupBy("cell").agg(F.count("*").alias("members")).filter("members > 1")
-    occ = written_table(occ.join(size, "cell"), "jaccard-members")
+    met_in = written_table(occ.join(_sizes(occ), "cell"), "jaccard-met")
     drop_table(cells)
+    spares = points.join(copies, "id").select("rep", F.inline("spares")).groupBy("rep", "band").agg(F.min("spare").alias("spare")).filter("spare > 0")
+    occ = _rare(met_in, spares).select("cell", "rep")
+    occ = written_table(occ.join(_sizes(occ), "cell"), "jaccard-members")
+    drop_table(met_in)
     central = occ.groupBy("rep").agg(F.sum("members").alias("weight"))
     weighed = occ.join(central, "rep")
     hubs = weighed.groupBy("cell").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))

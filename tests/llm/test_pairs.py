@@ -75,6 +75,20 @@ def test_rtree_join_gives_all_pairs_within_the_bound():
     assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(low))} and len(got) < 300 * 300 / 4
 
 
+def test_texts_that_share_a_line_only_do_not_meet(spark, monkeypatch):
+    rng = random.Random(7)
+    line = "one line that a great many of the texts begin with"
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts = [f"{line} {words(120)}" for _ in range(60)]
+    near = [t.rsplit(" ", 2)[0] for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string")
+    sent, search = [], ngram_join._candidates
+    monkeypatch.setattr(ngram_join, "_candidates", lambda members, percent: search((sent.append(members.count()), members)[1], percent))
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(docs).collect()}
+    assert got == {i: i for i in range(60)} | {60 + i: i for i in range(5)}
+    assert sent == [0]
+
+
 def test_large_cells_are_cut_into_pages(spark, monkeypatch):
     texts = awkward(6)
     monkeypatch.setattr(ngram_join, "PAGE", 3)
