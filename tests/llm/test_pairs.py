@@ -84,7 +84,7 @@ def test_texts_that_share_a_line_only_do_not_meet(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string")
     sent, search = [], ngram_join._candidates
     monkeypatch.setattr(ngram_join, "_candidates", lambda members, percent: search((sent.append(members.count()), members)[1], percent))
-    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(docs).collect()}
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(docs, percent=80).collect()}
     assert got == {i: i for i in range(60)} | {60 + i: i for i in range(5)}
     assert sent == [0]
 
