@@ -6,6 +6,11 @@ expressions. Nothing shuffles before the counts.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +37,9 @@ DARK_PAIRS = {
 }
 BREAKPOINTS = ["sm", "md", "lg", "xl", "2xl"]
 _PREFIX = r"(?:(2xl|xl|lg|md|sm):)?"
+PAGES = 256  # pages whose elements are Python objects at a time
+ELEMENTS = 1 << 16  # scored elements that a task remembers
+LONG = 256  # letters of an element that is remembered
 
 
 def class_strings(html: Column) -> Column:
@@ -151,53 +159,62 @@ def page_flags(html: Column) -> dict[str, Column]:
     }
 
 
+_OPENED = re.compile(r"<[A-Za-z][A-Za-z0-9]*[^>]*>")
+_NAME = re.compile(r"<([A-Za-z0-9]+)")
+_CLASS = re.compile(r'class="([^"]*)"')
+_INLINE = re.compile("inline|flex")
+_TOP, _BOTTOM, _FIRST = 1, 2, 4  # places of an element, as bits
+_PLACES = {"top": _TOP, "bottom": _BOTTOM, "first_section": _FIRST}
+
+
+def component_of(element: str, flags: frozenset[str], places: int, minimum_offset: int = 0) -> tuple[str, str, str, int] | None:
+    """(tag, cls, component type, score) of an opening tag, or None where no type is reached."""
+    tag = _NAME.match(element)[1].lower()
+    cls = found[1] if (found := _CLASS.search(element)) else ""
+    own = {"clickable": tag in ("button", "a"), "small_inline": bool(_INLINE.search(cls)), "expandable": "transition" in cls}
+    best = None
+    for kind, (tags, frags, structure, place, minimum) in COMPONENTS.items():
+        score = (3 if tag in tags else 0) + min(4, sum(f in cls for f in frags))
+        score += 3 if own.get(structure, structure in flags) else 0
+        score = min(10, score + (2 if places & _PLACES.get(place, 0) else 0))
+        if score >= minimum + minimum_offset and (best is None or score > best[3]):
+            best = tag, cls, kind, score
+    return best
+
+
 def components_of(pages: DataFrame, minimum_offset: int = 0) -> DataFrame:
     """Component type of every opening tag that reaches a type's minimum score.
 
     Scores are tenths: 3 for the tag, 1 per class fragment up to 4, 3 for structure, 2 for
-    position. An element keeps its best type; the first type listed wins a tie.
+    position. An element keeps its best type; the first type listed wins a tie. Pages repeat
+    their elements, so a task scores equal ones once, in a bounded table.
     """
-    tags = F.regexp_extract_all("content", F.lit(r"<([A-Za-z][A-Za-z0-9]*)([^>]*)>"), F.lit(0))
-    opened = F.transform(
-        tags, lambda t, i: F.struct(i.alias("pos"), F.lower(F.regexp_extract(t, r"^<([A-Za-z0-9]+)", 1)).alias("tag"), F.regexp_extract(t, r"class=\"([^\"]*)\"", 1).alias("cls"))
-    )
     flags = page_flags(F.col("content"))
-    first = F.array_position(F.transform(tags, lambda t: F.lower(F.regexp_extract(t, r"^<([A-Za-z0-9]+)", 1))), "section") - 1
-    known = F.create_map(*[x for n, c in flags.items() for x in (F.lit(n), c)])
-    rows = pages.select("project", "path", first.alias("_section"), F.size(tags).alias("_tags"), known.alias("_flags"), F.inline(opened))
-    tag, cls, pos = F.col("tag"), F.col("cls"), F.col("pos")
-    text = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    specs = F.array(
-        *[
-            F.struct(
-                text(tags_).alias("tags"), text(frags).alias("frags"), F.lit(struct_name or "none").alias("structure"), F.lit(place or "none").alias("place"),
-                F.lit(minimum + minimum_offset).alias("minimum"), F.lit(-i).alias("neg"), F.lit(kind).alias("kind"),
-            )
-            for i, (kind, (tags_, frags, struct_name, place, minimum)) in enumerate(COMPONENTS.items())
-        ]
-    )
-
-    # The list of types is data of the expression, not code: the evaluated code stays small.
-    def judge(spec: Column) -> Column:
-        kind = spec["structure"]
-        structure = (
-            F.when(kind == "clickable", tag.isin("button", "a")).when(kind == "small_inline", cls.rlike("inline|flex")).when(kind == "expandable", cls.contains("transition"))
-            .otherwise(F.coalesce(F.try_element_at("_flags", kind), F.lit(False)))
-        )
-        # "top" and "bottom": among the first and the last ten tags, head included.
-        place = F.when(spec["place"] == "top", pos < 10).when(spec["place"] == "bottom", pos >= F.col("_tags") - 10).when(spec["place"] == "first_section", pos == F.col("_section")).otherwise(False)
-        score = (
-            F.when(F.array_contains(spec["tags"], tag), 3).otherwise(0) + F.least(F.size(F.filter(spec["frags"], lambda f: cls.contains(f))), F.lit(4))
-            + F.when(structure, 3).otherwise(0) + F.when(place, 2).otherwise(0)
-        )
-        return F.struct(F.least(score, F.lit(10)).alias("score"), spec["neg"].alias("neg"), spec["kind"].alias("component_type"), spec["minimum"].alias("minimum"))
-
-    reached = F.filter(F.transform(specs, judge), lambda s: s["score"] >= s["minimum"])
-    # Exploding the best one, rather than filtering on it, evaluates the scores once.
-    best = F.slice(F.reverse(F.array_sort(reached)), 1, 1)
-    return rows.select("project", "path", "pos", "tag", "cls", F.explode(best).alias("b")).select(
-        "project", "path", "pos", "tag", "cls", "b.component_type", "b.score"
-    )
+    names = list(flags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(ELEMENTS)(component_of)
+        named = lru_cache(None)(lambda bits: frozenset(n for i, n in enumerate(names) if bits >> i & 1))
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAGES):
+                rows = []
+                for project, path, content, bits in zip(*(c.to_pylist() for c in batch.slice(start, PAGES).columns)):
+                    elements = _OPENED.findall(content)
+                    first = next((i for i, e in enumerate(elements) if _NAME.match(e)[1].lower() == "section"), -1)
+                    holds = named(bits)
+                    # "top" and "bottom": among the first and the last ten tags, head included.
+                    for i, e in enumerate(elements):
+                        places = (_TOP if i < 10 else 0) | (_BOTTOM if i >= len(elements) - 10 else 0) | (_FIRST if i == first else 0)
+                        found = (known if len(e) <= LONG else component_of)(e, holds, places, minimum_offset)
+                        if found:
+                            rows.append((project, path, i, *found))
+                columns = zip(*rows) if rows else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["project", "path", "pos", "tag", "cls", "component_type", "score"])
+
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
+    bits = sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(flags.values())), F.lit(0))
+    held = pages.filter(F.col("content").isNotNull()).select("project", "path", "content", bits.alias("flags"))
+    return held.mapInArrow(run, "project string, path string, pos int, tag string, cls string, component_type string, score int")
 
 
 # --- features ------------------------------------------------------------------------------

@@ -50,3 +50,12 @@ def test_event_stream_of_a_folder_table(spark, tmp_path):
     spark.read.parquet(f"{oracle.sf('0.001')}/events.parquet").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
     rows = run_to_table(event_stream(spark, str(tmp_path), files_per_trigger=2).select("event_id"), "folder")
     assert rows.count() == rows.select(F.count_distinct("event_id")).first()[0] == spark.read.parquet(f"{tmp_path}/events.parquet").count()
+
+
+def test_equal_elements_are_scored_once(spark):
+    """Scores of all types are not worked out again for every element of every page."""
+    pages = spark.createDataFrame([("p", f"{i}", '<div class="tabs flex gap-1"><a href="x"></a><a href="x"></a>' * 40) for i in range(3)] + [("p", "none", None)], "project string, path string, content string")
+    found = html.components_of(pages)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "array_sort" not in plan
+    assert {(r.path, r.n) for r in found.groupBy("path").agg(F.count("*").alias("n")).collect()} == {(str(i), 120) for i in range(3)}
