@@ -93,10 +93,11 @@ def mark_related_duplicates(hits: DataFrame, relations: DataFrame, location: lis
     """Hits with ``removed`` set where the rule is related to the first hit's rule at that place."""
     first = hits.groupBy(*location).agg(F.min(F.struct(*order, "rule_id")).alias("first"))
     rel = symmetric(relations).select(F.col("rule_a").alias("first_rule"), F.col("rule_b").alias("rule_id"), F.lit(True).alias("related"))
-    marked = hits.join(first, location).withColumn("first_rule", F.col("first.rule_id"))
     is_first = F.struct(*order, F.col("rule_id")) == F.col("first")
-    out = marked.join(rel, ["first_rule", "rule_id"], "left")
-    return out.withColumn("removed", F.coalesce("related", F.lit(False)) & ~is_first).drop("first", "first_rule", "related")
+    marked = hits.join(first, location).withColumn("first_rule", F.col("first.rule_id")).withColumn("is_first", is_first).drop("first")
+    # Relations grow with the rules, and their size is guessed from the rule table's: unhinted, all would be broadcast.
+    out = marked.join(rel.hint("merge"), ["first_rule", "rule_id"], "left")
+    return out.withColumn("removed", F.coalesce("related", F.lit(False)) & ~F.col("is_first")).drop("is_first", "first_rule", "related")
 
 
 # --- edit conflicts ------------------------------------------------------------------------

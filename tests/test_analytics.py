@@ -380,3 +380,12 @@ def test_debounce_over_several_batches(spark, tmp_path):
     stream = event_stream(spark, str(tmp_path), files_per_trigger=1, name="in")
     out = run_to_table(state.debounced(stream, "user_id", 500), "debounce-test")
     assert sorted(times[r.event_id] for r in out.collect()) == [0, 600, 1200, 1700, 5000]
+
+
+def test_relations_of_duplicates_stay_where_they_are(spark):
+    hits = spark.createDataFrame([(1, 1, 1, 10), (1, 2, 1, 11), (1, 3, 1, 30), (2, 1, 1, 11)], "scan_id bigint, line int, file bigint, rule_id bigint")
+    relations = spark.createDataFrame([(10, 11)], "rule_a bigint, rule_b bigint")
+    out = pairs.mark_related_duplicates(hits, relations, ["scan_id"], ["line", "file"])
+    assert {(r.scan_id, r.rule_id): r.removed for r in out.collect()} == {(1, 10): False, (1, 11): True, (1, 30): False, (2, 11): False}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "first_rule" in line]
