@@ -29,15 +29,26 @@ _ONE = np.uint64(1)
 PATTERN_WEIGHT, TITLE_WEIGHT, CATEGORY_WEIGHT = 0.5, 0.3, 0.2
 
 
+def composite(ratio: Column, overlap: Column, same: Column) -> Column:
+    """Composite similarity of two rules from that of their patterns, titles and categories."""
+    return ratio * PATTERN_WEIGHT + overlap * TITLE_WEIGHT + F.when(same, 1.0).otherwise(0.0) * CATEGORY_WEIGHT
+
+
 def rule_similarity(a: str, b: str) -> Column:
     """Composite similarity of two rules given as struct columns (pattern, title, category)."""
     x, y = F.col(a), F.col(b)
-    same = F.when(x["category"] == y["category"], 1.0).otherwise(0.0)
-    return (
-        string_ratio(x["pattern"], y["pattern"]) * PATTERN_WEIGHT
-        + jaccard(token_set(x["title"]), token_set(y["title"])) * TITLE_WEIGHT
-        + same * CATEGORY_WEIGHT
-    )
+    return composite(string_ratio(x["pattern"], y["pattern"]), jaccard(token_set(x["title"]), token_set(y["title"])), x["category"] == y["category"])
+
+
+def text_ratio(a: Column, b: Column) -> Column:
+    """``string_ratio`` of unrelated long texts: their distance exceeds every band, so it is computed once and bit-parallel."""
+
+    @F.pandas_udf("long")
+    def distance(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([edit_distance(x, y, max(len(x), len(y))) if x and y else 0 for x, y in zip(xs, ys)], dtype="int64")
+
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when((F.length(a) > 0) & (F.length(b) > 0), 1.0 - distance(a, b) / longer).otherwise(0.0)
 
 
 # --- small numpy helpers -------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftmill.functions.similarity import cosine, jaccard, string_ratio, token_set
+from siftmill.functions.similarity import cosine, jaccard, token_set
 from siftmill.operators import code, metrics, mining, ml, similarity
 from siftmill.plans import concept_sql as C
 from siftmill.plans import sqltext as q
@@ -48,12 +48,12 @@ SELECT conv_id, turn, token_overlap, string_ratio, string_ratio * 0.5::DOUBLE +
 def turn_similarity(spark, d):
     t = table(spark, d, "conversations").select("conv_id", "turn", "text", "role")
     nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"), F.col("role").alias("next_role"))
-    rule = lambda text, role: F.struct(F.col(text).alias("pattern"), F.col(text).alias("title"), F.col(role).alias("category"))
-    pairs = t.join(nxt, ["conv_id", "turn"]).withColumn("x", rule("text", "role")).withColumn("y", rule("next_text", "next_role"))
-    return pairs.select(
+    pairs = t.join(nxt, ["conv_id", "turn"])
+    scored = pairs.select(
         "conv_id", "turn", jaccard(token_set(F.col("text")), token_set(F.col("next_text"))).alias("token_overlap"),
-        string_ratio(F.col("text"), F.col("next_text")).alias("string_ratio"), similarity.rule_similarity("x", "y").alias("composite"),
+        similarity.text_ratio(F.col("text"), F.col("next_text")).alias("string_ratio"), (F.col("role") == F.col("next_role")).alias("same"),
     )
+    return scored.select("conv_id", "turn", "token_overlap", "string_ratio", similarity.composite(F.col("string_ratio"), F.col("token_overlap"), F.col("same")).alias("composite"))
 
 
 # --- near-duplicate rules ------------------------------------------------------------------

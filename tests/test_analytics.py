@@ -11,8 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftmill.operators import editjoin, graph, incremental, metrics, mining, ordered, pairs, similarity
+from siftmill.plans import mining_plans
 from siftmill.streaming import state
 from siftmill.streaming.runner import event_stream, run_to_table
+from tests import oracle
 
 
 def test_decay_examples(spark):
@@ -389,3 +391,13 @@ def test_relations_of_duplicates_stay_where_they_are(spark):
     assert {(r.scan_id, r.rule_id): r.removed for r in out.collect()} == {(1, 10): False, (1, 11): True, (1, 30): False, (2, 11): False}
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "first_rule" in line]
+
+
+def test_distance_of_turns_is_computed_once(spark):
+    df = spark.createDataFrame([(1, 0, "u", "kitten"), (1, 1, "u", "sitting"), (1, 2, "v", ""), (1, 3, "v", None), (2, 0, None, "née"), (2, 1, "u", "nee")], "conv_id bigint, turn bigint, role string, text string")
+    pair = df.alias("x").join(df.alias("y"), (F.col("x.conv_id") == F.col("y.conv_id")) & (F.col("x.turn") + 1 == F.col("y.turn")))
+    out = pair.select(F.col("x.conv_id").alias("c"), F.col("x.turn").alias("t"), similarity.text_ratio(F.col("x.text"), F.col("y.text")).alias("r"))
+    ratios = {(r.c, r.t): r.r for r in out.collect()}
+    assert ratios[1, 0] == 1 - 3 / 7 and ratios[1, 1] == ratios[1, 2] == 0 and ratios[2, 0] == 1 - 1 / 3
+    plan = mining_plans.turn_similarity(spark, oracle.sf("0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan and plan.count("ArrowEvalPython") == 1
