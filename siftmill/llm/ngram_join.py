@@ -12,8 +12,9 @@ points at most (n + m) / 19 apart at a similarity of 0.9 (in general: ``Bands.re
 2. *Stars.* In every cell the most central member stands for it; each point is compared exactly with
    the one such hub it shares most cells with. Groups of near copies collapse here, linearly.
 3. *R-trees.* Cells that still hold several classes get R-trees over whole points. Boxes and then
-   points are dropped by the summed smaller coordinates; pairs of one class are skipped. Large cells
-   are cut into pages and all pairs of pages visited.
+   points are dropped by the summed smaller coordinates; pairs of one class are skipped. Points that
+   are near are bounded once more by many more groups before a pair leaves the cell. Large cells are
+   cut into pages and all pairs of pages visited.
 4. Surviving pairs are verified on the exact sets. Classes are the connected components of all links.
 
 Everything is exact at every size: no caps, and hubs and classes only skip pairs whose class is known.
@@ -35,7 +36,8 @@ from siftmill.operators.graph import components
 from siftmill.session import drop_table, written_table
 
 GROUPS = 64  # coordinates of the points in the R-trees
-FINE = 1024  # coordinates of the points that candidates are bounded by, enough to tell sets of thousands of shingles apart
+FINE = 1024  # coordinates of the points that candidates are bounded by, enough to tell sets of thousands of shingles apart; a multiple of GROUPS
+MOST = 255  # greatest count of a fine group; what is above it is known as a sum
 BLOCK_GROUPS = 1 << 20  # groups of a block: so many that blocks of few shingles rarely agree by chance
 PAGE = 2048  # members of a cell that meet in one task
 LEAF = 32
@@ -223,23 +225,23 @@ def _shared_cells(profiles: DataFrame) -> DataFrame:
 
 
 def _points(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """(id, n, sig, point, fine, spares) of each text: sig is a digest of the set, point and fine are its counts in few and
-    in many groups, spares the cells of each band that it may leave out."""
+    """(id, sig, need, fine, spares) of each text: sig is a digest of the set, fine its counts in ``FINE`` groups as bytes,
+    spares the cells of each band that it may leave out. Counts above ``MOST`` are cut; two sets overlap there in at most
+    half of what both were cut by, so ``need``, the size, is less by what that is worth in ``_reaches``."""
 
-    spares = pa.list_(pa.struct([("band", pa.int32()), ("spare", pa.int64())]))
-
-    def counts(h: np.ndarray, groups: int) -> bytes:
-        return np.bincount((_mix(h) % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4").tobytes()
+    spares, percent = pa.list_(pa.struct([("band", pa.int32()), ("spare", pa.int64())])), bands.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo()
         for batch in slices(batches):
             rows = [shingles(t, memo, width) for t in batch.column(1).to_pylist()]
-            point, fine = [counts(h, GROUPS) for h in rows], [counts(h, FINE) for h in rows]
+            counts = [np.bincount((_mix(h) % np.uint64(FINE)).astype(np.int64), minlength=FINE) for h in rows]
+            need = [len(h) + -(100 + percent) * int(np.maximum(c - MOST, 0).sum()) // (2 * percent) for h, c in zip(rows, counts)]
+            fine = [np.minimum(c, MOST).astype(np.uint8).tobytes() for c in counts]
             sig = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in rows], pa.int64()), pa.array(sig, pa.binary()), pa.array(point, pa.binary()), pa.array(fine, pa.binary()), pa.array([bands.spare(h) for h in rows], spares)], ["id", "n", "sig", "point", "fine", "spares"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), pa.array(need, pa.int64()), pa.array(fine, pa.binary()), pa.array([bands.spare(h) for h in rows], spares)], ["id", "sig", "need", "fine", "spares"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, sig binary, point binary, fine binary, spares array<struct<band int, spare bigint>>")
+    return docs.mapInArrow(run, "id bigint, sig binary, need bigint, fine binary, spares array<struct<band int, spare bigint>>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -268,16 +270,21 @@ def _rare(occ: DataFrame, spares: DataFrame) -> DataFrame:
     return ranked.filter("rank > coalesce(spare, 0)").select("cell", "rep", "members")
 
 
+def _reaches(u: np.ndarray, needs: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the summed smaller coordinates reach the overlap that a link of sets with that sum of sizes needs."""
+    return np.minimum(u, v).sum(-1, dtype=np.int64) * (100 + percent) >= percent * needs
+
+
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose summed smaller coordinates reach the overlap that a link needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, FINE) for c in ("pa", "pb"))
-            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(u, v).sum(1, dtype=np.int64) * (100 + percent) >= percent * sizes))
+            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE) for c in ("pa", "pb"))
+            needs = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(_reaches(u, needs, v, percent)))
 
-    left, right = points.select("id", "n", "fine").toDF("a", "na", "pa"), points.select("id", "n", "fine").toDF("b", "nb", "pb")
+    left, right = points.select("id", "need", "fine").toDF("a", "na", "pa"), points.select("id", "need", "fine").toDF("b", "nb", "pb")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -304,7 +311,7 @@ class RTree:
         """Index pairs (own, other) whose summed smaller coordinates reach the overlap that a link needs."""
 
         def reaches(high_a, small_a, high_b, small_b):
-            return np.minimum(high_a, high_b).sum(-1) * (100 + percent) >= percent * (small_a + small_b)
+            return _reaches(high_a, small_a + small_b, high_b, percent)
 
         for a, leaf in enumerate(self.leaves):
             for node in np.flatnonzero(reaches(self.high[a], self.small[a], other.node_high, other.node_small)):
@@ -318,22 +325,25 @@ class RTree:
 
 
 def _candidates(members: DataFrame, percent: int) -> DataFrame:
-    """members: (cell, page_a, page_b, page, id, class, n, point), grouped and sorted by the first three."""
+    """members: (cell, page_a, page_b, page, id, class, need, fine), grouped and sorted by the first three."""
 
     def search(rows: pa.RecordBatch, page_a: int, page_b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        page, ids, cls, sizes = (rows.column(k).to_numpy() for k in (3, 4, 5, 6))
-        points = np.frombuffer(b"".join(rows.column(7).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+        page, ids, cls, needs = (rows.column(k).to_numpy() for k in (3, 4, 5, 6))
         if len(np.unique(cls)) < 2:
             return
+        fine = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(-1, FINE)
+        points = fine.reshape(len(fine), -1, GROUPS).sum(1, dtype=np.int64)
         left = np.flatnonzero(page == page_a)
         right = np.flatnonzero(page == page_b)
         if not len(left) or not len(right):
             return
-        tree = RTree(points[left], sizes[left])
-        other = tree if page_a == page_b else RTree(points[right], sizes[right])
+        tree = RTree(points[left], needs[left])
+        other = tree if page_a == page_b else RTree(points[right], needs[right])
         for i, j in tree.join(other, percent):
             a, b = left[i], right[j]
             keep = (cls[a] != cls[b]) & ((ids[a] < ids[b]) if page_a == page_b else True)
+            a, b = a[keep], b[keep]
+            keep = _reaches(fine[a], needs[a] + needs[b], fine[b], percent)
             if keep.any():
                 a, b = ids[a[keep]], ids[b[keep]]
                 yield np.minimum(a, b), np.maximum(a, b)
@@ -433,12 +443,11 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     spread = classed.join(mixed, "cell").withColumn("pages", pages).withColumn("page", F.pmod(F.xxhash64("rep"), F.col("pages")).cast("int"))
     spread = spread.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
     spread = spread.select("cell", F.least("page", "mate").alias("page_a"), F.greatest("page", "mate").alias("page_b"), "page", "rep", "class")
-    own = points.join(first, "sig").filter("id = rep").select("rep", "n", "point").dropDuplicates(["rep", "n", "point"])
-    members = spread.join(own, "rep").select("cell", "page_a", "page_b", "page", F.col("rep").alias("id"), "class", "n", "point")
+    own = points.join(first, "sig").filter("id = rep").select("rep", "need", "fine").dropDuplicates(["rep", "need", "fine"])
+    members = spread.join(own, "rep").select("cell", "page_a", "page_b", "page", F.col("rep").alias("id"), "class", "need", "fine")
     members = members.repartition("cell", "page_a", "page_b").sortWithinPartitions("cell", "page_a", "page_b", "id")
-    found = written_table(_candidates(members, percent).distinct(), "jaccard-candidates")
     with small_batches(docs.sparkSession, 512):
-        near = written_table(_bounded(found, points, percent), "jaccard-bounded")
+        near = written_table(_candidates(members, percent).distinct(), "jaccard-candidates")
     more = _verified(near, rows, width, percent)
 
     drop_table(classed, points)

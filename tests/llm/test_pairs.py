@@ -89,6 +89,31 @@ def test_texts_that_share_a_line_only_do_not_meet(spark, monkeypatch):
     assert sent == [0]
 
 
+def test_pairs_of_a_cell_are_bounded_before_they_leave_it(spark):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for _ in range(40):  # kin of one text, far from each other
+        text = list(base)
+        for at in rng.sample(range(150), 8):
+            text[at] = f"z{rng.randrange(10**9)}"
+        texts.append(" ".join(text))
+    texts += [f"{t} end" for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    points = ngram_join._points(docs, 5, ngram_join.Bands(80))
+    members = points.selectExpr("1L AS cell", "0 AS page_a", "0 AS page_b", "0 AS page", "id", "id AS class", "need", "fine")
+    found = [(r.a, r.b) for r in ngram_join._candidates(members.coalesce(1), 80).collect()]
+    sets = [shingle_set(t, 5) for t in texts]
+    links = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert set(found) >= links >= {(i, 40 + i) for i in range(5)} and len(found) <= len(links) + 20
+
+
+def test_counts_above_the_greatest_lose_no_link(spark, monkeypatch):
+    texts = awkward(6)
+    monkeypatch.setattr(ngram_join, "MOST", 1)
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(documents(spark, texts)).collect()} == classes(texts)
+
+
 def test_large_cells_are_cut_into_pages(spark, monkeypatch):
     texts = awkward(6)
     monkeypatch.setattr(ngram_join, "PAGE", 3)
