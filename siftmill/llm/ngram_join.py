@@ -39,6 +39,7 @@ GROUPS = 64  # coordinates of the points in the R-trees
 FINE = 1024  # coordinates of the points that candidates are bounded by, enough to tell sets of thousands of shingles apart; a multiple of GROUPS
 MOST = 255  # greatest count of a fine group; what is above it is known as a sum
 BLOCK_GROUPS = 1 << 20  # groups of a block: so many that blocks of few shingles rarely agree by chance
+SENT = 1 << 18  # pairs that a task remembers, not to send them again from the next cell they share
 PAGE = 2048  # members of a cell that meet in one task
 LEAF = 32
 ROW_CELLS = 1 << 18  # cells of a profile row
@@ -351,12 +352,18 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
+        sent: set[tuple[int, int]] = set()
 
         def close() -> Iterator[pa.RecordBatch]:
             if held:
                 rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 for a, b in search(rows, key[1], key[2]):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    fresh = set(zip(a.tolist(), b.tolist())) - sent
+                    if fresh:
+                        if len(sent) > SENT:
+                            sent.clear()
+                        sent.update(fresh)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(fresh))], ["a", "b"])
                 held.clear()
 
         for batch in batches:

@@ -101,11 +101,12 @@ def test_pairs_of_a_cell_are_bounded_before_they_leave_it(spark):
     texts += [f"{t} end" for t in texts[:5]]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     points = ngram_join._points(docs, 5, ngram_join.Bands(80))
-    members = points.selectExpr("1L AS cell", "0 AS page_a", "0 AS page_b", "0 AS page", "id", "id AS class", "need", "fine")
-    found = [(r.a, r.b) for r in ngram_join._candidates(members.coalesce(1), 80).collect()]
+    cells = points.selectExpr("explode(array(1L, 2L, 3L)) AS cell", "0 AS page_a", "0 AS page_b", "0 AS page", "id", "id AS class", "need", "fine")
+    found = [(r.a, r.b) for r in ngram_join._candidates(cells.coalesce(1).sortWithinPartitions("cell", "id"), 80).collect()]
     sets = [shingle_set(t, 5) for t in texts]
     links = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert set(found) >= links >= {(i, 40 + i) for i in range(5)} and len(found) <= len(links) + 20
+    assert len(found) == len(set(found))  # though they share three cells
 
 
 def test_counts_above_the_greatest_lose_no_link(spark, monkeypatch):
