@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import SparkSession
 
@@ -20,6 +21,26 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def text_groups(batches: Iterator[pa.RecordBatch], group_bytes: int = 20 << 20) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(keys, texts) of rows in a row, about ``group_bytes`` of text together; a null text is empty. A row is never cut."""
+    held, size = [], 0
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1), "").cast(pa.string())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            done = int(ends[at - 1]) if at else 0
+            to = min(int(np.searchsorted(ends, done + group_bytes - size)) + 1, len(texts))
+            held.append((batch.column(0).slice(at, to - at), texts.slice(at, to - at)))
+            size += int(ends[to - 1]) - done
+            at = to
+            if size >= group_bytes:
+                yield tuple(map(pa.concat_arrays, zip(*held)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(pa.concat_arrays, zip(*held)))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 128):
     """Few rows per Arrow batch while eager jobs move whole texts or sets: a batch stands in the JVM, on its way and in the worker."""

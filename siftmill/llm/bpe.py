@@ -13,12 +13,17 @@ import json
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from siftmill.llm.base import Memo
 
 BLANKS = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S) (?=\S)")
+BLANK = "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace())  # inside a class of Arrow's regular expressions
+CROWDED = rf"[ \n][{BLANK}]|[{BLANK}][ \n]"
 
 
 def pieces(text: str) -> list[str]:
@@ -26,6 +31,18 @@ def pieces(text: str) -> list[str]:
     return CUT.split(text) if BLANKS.search(text) else text.split(" ")
 
 
+def piece_lists(texts: pa.Array) -> tuple[pa.Array, pa.Array | None]:
+    """The texts cut at single spaces and before single line ends, as lists; all pieces but the first that do not begin
+    with a line end have lost a leading space. Besides, unless it is theirs, the order of the texts among the lists."""
+    crowded = pc.match_substring_regex(texts, CROWDED).to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~crowded)), "\n", " \n"), " ")
+    if not crowded.any():
+        return lists, None
+    others = pa.array([pieces(t) for t in texts.filter(pa.array(crowded)).to_pylist()], lists.type)
+    places = np.concatenate([np.flatnonzero(~crowded), np.flatnonzero(crowded)])
+    return pa.concat_arrays([lists, others]), pa.array(np.argsort(places))
+
+
 class Pieces:
     """``function`` of every piece of a text, with leading spaces put back."""
 

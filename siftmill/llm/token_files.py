@@ -5,7 +5,7 @@ its documents, and the blocks of :mod:`range_coder` behind a header. Parts are w
 ranges, so the order of all ids is the order of parts, then segments; a part is committed with
 its task, so lost executors leave no half files.
 
-Segment bytes: ``SMT1``, block count (u32), then per block: ids, bytes, crc32 (u32 each), then
+Segment bytes: ``SMT2``, block count (u32), then per block: ids, bytes, crc32 (u32 each), then
 the blocks' bytes in order. All numbers are little-endian.
 """
 
@@ -14,58 +14,116 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftmill.llm.base import slices
-from siftmill.llm.bpe import pieces
+from siftmill.llm.base import slices, text_groups
+from siftmill.llm.bpe import BLANK, piece_lists
 from siftmill.llm.range_coder import decode_ids, encode_ids
 
-MAGIC = b"SMT1"
-SEGMENT_IDS = 1 << 22
-JOINED = 2000  # pieces that the library encodes as one text
+MAGIC = b"SMT2"
+SEGMENT_IDS = 1 << 23
+JOINED, AT_ONCE = 100, 200  # pieces that the library encodes as one text, texts that it gets at once
 
 
 class _Encoder:
-    """Ids of texts as bytes. The library is asked for the pieces of a batch that are not known yet, joined by the
-    tokenizer's special string: it always cuts there, so the ids between two of its ids are those of one piece."""
+    """Ids of texts. Texts are cut into pieces that a byte-level tokenizer encodes apart; the library is asked for
+    the pieces that are not in the table yet, joined to texts: how many bytes each of its ids stands for tells which are
+    a piece's. A full table starts anew from the pieces of the texts at hand. Other tokenizers are given whole texts."""
 
-    def __init__(self, tokenizer, entries: int = 600_000):
+    def __init__(self, tokenizer, entries: int = 800_000):
         self.tokenizer, self.entries = tokenizer, entries
-        self.known: dict[str, bytes] = {}  # by the piece behind its leading space
-        added = tokenizer.get_added_tokens_decoder()
-        self.mark_id, token = next(iter(added.items()), (-1, None))
-        plain = len(added) == 1 and not (token.single_word or token.lstrip or token.rstrip or token.normalized)
-        self.mark = token.content if plain else ""
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: list[str]) -> None:
-        """Pieces that hold the first character of the special string could spell it and are asked for alone."""
-        alone = [w for w in missing if self.mark[:1] in w]
-        self.known.update(zip(alone, self._ids([f" {w}" for w in alone])))
-        joined = [w for w in missing if self.mark[:1] not in w]
-        for at in range(0, len(joined), JOINED):
-            part = joined[at : at + JOINED]
-            text = self.mark.join([f" {w}" for w in part])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            raw, marks = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist()
-            self.known.update(zip(part, [raw[i:j] for i, j in zip([0, *(m + 4 for m in marks)], [*marks, len(raw)])], strict=True))
+        added, pre = tokenizer.get_added_tokens_decoder(), tokenizer.pre_tokenizer
+        plain = not any(t.single_word or t.lstrip or t.rstrip or t.normalized or any(map(str.isspace, t.content)) for t in added.values())
+        self.cuts = plain and not tokenizer.normalizer and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
+        vocab = tokenizer.get_vocab(with_added_tokens=True) if self.cuts else {}
+        self.sizes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.sizes[list(vocab.values())] = [len(token) for token in vocab]  # a letter stands for a byte
+        marks = "".join(f"\\x{{{ord(t.content[0]):x}}}" for t in added.values())
+        self.joins = rf"^\n?[^{BLANK}{marks}]+$"  # pieces with a special string's first character could spell it
+        self.known = pa.array([], pa.string())
+        self.ids, self.stops = np.empty(0, np.uint32), np.zeros(1, np.int64)  # of the known pieces, in order
+
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        ids: list[np.ndarray] = [np.empty(0, np.uint32)]
+        for at in range(0, len(texts), AT_ONCE):
+            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
+        return np.concatenate(ids), np.array([len(x) for x in ids[1:]], np.int64)
+
+    def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        starts = pa.array([*range(0, len(pieces), JOINED), len(pieces)], pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(starts, pieces), " ").to_pylist()
+        ids, _ = self._alone([f" {t}".replace(" \n", "\n") for t in texts])
+        ends = np.cumsum(pc.binary_length(pieces).to_numpy() + 1 - pc.starts_with(pieces, "\n").to_numpy(zero_copy_only=False))
+        upto = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        stops = np.searchsorted(upto, ends)
+        if len(ends) and (stops[-1] != len(ids) or (upto[stops] != ends).any()):
+            raise ValueError("the ids of the tokenizer do not stand for the bytes of the text")
+        return ids, np.diff(stops, prepend=0)
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """The places of new pieces behind the known ones."""
+        joins = pc.match_substring_regex(pieces, self.joins)
+        others = pieces.filter(pc.invert(joins))
+        ids, lengths = zip(self._joined(pieces.filter(joins)), self._alone([t if t[:1] == "\n" else f" {t}" for t in others.to_pylist()]))
+        self.known = pa.concat_arrays([self.known, pieces.filter(joins), others])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.stops = np.concatenate([self.stops, self.stops[-1] + np.cumsum(np.concatenate(lengths))])
+        return np.argsort(np.argsort(~joins.to_numpy(zero_copy_only=False), kind="stable"))
+
+    def _keep(self, rows: np.ndarray) -> None:
+        lists = pa.ListArray.from_arrays(pa.array(self.stops, pa.int32()), pa.array(self.ids)).take(pa.array(rows))
+        self.known = self.known.take(pa.array(rows))
+        self.ids, self.stops = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+
+    def columns(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has. No text is null."""
+        if not self.cuts:
+            return self._alone(texts.to_pylist())
+        lists, order = piece_lists(texts)
+        starts, pieces = lists.offsets.to_numpy(), lists.values
+        found = pieces.dictionary_encode()
+        seen = pc.index_in(self.known, value_set=found.dictionary)
+        known = seen.is_valid().to_numpy(zero_copy_only=False)
+        place = np.full(len(found.dictionary), -1)  # of a piece in the table
+        place[seen.drop_null().to_numpy()] = np.flatnonzero(known)
+        missing = np.flatnonzero(place < 0)
+        place[missing] = len(known) + self._learn(found.dictionary.take(pa.array(missing)))
+        own = place[found.indices.to_numpy()]
+        heads = starts[:-1][np.diff(starts) > 0]
+        head_ids, head_lengths = self._alone(pieces.take(pa.array(heads)).to_pylist())
+        own[heads] = len(self.known) + np.arange(len(heads))
+        table = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([self.stops, self.stops[-1] + np.cumsum(head_lengths)]), pa.int32()), pa.array(np.concatenate([self.ids, head_ids]))
+        )
+        taken = table.take(pa.array(own))
+        out = pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[starts], pa.int32()), taken.values)
+        if order is not None:
+            out = out.take(order)
+        if len(self.known) > self.entries:
+            own[heads] = 0
+            self._keep(np.unique(own))
+        return out.values.to_numpy(), np.diff(out.offsets.to_numpy()).astype(np.int64)
 
     def of(self, texts: list[str]) -> list[bytes]:
-        parts = [pieces(t) for t in texts]
-        heads = self._ids([p[0] for p in parts])
-        wanted = set().union(*(p[1:] for p in parts))
-        if len(self.known) + len(wanted) > self.entries:
-            self.known = {}
-        self._learn([w for w in wanted if w not in self.known])
-        get = self.known.__getitem__
-        return [head + b"".join(map(get, p[1:])) for head, p in zip(heads, parts)]
+        ids, lengths = self.columns(pa.array(texts, pa.string()))
+        return [part.astype("<u4").tobytes() for part in np.split(ids, np.cumsum(lengths)[:-1])]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """One encoder per worker process, which serves many tasks in turn."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return _Encoder(Tokenizer.from_file(path))
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -92,39 +150,34 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc
     text. Other columns are not read. ``tokenizer_path`` must exist on every executor.
     """
     kind = docs.schema[key].dataType.simpleString()
-    key_type = pa.int64() if kind == "bigint" else pa.string()
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        encoded = _Encoder(tokenizer)
-        part, number = TaskContext.get().partitionId(), 0
-        keys: list = []
-        lengths: list[int] = []
-        parts: list[bytes] = []
-        total = 0
+        encoder = _encoder(tokenizer_path)
+        part, number, total = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # keys, lengths and ids of the segment to be
 
         def segment() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            keys, lengths = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            ids, one = np.concatenate([h[2] for h in held]), pa.array([0, len(keys)], pa.int32())
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([keys], pa.list_(key_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([pack(ids)], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.ListArray.from_arrays(one, keys), pa.ListArray.from_arrays(one, pa.array(lengths)), pa.array([len(ids)], pa.int64()), pa.array([pack(ids)], pa.binary())],
                 ["part", "segment", "keys", "lengths", "n_ids", "payload"],
             )
 
-        for batch in slices(batches, 64):
-            for k, raw in zip(batch.column(0).to_pylist(), encoded.of([t or "" for t in batch.column(1).to_pylist()])):
-                raw += end
-                keys.append(k)
-                lengths.append(len(raw) // 4)
-                parts.append(raw)
-                total += len(raw) // 4
+        for keys, texts in text_groups(batches):
+            ids, lengths = encoder.columns(texts)
+            ids = np.insert(ids, np.cumsum(lengths), end_id)
+            lengths = lengths + 1
+            stops, at = np.concatenate([[0], np.cumsum(lengths)]), 0
+            while at < len(lengths):
+                to = min(int(np.searchsorted(stops, stops[at] + segment_ids - total)), len(lengths))
+                held.append((keys.slice(at, to - at), lengths[at:to], ids[stops[at] : stops[to]]))
+                total += int(stops[to] - stops[at])
+                at = to
                 if total >= segment_ids:
                     yield segment()
-                    keys, lengths, parts, total, number = [], [], [], 0, number + 1
-        if keys:
+                    held, total, number = [], 0, number + 1
+        if held:
             yield segment()
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
@@ -135,17 +188,17 @@ def read_files(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame
     """(part, segment, key, place, ids binary) of every document: ids as little-endian 32-bit words, place within its segment."""
     files = spark.read.parquet(path)
     kind = files.schema["keys"].dataType.elementType.simpleString()
-    key_type = pa.int64() if kind == "bigint" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            part, segment, keys, lengths, payload = (c[0].as_py() for c in batch.columns)
-            ids, stops = unpack(payload), np.cumsum([0, *lengths])
+            part, segment, payload = (batch.column(c)[0].as_py() for c in (0, 1, 4))
+            keys, stops = batch.column(2).flatten(), np.concatenate([[0], np.cumsum(batch.column(3).flatten().to_numpy())])
+            ids = unpack(payload)
             for a in range(0, len(keys), 512):
                 b = min(a + 512, len(keys))
                 own = [ids[i:j].tobytes() for i, j in zip(stops[a:b], stops[a + 1 : b + 1])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * (b - a), pa.int32()), pa.array([segment] * (b - a), pa.int32()), pa.array(keys[a:b], key_type), pa.array(stops[a:b], pa.int64()), pa.array(own, pa.binary())],
+                    [pa.array([part] * (b - a), pa.int32()), pa.array([segment] * (b - a), pa.int32()), keys.slice(a, b - a), pa.array(stops[a:b], pa.int64()), pa.array(own, pa.binary())],
                     ["part", "segment", "k", "place", "ids"],
                 )
 

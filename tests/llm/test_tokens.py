@@ -114,3 +114,41 @@ def test_joined_pieces_get_the_ids_that_the_library_gives_alone():
     alone.mark = ""  # a tokenizer without a special string
     for encoder in (joined, alone):
         assert [np.frombuffer(raw, "<u4").tolist() for raw in encoder.of(texts)] == want
+
+
+def test_pieces_are_asked_for_once_and_end_at_line_ends():
+    encoder, asked = token_files._Encoder(Tokenizer.from_file(BPE_JSON)), []
+    alone = encoder._alone
+    encoder._alone = lambda texts: asked.extend(texts) or alone(texts)
+    texts = ["one two three", "two three.\nOne two", "one two\nthree three.\nTwo"]
+    first = encoder.of(texts)
+    del asked[:]
+    assert encoder.of(texts + ["one three.\nTwo three\nthree"])[:3] == first
+    assert sorted(asked) == ["one", "one", "one", "two"]  # only what texts begin with
+
+
+@pytest.mark.parametrize("entries", [1, 50, 800_000])
+def test_ids_of_crowded_and_odd_texts_are_the_librarys(texts, entries):
+    tokenizer = Tokenizer.from_file(BPE_JSON)
+    own = [t or "" for _, t in texts] + ["a\n", "\na", "a\n\nb", "a \nb", "a\n b c\nd", "\t\n", "a　\nb", "a b\n<|endoftext|>\nc", "\x1c \x1d\nx"]
+    encoder = token_files._Encoder(tokenizer, entries=entries)
+    for group in (own, own[::-1], own[::3]):
+        want = [list(e.ids) for e in tokenizer.encode_batch(group, add_special_tokens=False)]
+        assert [np.frombuffer(raw, "<u4").tolist() for raw in encoder.of(group)] == want
+
+
+def test_token_files_keep_the_type_of_their_keys(spark):
+    for kind in ("int", "string"):
+        path = f"{shared_folder(spark)}/tokens-{kind}-{random.random()}"
+        token_files.write_files(documents(spark, [(1, "a b"), (2, None), (3, "c")]).selectExpr(f"cast(doc_id as {kind}) doc_id", "text"), path, BPE_JSON)
+        back = token_files.digests(spark, path)
+        assert dict(back.dtypes)["doc_id"] == kind and [tuple(r)[1:3] for r in back.orderBy("start").collect()] == [(0, 3), (3, 1), (4, 2)]
+
+
+def test_rare_outcomes_take_no_more_than_a_word_in_two_steps():
+    rng = np.random.default_rng(5)
+    steady = np.tile(np.arange(64, dtype=np.uint32), 96)
+    steady[rng.integers(0, len(steady), 60)] = rng.integers(0, 1 << 16, 60)  # new ids where an old one was all but sure
+    steady[2000:2100], steady[4096:4200] = rng.integers(0, 1 << 16, 100), rng.integers(0, 1 << 16, 104)
+    blocks = range_coder.encode_ids(steady)
+    assert (range_coder.decode_ids(blocks) == steady).all() and sum(len(b[2]) for b in blocks) < len(steady) / 2
