@@ -23,6 +23,7 @@ from siftmill.llm.base import Memo
 BLANKS = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S) (?=\S)")
 BLANK = "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace())  # inside a class of Arrow's regular expressions
+TABLE_BYTES = 1 << 27
 CROWDED = rf"[ \n][{BLANK}]|[{BLANK}][ \n]"
 
 
@@ -43,6 +44,66 @@ def piece_lists(texts: pa.Array) -> tuple[pa.Array, pa.Array | None]:
     return pa.concat_arrays([lists, others]), pa.array(np.argsort(places))
 
 
+def with_spaces(pieces: pa.Array) -> list[str]:
+    return [t if t[:1] == "\n" else f" {t}" for t in pieces.to_pylist()]
+
+
+class PieceTable:
+    """Ids of pieces as Arrow columns. The pieces of many texts are numbered at once, only new ones are encoded, by ``_alone``.
+    A full table starts anew from the pieces of the texts at hand."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self.known = pa.array([], pa.string())
+        self.ids, self.stops = np.empty(0, np.uint32), np.zeros(1, np.int64)  # of the known pieces, in order
+
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        raise NotImplementedError
+
+    def _add(self, pieces: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, pieces])
+        self.ids = np.concatenate([self.ids, ids])
+        self.stops = np.concatenate([self.stops, self.stops[-1] + np.cumsum(lengths)])
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """The places of new pieces behind the known ones."""
+        self._add(pieces, *self._alone(with_spaces(pieces)))
+        return np.arange(len(pieces))
+
+    def _keep(self, rows: np.ndarray) -> None:
+        lists = pa.ListArray.from_arrays(pa.array(self.stops, pa.int32()), pa.array(self.ids)).take(pa.array(rows))
+        self.known = self.known.take(pa.array(rows))
+        self.ids, self.stops = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+
+    def columns(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has. No text is null."""
+        lists, order = piece_lists(texts)
+        starts, pieces = lists.offsets.to_numpy(), lists.values
+        found = pieces.dictionary_encode()
+        seen = pc.index_in(self.known, value_set=found.dictionary)
+        known = seen.is_valid().to_numpy(zero_copy_only=False)
+        place = np.full(len(found.dictionary), -1)  # of a piece in the table
+        place[seen.drop_null().to_numpy()] = np.flatnonzero(known)
+        missing = np.flatnonzero(place < 0)
+        place[missing] = len(known) + self._learn(found.dictionary.take(pa.array(missing)))
+        own = place[found.indices.to_numpy()]
+        heads = starts[:-1][np.diff(starts) > 0]
+        head_ids, head_lengths = self._alone(pieces.take(pa.array(heads)).to_pylist())
+        own[heads] = len(self.known) + np.arange(len(heads))
+        table = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([self.stops, self.stops[-1] + np.cumsum(head_lengths)]), pa.int32()), pa.array(np.concatenate([self.ids, head_ids]))
+        )
+        taken = table.take(pa.array(own))
+        out = pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[starts], pa.int32()), taken.values)
+        if order is not None:
+            out = out.take(order)
+        if len(self.known) > self.entries or self.known.nbytes + self.ids.nbytes > TABLE_BYTES:
+            own[heads] = 0
+            self._keep(np.unique(own))
+        return out.values.to_numpy(), np.diff(out.offsets.to_numpy()).astype(np.int64)
+
+
 class Pieces:
     """``function`` of every piece of a text, with leading spaces put back."""
 
@@ -124,6 +185,90 @@ def merge_by_tree(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Merger:
+    """``merge_by_tree`` of many words: the trees of all words of one length are rows of an array and merge in lockstep.
+    Every token at hand is in the ranks, so the rank of joining two is looked up by theirs."""
+
+    def __init__(self, ranks: dict[bytes, int], rows: int = 4096, longest: int = 64, fewest: int = 16):
+        self.ranks, self.rows, self.longest, self.fewest = ranks, rows, longest, fewest
+        get, pairs = ranks.get, {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = get(token[:k]), get(token[k:])
+                if a is not None and b is not None:
+                    pairs[a << 24 | b] = rank
+        keys, joined = np.array([*pairs, -1], np.int64), np.array([*pairs.values(), NO_RANK], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.joined = keys[order], joined[order]
+        self.bytes = np.array([get(bytes([b]), -1) for b in range(256)], np.int64)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 24 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.joined[at], NO_RANK)
+
+    def _rows(self, words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words of n > 1 bytes, and how many each has."""
+        m, none, w = len(words), NO_RANK * n, 2 * n
+        ids = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        tree = np.full((m, w), none)
+        first = self._rank(ids.reshape(m, n)[:, :-1], ids.reshape(m, n)[:, 1:])
+        tree[:, n : w - 1] = np.where(first < NO_RANK, first * n + np.arange(n - 1), none)
+        for k in range(n - 1, 0, -1):
+            np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1], out=tree[:, k])
+        tree = tree.reshape(-1)
+        after, before = np.tile(np.arange(1, n + 2), m), np.tile(np.arange(-1, n), m)  # n + 1 a word: its end has a place
+        alive, row = np.ones(m * n, bool), np.arange(m)
+        while True:
+            top = tree[row * w + 1]
+            row, top = row[top < none], top[top < none]
+            if not len(row):
+                return ids[alive], alive.reshape(m, n).sum(1)
+            at, link, leaf = row * n, row * (n + 1), row * w + n
+            rank, i = np.divmod(top, n)
+            gone = after[link + i]
+            end, left = after[link + gone], before[link + i]
+            after[link + i] = end
+            before[link + end] = i
+            ids[at + i] = rank
+            alive[at + gone] = False
+            tree[leaf + gone] = none
+            new = self._rank(rank, ids[at + np.minimum(end, n - 1)])
+            own = np.where((end < n) & (new < NO_RANK), new * n + i, none)
+            tree[leaf + i] = own
+            new = self._rank(ids[at + np.maximum(left, 0)], rank)
+            tree[leaf + np.maximum(left, 0)] = np.where(left < 0, tree[leaf + np.maximum(left, 0)], np.where(new < NO_RANK, new * n + left, none))
+            a, b, c, base = n + np.where(left < 0, i, left) >> 1, n + i >> 1, n + gone >> 1, row * w
+            while c.any():  # as in merge_by_tree: the last leaf is the deepest
+                for node in (c, b, a):
+                    low = base + 2 * node
+                    tree[base + node] = np.minimum(tree[low], tree[low + 1])
+                a, b, c = a >> 1, b >> 1, c >> 1
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as 32-bit numbers."""
+        out: list[bytes] = [b""] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for k, word in enumerate(words):
+            whole = self.ranks.get(word)
+            if whole is not None:
+                out[k] = whole.to_bytes(4, "little")
+            else:
+                by_length.setdefault(len(word), []).append(k)
+        for n, places in by_length.items():
+            if not 1 < n <= self.longest or len(places) < self.fewest:
+                for k in places:
+                    out[k] = np.array(merge_by_tree(words[k], self.ranks), "<i4").tobytes()
+                continue
+            for start in range(0, len(places), self.rows):
+                part = places[start : start + self.rows]
+                ids, lengths = self._rows([words[k] for k in part], n)
+                raw, stops = ids.astype("<i4").tobytes(), (4 * np.cumsum(lengths)).tolist()
+                for k, i, j in zip(part, [0, *stops], stops):
+                    out[k] = raw[i:j]
+        return out
+
+
 # ---------------------------------------------------------------- heap and linked list (merge files)
 
 

@@ -1,28 +1,46 @@
 """Byte-level BPE encoding and decoding of whole texts with a rank file.
 
-Merges run on a segment tree over byte positions (``bpe.merge_by_tree``). Encoding and decoding
+Merges run on segment trees over byte positions (``bpe.Merger``), for all new words of a group of texts. Encoding and decoding
 are narrow maps: a document never leaves its task and no shuffle happens.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.base import Memo, slices
-from siftmill.llm.bpe import Pieces, merge_by_tree, read_ranks, splitter
+from siftmill.llm.base import slices, text_groups
+from siftmill.llm.bpe import Merger, PieceTable, read_ranks, splitter
 
+GROUP_BYTES = 2 << 20  # of texts whose pieces are numbered at once
+WORDS, LONGEST = 150_000, 64  # words whose ids are kept, and their letters
 
-def _encoder(ranks_path: str, pattern: str) -> Pieces:
-    """Ids of pieces as bytes. Made anew by every task: kept from task to task, its memo tables would take memory from later jobs."""
-    ranks, split = read_ranks(ranks_path), splitter(pattern)
-    word = Memo(lambda w: array("i", merge_by_tree(w.encode(), ranks)).tobytes())
-    return Pieces(lambda piece: b"".join([word[w] for w in split(piece)]))
+
+class _Encoder(PieceTable):
+    """Made anew by every task: kept from task to task, its tables would take memory from later jobs."""
+
+    def __init__(self, ranks_path: str, pattern: str, entries: int = 400_000):
+        super().__init__(entries)
+        self.split, self.merger = splitter(pattern), Merger(read_ranks(ranks_path))
+        self.words: dict[str, bytes] = {}
+
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [self.split(t) for t in texts]
+        wanted = set().union(*lists)
+        if len(self.words) + len(wanted) > WORDS:
+            self.words = {}
+        new = [w for w in wanted if w not in self.words]
+        self.words.update(zip(new, self.merger.of([w.encode() for w in new])))
+        parts = [b"".join(map(self.words.__getitem__, words)) for words in lists]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.words[w]
+        return np.frombuffer(b"".join(parts), "<u4"), np.array([len(p) // 4 for p in parts], np.int64)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -33,12 +51,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = _encoder(ranks_path, pattern)
-        for batch in slices(batches):
-            parts = [b"".join(encoded.of(t)) if t else b"" for t in batch.column(1).to_pylist()]
-            offsets = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["k", "ids"])
+        encoder = _Encoder(ranks_path, pattern)
+        for keys, texts in text_groups(batches, GROUP_BYTES):
+            ids, lengths = encoder.columns(texts)
+            offsets = pa.array(np.cumsum([0, *lengths]), pa.int32())
+            encoded = pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32)))], ["k", "ids"])
+            yield from slices(iter([encoded]))
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
@@ -48,12 +67,17 @@ def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id", ids: str =
     """(key, ids, decoded binary): the bytes that the ids stand for. Null ids decode to null; an unknown id is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = {rank: token for token, rank in read_ranks(ranks_path).items()}.__getitem__
+        ranks = {rank: token for token, rank in read_ranks(ranks_path).items()}
+        spelled = pa.array([ranks.get(rank) for rank in range(max(ranks, default=-1) + 1)], pa.binary())
         for batch in slices(batches):
             col = batch.column(1)
-            ends, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
-            out = [b"".join(map(spelled, flat[a:b].tolist())) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], col.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), col, pa.array(out, pa.binary())], ["k", "ids", "decoded"])
+            tokens = spelled.take(col.flatten())
+            if tokens.null_count:
+                raise ValueError("an id is none of the ranks")
+            places = np.cumsum([0, *pc.fill_null(pc.list_value_length(col), 0).to_pylist()])
+            ends = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset :][places]
+            out = pa.Array.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(ends.tobytes()), tokens.buffers()[2]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), col, pc.if_else(col.is_valid(), out, None)], ["k", "ids", "decoded"])
 
     kind = encoded.schema[key].dataType.simpleString()
     return encoded.select(F.col(key).alias("k"), F.col(ids).alias("ids")).mapInArrow(run, f"k {kind}, ids array<int>, decoded binary").withColumnRenamed("k", key)

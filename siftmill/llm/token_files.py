@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmill.llm.base import slices, text_groups
-from siftmill.llm.bpe import BLANK, piece_lists
+from siftmill.llm.bpe import BLANK, PieceTable, with_spaces
 from siftmill.llm.range_coder import decode_ids, encode_ids
 
 MAGIC = b"SMT2"
@@ -32,13 +32,14 @@ SEGMENT_IDS = 1 << 23
 JOINED, AT_ONCE = 100, 200  # pieces that the library encodes as one text, texts that it gets at once
 
 
-class _Encoder:
+class _Encoder(PieceTable):
     """Ids of texts. Texts are cut into pieces that a byte-level tokenizer encodes apart; the library is asked for
     the pieces that are not in the table yet, joined to texts: how many bytes each of its ids stands for tells which are
-    a piece's. A full table starts anew from the pieces of the texts at hand. Other tokenizers are given whole texts."""
+    a piece's. Other tokenizers are given whole texts."""
 
     def __init__(self, tokenizer, entries: int = 800_000):
-        self.tokenizer, self.entries = tokenizer, entries
+        super().__init__(entries)
+        self.tokenizer = tokenizer
         added, pre = tokenizer.get_added_tokens_decoder(), tokenizer.pre_tokenizer
         plain = not any(t.single_word or t.lstrip or t.rstrip or t.normalized or any(map(str.isspace, t.content)) for t in added.values())
         self.cuts = plain and not tokenizer.normalizer and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
@@ -47,8 +48,6 @@ class _Encoder:
         self.sizes[list(vocab.values())] = [len(token) for token in vocab]  # a letter stands for a byte
         marks = "".join(f"\\x{{{ord(t.content[0]):x}}}" for t in added.values())
         self.joins = rf"^\n?[^{BLANK}{marks}]+$"  # pieces with a special string's first character could spell it
-        self.known = pa.array([], pa.string())
-        self.ids, self.stops = np.empty(0, np.uint32), np.zeros(1, np.int64)  # of the known pieces, in order
 
     def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -72,45 +71,12 @@ class _Encoder:
         """The places of new pieces behind the known ones."""
         joins = pc.match_substring_regex(pieces, self.joins)
         others = pieces.filter(pc.invert(joins))
-        ids, lengths = zip(self._joined(pieces.filter(joins)), self._alone([t if t[:1] == "\n" else f" {t}" for t in others.to_pylist()]))
-        self.known = pa.concat_arrays([self.known, pieces.filter(joins), others])
-        self.ids = np.concatenate([self.ids, *ids])
-        self.stops = np.concatenate([self.stops, self.stops[-1] + np.cumsum(np.concatenate(lengths))])
+        self._add(pieces.filter(joins), *self._joined(pieces.filter(joins)))
+        self._add(others, *self._alone(with_spaces(others)))
         return np.argsort(np.argsort(~joins.to_numpy(zero_copy_only=False), kind="stable"))
 
-    def _keep(self, rows: np.ndarray) -> None:
-        lists = pa.ListArray.from_arrays(pa.array(self.stops, pa.int32()), pa.array(self.ids)).take(pa.array(rows))
-        self.known = self.known.take(pa.array(rows))
-        self.ids, self.stops = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-
     def columns(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has. No text is null."""
-        if not self.cuts:
-            return self._alone(texts.to_pylist())
-        lists, order = piece_lists(texts)
-        starts, pieces = lists.offsets.to_numpy(), lists.values
-        found = pieces.dictionary_encode()
-        seen = pc.index_in(self.known, value_set=found.dictionary)
-        known = seen.is_valid().to_numpy(zero_copy_only=False)
-        place = np.full(len(found.dictionary), -1)  # of a piece in the table
-        place[seen.drop_null().to_numpy()] = np.flatnonzero(known)
-        missing = np.flatnonzero(place < 0)
-        place[missing] = len(known) + self._learn(found.dictionary.take(pa.array(missing)))
-        own = place[found.indices.to_numpy()]
-        heads = starts[:-1][np.diff(starts) > 0]
-        head_ids, head_lengths = self._alone(pieces.take(pa.array(heads)).to_pylist())
-        own[heads] = len(self.known) + np.arange(len(heads))
-        table = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([self.stops, self.stops[-1] + np.cumsum(head_lengths)]), pa.int32()), pa.array(np.concatenate([self.ids, head_ids]))
-        )
-        taken = table.take(pa.array(own))
-        out = pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[starts], pa.int32()), taken.values)
-        if order is not None:
-            out = out.take(order)
-        if len(self.known) > self.entries:
-            own[heads] = 0
-            self._keep(np.unique(own))
-        return out.values.to_numpy(), np.diff(out.offsets.to_numpy()).astype(np.int64)
+        return super().columns(texts) if self.cuts else self._alone(texts.to_pylist())
 
     def of(self, texts: list[str]) -> list[bytes]:
         ids, lengths = self.columns(pa.array(texts, pa.string()))

@@ -152,3 +152,42 @@ def test_rare_outcomes_take_no_more_than_a_word_in_two_steps():
     steady[2000:2100], steady[4096:4200] = rng.integers(0, 1 << 16, 100), rng.integers(0, 1 << 16, 104)
     blocks = range_coder.encode_ids(steady)
     assert (range_coder.decode_ids(blocks) == steady).all() and sum(len(b[2]) for b in blocks) < len(steady) / 2
+
+
+def test_codec_asks_for_a_piece_and_merges_a_word_once():
+    encoder, asked, merged = bpe_codec._Encoder(MULTI_RANKS, public_tokenizers.PATTERN), [], []
+    alone, of = encoder._alone, encoder.merger.of
+    encoder._alone = lambda texts: asked.extend(texts) or alone(texts)
+    encoder.merger.of = lambda words: merged.extend(words) or of(words)
+    column = bpe_codec.pa.array(["a Hello there.\nHello you", "a Hello there.\nHello", "", "you"])
+    first = encoder.columns(column)
+    del asked[:]
+    again = encoder.columns(column)
+    assert (first[0] == again[0]).all() and first[1].tolist() == again[1].tolist() and first[1][2] == 0
+    assert asked == ["a", "a", "", "you"] and len(merged) == len(set(merged))  # only what texts begin with
+
+
+def test_trees_in_lockstep_merge_like_one_tree():
+    ranks, pick = bpe.read_ranks(MULTI_RANKS), random.Random(9)
+    merger = bpe.Merger(ranks, rows=100)
+    words = [("".join(pick.choice(letters) for _ in range(n))).encode() for n in [*range(1, 40), 63, 64, 65, 90] for letters in ("ab", "aaaa", "theinro ", "éñ漢 a") for _ in range(40)]
+    assert [np.frombuffer(raw, "<i4").tolist() for raw in merger.of(words)] == [bpe.merge_by_tree(w, ranks) for w in words]
+
+
+@pytest.mark.parametrize("entries", [1, 800_000])
+def test_codec_of_crowded_texts_equals_the_library(texts, entries):
+    ranks = bpe.read_ranks(MULTI_RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = [t or "" for _, t in texts] + ["a\n", "\na", "a\n\nb", "a \nb", "a\n b c\nd", "\t\n", "a　\nb", "\x1c \x1d\nx"]
+    encoder = bpe_codec._Encoder(MULTI_RANKS, public_tokenizers.PATTERN, entries)
+    for group in (own, own[::-1], own[::3]):
+        ids, lengths = encoder.columns(bpe_codec.pa.array(group, "string"))
+        assert [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])] == [library.encode_ordinary(t) for t in group]
+
+
+def test_decoding_keeps_null_rows_and_refuses_unknown_ids(spark):
+    rows = spark.createDataFrame([(1, [0, 1]), (2, None), (3, [])], "doc_id bigint, ids array<int>")
+    spelled = {rank: token for token, rank in bpe.read_ranks(MULTI_RANKS).items()}
+    assert sorted((r.doc_id, r.decoded) for r in bpe_codec.decode(rows, MULTI_RANKS).collect()) == [(1, bytearray(spelled[0] + spelled[1])), (2, None), (3, bytearray())]
+    with pytest.raises(Exception):
+        bpe_codec.decode(spark.createDataFrame([(1, [1 << 20])], "doc_id bigint, ids array<int>"), MULTI_RANKS).collect()
