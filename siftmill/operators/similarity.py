@@ -17,14 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions.similarity import jaccard, string_ratio, token_set
+from siftmill.operators import lettergroups
 from siftmill.operators.graph import components
 from siftmill.session import written_table
 
 BLOCK = 1500
 VECTOR_BLOCK, STRIP_ROWS = 10_000, 512  # vectors on each side of a tile, and compared at once
 SMALL_BLOCK, SPLITS = 16, 4
-TILE_ROWS, TILE_CHARS = 512, 1 << 18  # rules and their characters on each side of a tile
-BLOCK_CHARS, LANES, FEW = 64, 8192, 3  # letters of a block, blocks that advance together, pairs that are better computed at once
+TILE_ROWS, TILE_CHARS = 512, 1 << 20  # rules and their characters on each side of a tile
+BLOCK_CHARS, WINDOW, LANES, FEW = 64, 384, 8192, 3  # letters of a block and of a piece of a window, blocks that advance together, pairs that are better computed at once
+WORTH, MANY = 2e9, 512  # squared letters of pairs that letter groups tell apart faster than blocks do, tiles whose blocks are compared at once
+BANDS = (48, 256, 1024, 4096)  # edits that are tried before the limit
 _ONE = np.uint64(1)
 PATTERN_WEIGHT, TITLE_WEIGHT, CATEGORY_WEIGHT = 0.5, 0.3, 0.2
 
@@ -57,28 +60,51 @@ def text_ratio(a: Column, b: Column) -> Column:
 def edit_distance(a: str, b: str, limit: int) -> int:
     """Edit distance, or ``limit + 1`` once it must exceed the limit.
 
-    Bit-parallel over the letters of one text (Hyyro, 2003): a column of the table is a pair of
-    integers, so each letter of the other text costs a few integer operations.
+    Bit-parallel over the letters of one text (Hyyro, 2003): a column of the table is a pair of integers, so each letter
+    of the other text costs a few integer operations. Narrow bands of the table are tried first, near copies lie in them.
     """
     if a == b:
         return 0
     if abs(len(a) - len(b)) > limit:
         return limit + 1
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
+    n = _shared(a, b)
     a, b = a[n:], b[n:]
-    n = 0
-    while n < min(len(a), len(b)) and a[-1 - n] == b[-1 - n]:
-        n += 1
+    n = _shared(a[::-1], b[::-1])
     a, b = a[: len(a) - n], b[: len(b) - n]
     if not a or not b:
         return len(a) + len(b)
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | (1 << i)
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score, left = full, 0, len(a), len(b)
+    if len(a) < len(b):
+        a, b = b, a
+    limit = min(limit, len(a))
+    places = _places(a)
+    for band in BANDS:
+        if band < limit and 4 * band < len(a) and len(a) - len(b) <= band:
+            dist = _banded(len(a), b, places, band)
+            if dist <= band:
+                return dist
+    return _banded(len(a), b, places, limit) if 3 * limit < len(a) else _whole(len(a), b, places, limit)
+
+
+def _shared(a: str, b: str) -> int:
+    """Letters that both texts begin with."""
+    n, most, step = 0, min(len(a), len(b)), 1 << 16
+    while step:
+        while n + step <= most and a[n : n + step] == b[n : n + step]:
+            n += step
+        step >>= 1
+    return n
+
+
+def _places(a: str) -> dict[str, int]:
+    """Per letter an integer with the bits of its places."""
+    codes, at = np.unique(np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+    return {chr(c): int.from_bytes(np.packbits(at == k, bitorder="little").tobytes(), "little") for k, c in enumerate(codes.tolist())}
+
+
+def _whole(n: int, b: str, places: dict[str, int], limit: int) -> int:
+    """Distance of a text of n letters, given by their places, and ``b``; ``limit + 1`` beyond the limit."""
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, score, left = full, 0, n, len(b)
     for ch in b:
         eq = places.get(ch, 0)
         diagonal = (((eq & up) + up) ^ up) | eq
@@ -96,17 +122,57 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     return min(score, limit + 1)
 
 
+def _banded(n: int, b: str, places: dict[str, int], limit: int) -> int:
+    """``_whole`` within ``limit`` places of the diagonal, for a ``b`` that is not longer and at most ``limit`` shorter. The
+    column slides down one letter a step; its last bit follows the lowest diagonal, then the last row."""
+    width = 2 * limit + 2
+    full, top, row = (1 << width) - 1, 1 << (width - 1), 1 << (width - 2)
+    up, down, score, start = full ^ ((1 << (width - limit - 1)) - 1), 0, limit, limit + 1 - width
+    most, steep = 2 * limit + len(b) - n, n - limit
+    get = places.get
+    for i, ch in enumerate(b):
+        eq = get(ch, 0)
+        eq = (eq >> start if start >= 0 else eq << -start) & full
+        start += 1
+        diagonal = ((((eq & up) + up) ^ up) | eq | down) & full
+        rise, fall = down | (full ^ (diagonal | up)), diagonal & up
+        if i < steep:
+            if not diagonal & top:
+                score += 1
+        else:
+            if rise & row:
+                score += 1
+            elif fall & row:
+                score -= 1
+            row >>= 1
+        if score > most:
+            return limit + 1
+        diagonal >>= 1
+        up, down = fall | (full ^ (diagonal | rise)), diagonal & rise
+    return min(score, limit + 1)
+
+
 def _block_distances(codes: np.ndarray, masks: np.ndarray, block: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Per lane a lower bound of the edits that turn the block of ``BLOCK_CHARS`` letters into any piece of
     ``codes[start:stop]``. All lanes take one letter at a time, bit-parallel (Myers, 1999). Their least distance is read
-    every fourth letter: it changes by one a letter, so none lies more than two below those read."""
+    every fourth letter: it changes by one a letter, so none lies more than two below those read. Wide windows are cut into
+    pieces that overlap by two blocks, as a longer match costs a whole block's edits."""
+    pieces = np.maximum(-(-(stop - start - 2 * BLOCK_CHARS) // WINDOW), 1)
+    of, ahead = np.repeat(np.arange(len(block)), pieces), np.cumsum(pieces) - pieces
+    stride = -(-(stop - start - 2 * BLOCK_CHARS) // pieces)[of]
+    start = start[of] + stride * (np.arange(len(of)) - ahead[of])
+    block, stop = block[of], np.minimum(start + np.maximum(stride, 0) + 2 * BLOCK_CHARS, stop[of])
     width = stop - start
     order = np.argsort(width, kind="stable")
     bound = np.zeros(len(block), np.int64)
-    flat, letters, last = masks.ravel(), masks.shape[1], len(codes) - 1
-    for a in range(0, len(order), LANES):
-        lanes = order[a : a + LANES]
-        at, base = start[lanes], block[lanes] * letters
+    letters, last = masks.shape[1], len(codes) - 1
+    width_of, a = width[order], 0
+    while a < len(order):
+        alike = int(np.searchsorted(width_of, 1.25 * width_of[a], "right"))
+        lanes = order[a : min(a + LANES, max(alike, a + LANES // 8))]
+        a += len(lanes)
+        flat = masks[block[lanes]].ravel()  # next to each other, so that they stay in the cache
+        at, base = start[lanes], np.arange(len(lanes)) * letters
         up, down = np.full(len(lanes), ~np.uint64(0)), np.zeros(len(lanes), np.uint64)
         best = np.full(len(lanes), BLOCK_CHARS, np.int64)
         eq, vertical, diagonal, rise = (np.empty_like(up) for _ in range(4))
@@ -138,7 +204,7 @@ def _block_distances(codes: np.ndarray, masks: np.ndarray, block: np.ndarray, st
                 np.minimum(best, np.bitwise_count(up).astype(np.int64) - np.bitwise_count(down), out=best)
         np.minimum(best, np.bitwise_count(up).astype(np.int64) - np.bitwise_count(down), out=best)
         bound[lanes] = np.maximum(best - 2, 0)
-    return bound
+    return np.minimum.reduceat(bound, ahead) if len(ahead) else bound
 
 
 def beyond(xs: list[str], ys: list[str], i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -237,21 +303,24 @@ def title_pairs(titles: DataFrame, share: float) -> DataFrame:
     """(ta, tb, title): distinct titles ``(tid, category, tokens)`` with a token Jaccard index of at least ``share``.
 
     Two such titles share a token among the first n - ceil(share * n) + 1 of either when tokens are
-    ordered by rarity; a pair that shares several is kept under the first. Sizes bound each other.
+    ordered by rarity. Under their first one, the tokens that follow bound what else they can share, and so do
+    the bits of their token numbers: two titles differ in as many tokens as in bits, at least. What is left is compared.
     """
-    flat = titles.select("tid", "category", F.explode("tokens").alias("token"))
-    freq = flat.groupBy("category", "token").agg(F.count("*").alias("f"))
+    flat = titles.filter("category IS NOT NULL").select("tid", "category", F.explode("tokens").alias("token"))
+    freq = written_table(flat.groupBy("category", "token").agg(F.count("*").alias("f")).withColumn("no", F.monotonically_increasing_id()), "rule-title-tokens")
     # A title is short, so its tokens are a bounded group.
-    ordered = flat.join(freq, ["category", "token"]).groupBy("tid", "category").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("ts"))
+    word = [F.bit_or(F.expr(f"if(pmod(no, 256) div 64 = {k}, shiftleft(1L, cast(pmod(no, 64) as int)), 0L)")).alias(f"w{k}") for k in range(4)]
+    ordered = flat.join(freq, ["category", "token"]).groupBy("tid", "category").agg(F.array_sort(F.collect_list(F.struct("f", "no"))).alias("ts"), *word)
     n = F.size("ts")
     keep = (n - F.ceil(n * share - 1e-9) + 1).cast("int")
-    sized = ordered.select("tid", "category", F.slice("ts", 1, keep).alias("prefix"), n.alias("n"))
-    sized = sized.select("tid", "category", "prefix", "n", F.explode("prefix").alias("t"))
+    bits = [f"w{k}" for k in range(4)]
     # Rare tokens first, so a hot token only meets titles that have no rarer one to show.
-    left = sized.select("category", "t", F.col("tid").alias("ta"), F.col("prefix").alias("pa"), F.col("n").alias("na"))
-    right = sized.select("category", "t", F.col("tid").alias("tb"), F.col("prefix").alias("pb"), F.col("n").alias("nb"))
-    near = left.join(right, ["category", "t"]).filter((F.col("ta") < F.col("tb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * share - 1e-9))
-    near = near.filter(F.col("t") == F.array_min(F.array_intersect("pa", "pb"))).select("ta", "tb")
+    sized = ordered.select("tid", n.alias("n"), *bits, F.posexplode(F.slice(F.transform("ts", lambda t: t["no"]), 1, keep)).alias("k", "t"))
+    left, right = (sized.select("t", *[F.col(c).alias(f"{c}{s}") for c in ("tid", "n", "k", *bits)]) for s in "ab")
+    both, least = F.col("na") + F.col("nb"), F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
+    apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in bits), F.lit(0))
+    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * share - 1e-9) & (least >= both * (share / (1 + share)) - 1e-6) & (apart <= both * ((1 - share) / (1 + share)) + 1e-6)
+    near = left.join(right, "t").filter((F.col("tida") < F.col("tidb")) & fits).select(F.col("tida").alias("ta"), F.col("tidb").alias("tb")).distinct()
     words = titles.select("tid", "tokens")
     judged = near.join(words.toDF("ta", "wa"), "ta").join(words.toDF("tb", "wb"), "tb").withColumn("title", jaccard(F.col("wa"), F.col("wb")))
     return judged.filter(F.col("title") >= share - 1e-9).select("ta", "tb", "title")
@@ -297,39 +366,89 @@ def _starred(pairs: DataFrame, patterns: DataFrame, judge: _Judge) -> DataFrame:
             yield out[out["similarity"].notna()]
 
     texts = pairs.join(patterns.toDF("id", "x"), "id").join(patterns.toDF("hub", "y"), "hub").select("id", "hub", "title", "x", "y")
-    return written_table(texts.repartition("id").mapInPandas(check, "src long, dst long, similarity double"), "rule-stars")
-
-
-def _tile_links(tiles: DataFrame, patterns: DataFrame, judge: _Judge) -> DataFrame:
-    """Links found in tiles: rows (tile key, title, side, id, class, n). Lengths, classes and the edits of blocks are
-    compared at once; the distance is computed for the pairs that are left while they belong to different classes."""
-
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, texts, side = pdf["id"].to_numpy(), pdf["n"].to_numpy(), pdf["pattern"].tolist(), pdf["side"].to_numpy()
-        title = float(pdf["title"].iat[0])
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if side.any() else left
+    return written_table(by_tile(texts, ["id"]).mapInPandas(check, "src long, dst long, similarity double"), "rule-stars")
+
+
+def _tiles(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole tiles from batches that are sorted by their keys."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        values = pdf[keys].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]).any(1)][: len(pdf)]).tolist()
+        for a, z in zip(starts, starts[1:]):
+            yield pdf.iloc[a:z]
+        rest = pdf.iloc[starts[-1] :] if starts else None
+    if rest is not None:
+        yield rest
+
+
+class _Tile:
+    """The pairs (i, j) of a tile that lengths, classes and letter groups leave open, with their limits; ``used`` are their texts."""
+
+    def __init__(self, pdf: pd.DataFrame, judge: _Judge):
+        self.ids, self.texts, self.title = pdf["id"].to_numpy(), pdf["pattern"].tolist(), float(pdf["title"].iat[0])
+        self.root, self.judge = pdf["class"].to_numpy().copy(), judge
+        sizes, side, root, texts = pdf["n"].to_numpy(), pdf["side"].to_numpy(), self.root, self.texts
+        order = np.argsort(-sizes, kind="stable")
+        left = order[side[order] == 0]
+        right = order[side[order] == 1] if side.any() else left
         longer = np.maximum(sizes[left][:, None], sizes[right][None, :])
-        limit = judge.limit(title, longer)
-        root = pdf["class"].to_numpy().copy()
+        limit = judge.limit(self.title, longer)
         near = (np.abs(sizes[left][:, None] - sizes[right][None, :]) <= limit) & (root[left][:, None] != root[right][None, :])
         if not side.any():
             near = np.triu(near, 1)
+        first = sizes[left][:, None] >= sizes[right][None, :]
+        ahead, behind = (near & k & (longer >= lettergroups.BUCKET) for k in (first, ~first))
+        if (longer[ahead] ** 2.0).sum() >= WORTH:
+            near &= ~lettergroups.apart([texts[k] for k in left], [texts[k] for k in right], ahead, limit)
+        if (longer[behind] ** 2.0).sum() >= WORTH:
+            near &= ~lettergroups.apart([texts[k] for k in right], [texts[k] for k in left], behind.T, limit.T).T
         i, j = np.nonzero(near)
-        open_ = ~beyond([texts[k] for k in left], [texts[k] for k in right], i, j, limit[i, j])
-        out = []
-        for i, j in zip(left[i[open_]].tolist(), right[j[open_]].tolist()):
+        self.i, self.j, self.limit = left[i], right[j], limit[i, j]
+        self.used = np.unique(np.r_[self.i, self.j])
+
+    def links(self, beyond: np.ndarray) -> list[tuple[int, int, float]]:
+        """Links among the pairs that are not beyond their limits, while they belong to different classes."""
+        out, root = [], self.root
+        for i, j in zip(self.i[~beyond].tolist(), self.j[~beyond].tolist()):
             if root[i] == root[j]:
                 continue
-            score = judge.score(texts[i], texts[j], title)
+            score = self.judge.score(self.texts[i], self.texts[j], self.title)
             if score is not None:
-                out.append((ids[i], ids[j], score))
+                out.append((self.ids[i], self.ids[j], score))
                 root[root == max(root[i], root[j])] = min(root[i], root[j])
-        return pd.DataFrame(out, columns=["src", "dst", "similarity"])
+        return out
+
+
+def _linked(tiles: list[_Tile]) -> pd.DataFrame:
+    """Links of some tiles, whose blocks are compared at once."""
+    texts = [t.texts[k] for t in tiles for k in t.used.tolist()]
+    ahead = np.cumsum([0] + [len(t.used) for t in tiles])
+    i, j = (np.concatenate([np.searchsorted(t.used, side) + a for t, side, a in zip(tiles, sides, ahead)]) for sides in ([t.i for t in tiles], [t.j for t in tiles]))
+    gone = beyond(texts, texts, i, j, np.concatenate([t.limit for t in tiles]))
+    ends = np.cumsum([len(t.i) for t in tiles])
+    return pd.DataFrame([link for t, part in zip(tiles, np.split(gone, ends[:-1])) for link in t.links(part)], columns=["src", "dst", "similarity"])
+
 
+def _tile_links(tiles: DataFrame, patterns: DataFrame, judge: _Judge) -> DataFrame:
+    """Links found in tiles: rows (tile key, title, side, id, class, n)."""
     keys = ["ta", "tb", "band_a", "part_a", "band_b", "part_b"]
-    full = by_tile(tiles.join(patterns, "id"), keys)
-    return full.groupBy(*keys).applyInPandas(check, "src long, dst long, similarity double")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some, chars = [], 0
+        for pdf in _tiles(batches, keys):
+            tile = _Tile(pdf, judge)
+            some.append(tile)
+            chars += len(tile.i) and int(pdf["n"].sum())
+            if chars >= TILE_CHARS or len(some) >= MANY:
+                yield _linked(some)
+                some, chars = [], 0
+        if some:
+            yield _linked(some)
+
+    full = by_tile(tiles.join(patterns, "id"), keys).sortWithinPartitions(*keys)
+    return full.mapInPandas(check, "src long, dst long, similarity double")
 
 
 def near_duplicate_edges(rules: DataFrame, threshold: float = 0.9, block: int = TILE_ROWS) -> DataFrame:
@@ -342,8 +461,9 @@ def near_duplicate_edges(rules: DataFrame, threshold: float = 0.9, block: int =
     hub, of its own title or of its largest neighbour; near copies collapse there. Titles that still
     hold several classes are cut into tiles of at most some ``block`` rules and ``TILE_CHARS`` characters
     a side, which spread a hot title's work; only pairs of different classes whose lengths allow it are
-    compared. The summed edits of blocks drop unrelated texts (``beyond``); the distances of the rest
-    are computed bit-parallel in the tasks: on texts of some thousand characters four times as fast as the JVM's.
+    compared. Letter groups that a text picks once (``lettergroups.apart``) drop most unrelated pairs at a cost that
+    does not grow with the square of their letters, the summed edits of blocks (``beyond``) nearly all others; the distances
+    of the rest are computed bit-parallel in the tasks.
     """
     if threshold <= PATTERN_WEIGHT + TITLE_WEIGHT:
         raise ValueError("the category must be decisive: use a threshold above 0.8")

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siftmill.operators import editjoin, graph, incremental, metrics, mining, ordered, pairs, similarity
+from siftmill.operators import editjoin, graph, incremental, lettergroups, metrics, mining, ordered, pairs, similarity
 from siftmill.plans import mining_plans
 from siftmill.streaming import state
 from siftmill.streaming.runner import event_stream, run_to_table
@@ -163,6 +163,103 @@ def test_unrelated_texts_are_told_apart_by_their_blocks():
     assert similarity.beyond(xs, ys, i, j, limit)[long].all()
 
 
+def _prose(words, letters):
+    text = ""
+    while len(text) < letters:
+        text += random.choice(words) + " "
+    return text[:letters]
+
+
+def _edited(text, edits):
+    out = list(text)
+    for _ in range(edits):
+        at = random.randrange(len(out) + 1)
+        out[at : at + random.randrange(3)] = random.choice(["", "a", "xé", "漢"])
+    return "".join(out)
+
+
+def test_distances_in_bands():
+    random.seed(31)
+    words = ["".join(random.choice("abcdé") for _ in range(random.randint(1, 6))) for _ in range(20)]
+    for n in (3, 60, 400, 900):
+        for edits in (0, 1, 9, 60, 200):
+            a = _prose(words, n)
+            b = _edited(a, edits)
+            dist = _levenshtein(a, b)
+            for limit in (0, dist - 1, dist, dist + 1, len(a) + len(b)):
+                if limit >= 0:
+                    assert min(similarity.edit_distance(a, b, limit), limit + 1) == min(dist, limit + 1)
+                if abs(len(a) - len(b)) <= limit < max(len(a), len(b)) and limit and a and b:
+                    longer, other = (a, b) if len(a) >= len(b) else (b, a)
+                    assert similarity._banded(len(longer), other, similarity._places(longer), limit) == min(dist, limit + 1)
+
+
+@pytest.mark.parametrize("bucket, step, table", [(256, 128, 1 << 27), (16, 8, 1 << 27), (32, 32, 3000)])
+def test_letter_groups_keep_every_pair_within_its_limit(monkeypatch, bucket, step, table):
+    random.seed(32)
+    for name, value in (("BUCKET", bucket), ("STEP", step), ("HELD_BYTES", table)):
+        monkeypatch.setattr(lettergroups, name, value)
+    words = ["".join(random.choice("abcdefgh éß漢") for _ in range(random.randint(1, 7))) for _ in range(50)]
+    bases = [_prose(words, n) for n in (20, 90, 300, 700)]
+    xs, ys = ([_edited(random.choice(bases), random.choice([0, 2, 15, 60])) or "a" for _ in range(24)] for _ in range(2))
+    dist = np.array([[similarity.edit_distance(x, y, 10**6) for y in ys] for x in xs])
+    gap = np.array([[abs(len(x) - len(y)) for y in ys] for x in xs])
+    for limit in (dist, dist - 1, dist // 2, dist + 4):
+        near = (gap <= limit) & (np.random.default_rng(1).random(dist.shape) < 0.8)
+        gone = lettergroups.apart(xs, ys, near, limit)
+        assert not (gone & (dist <= limit)).any() and not (gone & ~near).any()
+
+
+def test_long_windows_keep_every_pair_within_its_limit():
+    random.seed(33)
+    words = ["".join(random.choice("etaoinshr") for _ in range(random.randint(2, 9))) for _ in range(300)]
+    bases = [_prose(words, 4000) for _ in range(3)]
+    xs = [_edited(x, k) for x in bases for k in (0, 40, 500)]
+    ys = [x[-700:] + x[:-700] for x in bases] + [_edited(x, 300) for x in bases]
+    i, j = (k.ravel() for k in np.indices((len(xs), len(ys))))
+    dist = np.array([similarity.edit_distance(xs[a], ys[b], 10**6) for a, b in zip(i, j)])
+    for limit in (dist, dist + 50, np.maximum(dist - 1, 0)):
+        assert not (similarity.beyond(xs, ys, i, j, limit) & (dist <= limit)).any()
+
+
+def test_unrelated_texts_of_a_title_are_told_apart_before_their_blocks():
+    """What is left for the blocks, whose cost grows with the square of the letters, is a few pairs in a hundred."""
+    random.seed(34)
+    words = ["".join(random.choices("etaoinshrdlucmfwypvbgk", [12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 3, 2, 2, 2, 2, 2, 1, 1, 2, 1], k=random.randint(2, 9))) for _ in range(2000)]
+    texts = [_prose(words, random.randint(1500, 1900)) for _ in range(120)]
+    texts += [_edited(texts[0], 20), _edited(texts[1], 30)]
+    n = len(texts)
+    tile = similarity._Tile(pd.DataFrame({"id": range(n), "pattern": texts, "title": 1.0, "n": [len(t) for t in texts], "class": range(n), "side": 0}), similarity._Judge(0.9))
+    assert {(0, 120), (1, 121)} <= {tuple(sorted(p)) for p in zip(tile.i.tolist(), tile.j.tolist())}
+    assert len(tile.i) < 0.05 * n * (n - 1) / 2
+    links = similarity._linked([tile, tile])
+    assert {tuple(sorted(p)) for p in links[["src", "dst"]].to_numpy().tolist()} == {(0, 120), (1, 121)}
+
+
+def test_tiles_are_whole_whatever_the_batches():
+    rows = pd.DataFrame({"ta": [1, 1, 1, 2, 2, 3, 3, 3, 3], "tb": [1, 1, 2, 2, 2, 3, 3, 3, 3], "id": range(9)})
+    for size in (1, 2, 3, 9):
+        got = [t["id"].tolist() for t in similarity._tiles((rows.iloc[k : k + size] for k in range(0, 9, size)), ["ta", "tb"])]
+        assert got == [[0, 1], [2], [3, 4], [5, 6, 7, 8]]
+    assert not [*similarity._tiles(iter([rows.iloc[:0]]), ["ta", "tb"])]
+
+
+def test_title_pairs_against_all_pairs(spark):
+    random.seed(35)
+    words = [f"w{int(random.paretovariate(0.6)) % 400}" for _ in range(4000)]
+    rows, bases = [], [random.sample(words, n) for n in (1, 2, 3, 5, 9, 30, 300)]
+    for tid in range(300):
+        tokens = set(random.choice(bases)) if random.random() < 0.7 else set(random.sample(words, random.randint(1, 12)))
+        tokens = {t for t in tokens if random.random() < 0.93} | set(random.sample(words, random.randrange(2)))
+        rows.append((tid, random.choice(["a", "b", None]), sorted(tokens)))
+    df = spark.createDataFrame([r for r in rows if r[2]], "tid long, category string, tokens array<string>")
+    share = 2 / 3
+    same = lambda a, b: len(a & b) / len(a | b)
+    want = {(a[0], b[0]): same(set(a[2]), set(b[2])) for a, b in itertools.combinations([r for r in rows if r[2] and r[1]], 2) if a[1] == b[1] and same(set(a[2]), set(b[2])) >= share - 1e-9}
+    got = similarity.title_pairs(df, share).collect()
+    assert {(r.ta, r.tb): r.title for r in got} == pytest.approx(want) and len(got) == len(want) > 300
+
+
 def test_rule_clusters_where_titles_repeat(spark):
     random.seed(11)
     words = [f"w{i}" for i in range(12)]
