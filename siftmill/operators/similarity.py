@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.functions.similarity import jaccard, string_ratio, token_set
+from siftmill.functions.similarity import jaccard, token_set
 from siftmill.operators import lettergroups
 from siftmill.operators.graph import components
 from siftmill.session import written_table
@@ -40,11 +40,11 @@ def composite(ratio: Column, overlap: Column, same: Column) -> Column:
 def rule_similarity(a: str, b: str) -> Column:
     """Composite similarity of two rules given as struct columns (pattern, title, category)."""
     x, y = F.col(a), F.col(b)
-    return composite(string_ratio(x["pattern"], y["pattern"]), jaccard(token_set(x["title"]), token_set(y["title"])), x["category"] == y["category"])
+    return composite(text_ratio(x["pattern"], y["pattern"]), jaccard(token_set(x["title"]), token_set(y["title"])), x["category"] == y["category"])
 
 
 def text_ratio(a: Column, b: Column) -> Column:
-    """``string_ratio`` of unrelated long texts: their distance exceeds every band, so it is computed once and bit-parallel."""
+    """``string_ratio`` of long texts, bit-parallel: in the narrowest band that holds the distance, else once."""
 
     @F.pandas_udf("long")
     def distance(xs: pd.Series, ys: pd.Series) -> pd.Series:

@@ -244,6 +244,20 @@ def test_tiles_are_whole_whatever_the_batches():
     assert not [*similarity._tiles(iter([rows.iloc[:0]]), ["ta", "tb"])]
 
 
+def test_report_of_far_members_needs_no_wide_levenshtein(spark, capsys):
+    """A chain's far member is compared with the kept rule once, bit-parallel."""
+    random.seed(36)
+    words = ["".join(random.choice("etaoinshr") for _ in range(random.randint(2, 9))) for _ in range(300)]
+    first = _prose(words, 3000)
+    texts = [first, _edited(first, 30), _edited(first, 900), "", None]
+    rules = spark.createDataFrame([(i, t, "the title", "c") for i, t in enumerate(texts)], "id long, pattern string, title string, category string")
+    report = similarity.dedup_report(spark.createDataFrame([(i, 0) for i in range(5)], "id long, cluster long"), rules)
+    report.explain()
+    assert "levenshtein" not in capsys.readouterr().out
+    ratios = [1 - _levenshtein(first, t) / max(len(first), len(t)) if t else 0 for t in texts[1:]]
+    assert [tuple(r) for r in report.collect()] == [(0, 5, 4, pytest.approx(sum(0.5 * r + 0.5 for r in ratios) / 4))]
+
+
 def test_title_pairs_against_all_pairs(spark):
     random.seed(35)
     words = [f"w{int(random.paretovariate(0.6)) % 400}" for _ in range(4000)]
